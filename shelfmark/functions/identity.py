@@ -67,7 +67,10 @@ def round1(v: Column) -> Column:
         .when(r <= -float(_BIGGEST_LONG), F.lit(-_BIGGEST_LONG - 1))
         .otherwise(r.try_cast("long"))
     )
-    return F.when(r == F.rint(r), whole.cast("string")).otherwise(F.format_string("%.1f", r))
+    # format_string writes a text for null, so it is asked only for numbers with a fraction.
+    return F.when(r == F.rint(r), whole.cast("string")).when(
+        r != F.rint(r), F.format_string("%.1f", r)
+    )
 
 
 def params_identity(total: Column, active: Column) -> Column:

@@ -116,8 +116,18 @@ def role(stem_col: Column | str) -> Column:
     )
 
 
+# One alternative per tag, in list order, moves to the first place of that tag; the group then takes
+# the tag standing there. An earlier tag at the same place would have been found by its own
+# alternative, so the group always takes the tag that was looked for. A single pattern keeps the
+# generated code of wide projections small, which a chain of 37 tests would not.
+_QUANT_PATTERN = (
+    r"(?s)\A(?:" + "|".join(f".*?(?={tag})" for tag in QUANT_TAGS) + ")(" + "|".join(QUANT_TAGS) + ")"
+)
+
+
 def quant_tag(stem_col: Column | str) -> Column:
-    return first_contained(F.upper(_col(stem_col)), QUANT_TAGS)
+    found = F.regexp_extract(F.upper(_col(stem_col)), _QUANT_PATTERN, 1)
+    return F.nullif(found, F.lit(""))
 
 
 def publisher(stem_col: Column | str) -> Column:

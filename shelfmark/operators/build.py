@@ -19,8 +19,10 @@ def model_files(identified: DataFrame) -> DataFrame:
     """Files that define families and variants, with their revision label."""
     hashed = (F.col("hash_state") == "full") & F.col("sha256").isNotNull()
     label = F.when(hashed, F.concat(F.lit("local:"), F.col("sha256"))).otherwise("local:none")
+    # Every file that is not unknown has a key; asking for the key itself would make the optimizer
+    # compute it a second time inside the pushed-down filter.
     return identified.where(
-        F.col("role").isin(*MODEL_ROLES) & F.col("family_key").isNotNull()
+        F.col("role").isin(*MODEL_ROLES) & ~F.col("is_unknown")
     ).withColumn("rev_label", label)
 
 

@@ -8,6 +8,7 @@ contents never enter Spark; only facts do.
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
@@ -34,7 +35,7 @@ HASH_STEP = 1 << 20
 PARTIAL_WINDOW = 64 << 10
 # ---- end of fixed values --------------------------------------------------------------------
 
-_RAW = StructType.fromDDL(
+_RAW = schemas.table(
     "format string, parse_error string, general_name string, basename string, finetune string, "
     "arch string, params_total double, params_active double, context_len long, file_type long, "
     "safetensors_header string, sha256 string, partial_digest string, hash_error string"
@@ -90,7 +91,7 @@ def _digests(source: BinaryIO) -> dict:
             full.update(chunk)
             size += len(chunk)
             head += chunk[: PARTIAL_WINDOW - len(head)] if len(head) < PARTIAL_WINDOW else b""
-            tail = (tail + chunk)[-PARTIAL_WINDOW:] if len(chunk) < PARTIAL_WINDOW else chunk[-PARTIAL_WINDOW:]
+            tail = (tail + chunk[-PARTIAL_WINDOW:])[-PARTIAL_WINDOW:]
     except OSError as error:
         return {"hash_error": f"scan.io:{error.errno}"}
     edges = head + tail if size > 2 * PARTIAL_WINDOW else None
@@ -103,7 +104,7 @@ def _examine(paths: list[str], wants_hash: list[bool], wants_header: list[bool],
         row: dict = {}
         if hash_it or read_header:
             try:
-                with open(path, "rb", buffering=0) as source:
+                with open(path, "rb") as source:
                     if read_header:
                         row |= _header_facts(source, path, options)
                     if hash_it:
@@ -157,7 +158,7 @@ def examine_files(
     the number of shuffle partitions); tasks that draw a huge file then run beside many small ones.
     """
     options = {"active_key": active_key, "gguf_cap": gguf_cap, "max_array": max_array}
-    schema = StructType([f for f in schemas.LISTING.fields] + _RAW.fields)
+    schema = StructType(schemas.LISTING.fields + _RAW.fields)
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         get = {n: batch.column(n).to_pylist() for n in ("root_path", "rel_path")}
@@ -183,12 +184,9 @@ def header_facts_of_bytes(
     """Header facts where the file's first bytes are a column of a table."""
     options = {"active_key": active_key, "gguf_cap": GGUF_HEADER_CAP, "max_array": gguf.MAX_ARRAY}
     kept = [c for c in table.columns if c != content]
-    raw = StructType([f for f in _RAW.fields])
-    schema = StructType([f for f in table.schema.fields if f.name != content] + raw.fields)
+    schema = StructType([f for f in table.schema.fields if f.name != content] + _RAW.fields)
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        import io
-
         for data, name in zip(batch.column(content).to_pylist(), batch.column(path).to_pylist()):
             yield _header_facts(io.BytesIO(data or b""), name, options)
 
