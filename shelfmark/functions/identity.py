@@ -59,14 +59,16 @@ def field(value: Column, level: Column | str) -> Column:
     return F.when(value.isNotNull(), F.struct(value.alias("value"), level.alias("level")))
 
 
+def _pair(value: Column, level: Column) -> Column:
+    """`{value, level}` of a value that is always there."""
+    return F.struct(value.alias("value"), level.alias("level"))
+
+
 def round1(v: Column) -> Column:
     """One decimal, halves away from zero, whole numbers without the decimal."""
     r = F.round(v * 10, 0) / 10
-    whole = (
-        F.when(r >= float(_BIGGEST_LONG), F.lit(_BIGGEST_LONG))
-        .when(r <= -float(_BIGGEST_LONG), F.lit(-_BIGGEST_LONG - 1))
-        .otherwise(r.try_cast("long"))
-    )
+    limit = F.when(r > 0, F.lit(_BIGGEST_LONG)).otherwise(F.lit(-_BIGGEST_LONG - 1))
+    whole = F.coalesce(r.try_cast("long"), limit)
     # format_string writes a text for null, so it is asked only for numbers with a fraction.
     return F.when(r == F.rint(r), whole.cast("string")).when(
         r != F.rint(r), F.format_string("%.1f", r)
@@ -125,33 +127,32 @@ def with_identity(facts: DataFrame) -> DataFrame:
     """
     shard = F.col("name_role") == "shard"
     header_name = F.coalesce(F.col("basename"), F.col("general_name"))
-    has_facts = F.coalesce(
-        header_name.isNotNull() | F.col("arch").isNotNull() | F.col("params_total").isNotNull(),
-        F.lit(False),
-    )
-    unknown_word = F.lit("unknown")
+    has_facts = header_name.isNotNull() | F.col("arch").isNotNull() | F.col("params_total").isNotNull()
+    by_stem = shard | header_name.isNull()
+    header_quant = F.col("quant_from_header")
     resolved = with_name_facts(facts).withColumns(
         {
             "role": F.col("name_role"),
-            "name": F.coalesce(
-                field(F.when(~shard, header_name), "known"),
-                field(F.col("name_display"), F.when(shard | header_name.isNull(), "inferred")),
+            "name": _pair(
+                F.when(by_stem, F.col("name_display")).otherwise(header_name),
+                F.when(by_stem, "inferred").otherwise("known"),
             ),
-            "quant": F.coalesce(
-                field(F.col("quant_from_header"), "known"),
-                field(F.coalesce(F.col("name_quant"), unknown_word), "inferred"),
+            "quant": _pair(
+                F.coalesce(header_quant, "name_quant", F.lit("unknown")),
+                F.when(header_quant.isNotNull(), "known").otherwise("inferred"),
             ),
-            "quant_raw": F.coalesce(
-                field(F.col("file_type").cast("string"), "known"),
-                field(F.col("name_quant"), "inferred"),
+            "quant_raw": field(
+                F.coalesce(F.col("file_type").cast("string"), "name_quant"),
+                F.when(F.col("file_type").isNotNull(), "known").otherwise("inferred"),
             ),
-            "kind": F.coalesce(
-                F.col("kind"),
-                field(F.col("name_kind"), "inferred"),
-                field(unknown_word, "detected"),
+            "kind": _pair(
+                F.coalesce("kind.value", "name_kind", F.lit("unknown")),
+                F.when(F.col("kind").isNotNull(), F.col("kind.level"))
+                .when(F.col("name_kind").isNotNull(), "inferred")
+                .otherwise("detected"),
             ),
-            "subflavour": field(F.coalesce(F.col("name_subflavour"), unknown_word), "inferred"),
-            "publisher": field(F.coalesce(F.col("name_publisher"), unknown_word), "inferred"),
+            "subflavour": _pair(F.coalesce("name_subflavour", F.lit("unknown")), F.lit("inferred")),
+            "publisher": _pair(F.coalesce("name_publisher", F.lit("unknown")), F.lit("inferred")),
             "is_unknown": ~has_facts
             & F.col("name_role").isin(*MODEL_ROLES)
             & F.col("name_quant").isNull(),

@@ -6,6 +6,7 @@ patterns that mean "end of text" use ``\\z``, because ``$`` also matches before
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -59,25 +60,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The helpers below turn lists into one pattern each instead of one test per entry. Spark compiles a
+# wide projection into one method, and an optimizer that pushes a filter down repeats the expressions
+# it needs; both stay small only if every fact reads its input once.
+
+
 def contains_any(text: Column, marks: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for mark in marks:
-        found = found | text.contains(mark)
-    return found
+    return text.rlike("|".join(re.escape(mark) for mark in marks))
+
 
+def _first_pattern(values: Iterable[str]) -> str:
+    """Pattern whose group is the first of `values`, in their order, that a text contains.
 
-def first_contained(text: Column, values: Iterable[str], fold=str) -> Column:
-    """First of `values` (compared after `fold`) that `text` contains, else null."""
-    chain = None
-    for value in values:
-        hit = text.contains(fold(value))
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+    One alternative per value moves to the first place of that value; the group then takes the value
+    standing there. An earlier value at the same place would have been found by its own alternative,
+    so the group always takes the value that was looked for.
+    """
+    escaped = [re.escape(value) for value in values]
+    moves = "|".join(f".*?(?={value})" for value in escaped)
+    return rf"(?s)\A(?:{moves})({'|'.join(escaped)})"
 
 
-def _drop_suffix(text: Column, suffix: str) -> Column:
-    kept = F.substring(text, F.lit(1), F.length(text) - len(suffix))
-    return F.when(text.endswith(suffix), kept).otherwise(text)
+def first_contained(text: Column, values: Iterable[str]) -> Column:
+    """First of `values`, in their order, that `text` contains, else null."""
+    return F.nullif(F.regexp_extract(text, _first_pattern(values), 1), F.lit(""))
 
 
 def base_name(path: Column | str) -> Column:
@@ -85,7 +91,8 @@ def base_name(path: Column | str) -> Column:
 
 
 def stem(path: Column | str) -> Column:
-    return _drop_suffix(_drop_suffix(base_name(path), ".gguf"), ".safetensors")
+    bare = F.regexp_replace(base_name(path), r"\.gguf\z", "")
+    return F.regexp_replace(bare, r"\.safetensors\z", "")
 
 
 def is_shard(stem_col: Column | str) -> Column:
@@ -109,29 +116,20 @@ def role(stem_col: Column | str) -> Column:
         F.when(contains_any(low, MMPROJ_MARKS), "mmproj")
         .when(contains_any(low, TOKENIZER_MARKS), "tokenizer")
         .when(low.isin(*CONFIG_STEMS), "config")
-        .when(low.endswith(".lora") | low.contains("-lora"), "lora")
+        .when(low.rlike(r"\.lora\z|-lora"), "lora")
         .when(is_shard(name), "shard")
         .when(contains_any(low, SIDECAR_MARKS), "sidecar")
         .otherwise("weights")
     )
 
 
-# One alternative per tag, in list order, moves to the first place of that tag; the group then takes
-# the tag standing there. An earlier tag at the same place would have been found by its own
-# alternative, so the group always takes the tag that was looked for. A single pattern keeps the
-# generated code of wide projections small, which a chain of 37 tests would not.
-_QUANT_PATTERN = (
-    r"(?s)\A(?:" + "|".join(f".*?(?={tag})" for tag in QUANT_TAGS) + ")(" + "|".join(QUANT_TAGS) + ")"
-)
-
-
 def quant_tag(stem_col: Column | str) -> Column:
-    found = F.regexp_extract(F.upper(_col(stem_col)), _QUANT_PATTERN, 1)
-    return F.nullif(found, F.lit(""))
+    return first_contained(F.upper(_col(stem_col)), QUANT_TAGS)
 
 
 def publisher(stem_col: Column | str) -> Column:
-    return first_contained(F.lower(_col(stem_col)), PUBLISHERS, str.lower)
+    spelled = F.create_map(*[F.lit(x) for name in PUBLISHERS for x in (name.lower(), name)])
+    return spelled[first_contained(F.lower(_col(stem_col)), [p.lower() for p in PUBLISHERS])]
 
 
 def subflavour(stem_col: Column | str) -> Column:
@@ -169,11 +167,8 @@ def display_stem(stem_col: Column | str) -> Column:
 
 
 def is_partial_download(path: Column | str) -> Column:
-    low = F.lower(_col(path))
-    found = F.lit(False)
-    for suffix in PARTIAL_SUFFIXES:
-        found = found | low.endswith(suffix)
-    return found
+    endings = "|".join(re.escape(suffix) for suffix in PARTIAL_SUFFIXES)
+    return F.lower(_col(path)).rlike(rf"(?:{endings})\z")
 
 
 def digest_in_name(path: Column | str) -> Column:

@@ -194,16 +194,15 @@ def header_facts_of_bytes(
     return _finish(table.mapInArrow(job, schema), kept).drop("sha256", "partial_digest", "hash_error")
 
 
-def digests_of_bytes(content: Column | str) -> tuple[Column, Column]:
+def digests_of_bytes(data: Column, window: int = PARTIAL_WINDOW) -> tuple[Column, Column]:
     """Full and partial digest where the bytes are a column; plain expressions, no Python."""
-    data = F.col(content) if isinstance(content, str) else content
     size = F.octet_length(data)
     edges = F.concat(
-        F.substring(data, F.lit(1), F.lit(PARTIAL_WINDOW)),
-        F.substring(data, size - (PARTIAL_WINDOW - 1), F.lit(PARTIAL_WINDOW)),
+        F.substring(data, F.lit(1), F.lit(window)),
+        F.substring(data, size - (window - 1), F.lit(window)),
     )
     full = F.sha2(data, 256)
-    return full, F.when(size > 2 * PARTIAL_WINDOW, F.sha2(edges, 256)).otherwise(full)
+    return full, F.when(size > 2 * window, F.sha2(edges, 256)).otherwise(full)
 
 
 def _safetensors_columns(header: Column) -> dict[str, Column]:
