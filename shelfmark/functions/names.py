@@ -60,30 +60,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# The helpers below turn lists into one pattern each instead of one test per entry. Spark compiles a
-# wide projection into one method, and an optimizer that pushes a filter down repeats the expressions
-# it needs; both stay small only if every fact reads its input once.
-
-
 def contains_any(text: Column, marks: Iterable[str]) -> Column:
-    return text.rlike("|".join(re.escape(mark) for mark in marks))
+    found = F.lit(False)
+    for mark in marks:
+        found = found | text.contains(mark)
+    return found
 
 
-def _first_pattern(values: Iterable[str]) -> str:
-    """Pattern whose group is the first of `values`, in their order, that a text contains.
+def first_contained(text: Column, values: Iterable[str]) -> Column:
+    """First of `values`, in their order, that `text` contains, else null.
 
-    One alternative per value moves to the first place of that value; the group then takes the value
-    standing there. An earlier value at the same place would have been found by its own alternative,
-    so the group always takes the value that was looked for.
+    One pattern instead of one test per value keeps the generated code small. A text that holds at
+    most one of the values, the common case, is answered by the leftmost match; this needs that of
+    two values starting at one place the longer is listed first, and that no value starts inside
+    another one listed after it. Only a text with several values is searched value by value: each
+    alternative moves to the first place of its value, and the group takes what stands there.
     """
     escaped = [re.escape(value) for value in values]
+    starts = "".join(sorted({re.escape(value[0]) for value in values}))
+    one = rf"(?=[{starts}])({'|'.join(escaped)})"
     moves = "|".join(f".*?(?={value})" for value in escaped)
-    return rf"(?s)\A(?:{moves})({'|'.join(escaped)})"
-
-
-def first_contained(text: Column, values: Iterable[str]) -> Column:
-    """First of `values`, in their order, that `text` contains, else null."""
-    return F.nullif(F.regexp_extract(text, _first_pattern(values), 1), F.lit(""))
+    several = text.rlike(rf"(?s){one}.*?{one}")
+    by_order = F.regexp_extract(text, rf"(?s)\A(?:{moves})({'|'.join(escaped)})", 1)
+    leftmost = F.regexp_extract(text, one, 1)
+    return F.nullif(F.when(several, by_order).otherwise(leftmost), F.lit(""))
 
 
 def base_name(path: Column | str) -> Column:
