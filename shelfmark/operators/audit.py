@@ -77,13 +77,17 @@ def orphans(child: DataFrame, name: str, key: list[str], parent: DataFrame, pare
     return _violation(lost, f"{name}.{'_'.join(key[:2])}_orphan", key, F.col("n"))
 
 
+def _clean_path() -> Column:
+    bare = F.rtrim(F.col("path"), F.lit("/"))
+    return F.when(bare == "", "/").otherwise(bare).alias("path")
+
+
 def nested_roots(roots: DataFrame) -> DataFrame:
     """Roots inside other roots, found by joining each root's parent folders to the root paths.
 
     Folders are compared whole, so `/data/models2` does not lie in `/data/models`.
     """
-    clean = F.rtrim(F.col("path"), F.lit("/"))
-    paths = roots.select(F.when(clean == "", "/").otherwise(clean).alias("path")).distinct()
+    paths = roots.select(_clean_path()).distinct()
     parts = F.split("path", "/")
     depth = F.size(parts)
     parents = F.transform(
@@ -119,8 +123,11 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     found: list[DataFrame] = []
     for name, key in UNIQUE.items():
         if name in tables:
-            rule = "root.duplicate" if name == "roots" else None
-            found.append(duplicate_keys(tables[name], name, key, rule))
+            if name == "roots":
+                same_place = tables[name].select(_clean_path())
+                found.append(duplicate_keys(same_place, name, key, "root.duplicate"))
+            else:
+                found.append(duplicate_keys(tables[name], name, key))
     for name, key, parent, parent_key in REFERENCES:
         if name in tables and parent in tables:
             found.append(orphans(tables[name], name, key, tables[parent], parent_key))

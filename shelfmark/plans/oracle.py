@@ -273,6 +273,15 @@ CTES = {name: duckdb_view(name) for name in VIEWS} | {
       AND concat_ws('|', provider, repo, revision, filename) NOT IN (SELECT remote_key FROM statuses)""",
     "chain": """SELECT c_custkey AS k, c_custkey // 2 AS up FROM customer
     WHERE c_custkey > 0 AND c_custkey % 7 <> 0""",
+    "a_roots": """SELECT k AS root_id, CASE WHEN k % 6 = 5 THEN concat('/mnt/n', k - 1, '/inner/deep')
+        WHEN k % 9 = 8 THEN concat('/mnt/n', k - 1) ELSE concat('/mnt/n', k) END AS path,
+      CASE WHEN k % 7 = 3 THEN 'floppy' WHEN k % 10 = 0 THEN 'fetch' ELSE 'nas' END AS kind,
+      CASE WHEN k % 20 = 0 THEN 'fetch' ELSE 'catalogue' END AS mode,
+      k % 20 = 0 OR k % 12 = 5 AS writable
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)""",
+    "a_files": """SELECT p_partkey % 30 AS root_id,
+      concat('p', p_partkey - CASE WHEN p_partkey % 100 = 31 THEN 30 ELSE 0 END) AS rel_path,
+      sha256(p_name) AS sha256 FROM part""",
     "tree": """SELECT concat(replace(lower(p_brand), '#', '-'), '/', replace(p_name, ' ', '-'), '-', p_type,
       '.gguf') AS rel_path, p_name, p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total
     FROM part GROUP BY p_name, p_brand, p_type""",
@@ -551,6 +560,43 @@ _STATEMENTS = {
       NOT (w.sha256 IS NULL OR k % 8 < 4 OR w.sha256 IN (SELECT sha256 FROM owned)
         OR (k % 7 = 0 AND k % 5 IN (1, 2))) AS eligible
       FROM (SELECT *, CAST(regexp_extract(filename, '^m([0-9]+)', 1) AS BIGINT) AS k FROM wanted) w""",
+    "integrity_audit": """
+      SELECT 'root.duplicate' AS rule, path AS subject, CAST(count(*) AS VARCHAR) AS detail FROM a_roots
+        GROUP BY path HAVING count(*) > 1
+      UNION ALL SELECT 'root.bad_kind', kind, CAST(count(*) AS VARCHAR) FROM a_roots WHERE kind = 'floppy'
+        GROUP BY kind
+      UNION ALL SELECT 'root.fetch_exists', kind, CAST(count(*) AS VARCHAR) FROM a_roots WHERE kind = 'fetch'
+        GROUP BY kind HAVING count(*) > 1
+      UNION ALL SELECT 'root.mode_mismatch', CAST(root_id AS VARCHAR), concat(kind, '/', mode) FROM a_roots
+        WHERE NOT ((kind = 'fetch' AND mode = 'fetch' AND writable)
+          OR (kind <> 'fetch' AND mode = 'catalogue' AND NOT writable))
+      UNION ALL SELECT DISTINCT 'root.overlap', i.path, o.path FROM a_roots i JOIN a_roots o
+        ON starts_with(i.path, concat(o.path, '/'))
+      UNION ALL SELECT 'files.not_unique', concat(root_id, '|', rel_path), CAST(count(*) AS VARCHAR)
+        FROM a_files GROUP BY root_id, rel_path HAVING count(*) > 1
+      UNION ALL SELECT 'files.root_id_orphan', CAST(root_id AS VARCHAR), CAST(count(*) AS VARCHAR)
+        FROM a_files WHERE root_id NOT IN (SELECT root_id FROM a_roots) GROUP BY root_id
+      UNION ALL SELECT 'files.sha256_orphan', sha256, CAST(count(*) AS VARCHAR) FROM a_files
+        WHERE sha256 NOT IN (SELECT sha256(p_name) FROM part WHERE p_size > 1 AND sha256(p_name) > '1')
+        GROUP BY sha256
+      UNION ALL SELECT 'families.not_unique', p_name, CAST(count(DISTINCT p_size = 50) AS VARCHAR) FROM part
+        GROUP BY p_name HAVING count(DISTINCT p_size = 50) > 1
+      UNION ALL SELECT 'families.bad_kind', 'lim', CAST(count(DISTINCT p_name) AS VARCHAR) FROM part
+        WHERE p_size = 50 HAVING count(*) > 0
+      UNION ALL SELECT 'evidence.bad_level', 'guess', CAST(count(*) AS VARCHAR) FROM events
+        WHERE event_id % 500 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'declined_merges.unsorted', concat(c_name, '|', other), '1' FROM
+        (SELECT c_name, concat('Customer#', lpad(CAST(2000 - c_custkey AS VARCHAR), 9, '0')) AS other FROM customer)
+        WHERE c_name >= other
+      UNION ALL SELECT 'monitors.family_key_orphan', concat('f', c_custkey), '1' FROM customer
+      UNION ALL SELECT 'radar.variant_family_mismatch', CAST(c_custkey AS VARCHAR), 'another' FROM customer
+        WHERE c_custkey % 50 = 7
+      UNION ALL SELECT 'wanted.no_sha256', remote_key, 'd' FROM v_tasks
+        WHERE CAST(regexp_extract(remote_key, '\\|m([0-9]+)-', 1) AS BIGINT) % 17 = 0
+      UNION ALL SELECT 'file_roles.root_id_rel_path_orphan', concat(p_partkey % 30, '|p', p_partkey), '1' FROM part
+        WHERE (p_partkey % 30, concat('p', p_partkey)) NOT IN (SELECT (root_id, rel_path) FROM a_files)
+      UNION ALL SELECT 'file_roles.family_key_orphan', 'none', CAST(count(*) AS VARCHAR) FROM part
+        WHERE p_partkey % 40 = 3 HAVING count(*) > 0""",
     "header_facts": f"""SELECT k AS file_id, format, CASE WHEN ok THEN p_name END AS basename,
       CASE WHEN ok THEN p_type END AS arch,
       CASE WHEN ok THEN CAST(p_size * (1000 + k % 7) AS DOUBLE) END AS params_total,
