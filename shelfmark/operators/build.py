@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import FAMILY_KEY_ALGO, schemas
 from shelfmark.functions.identity import COMPANION_ROLES, MODEL_ROLES
+from shelfmark.operators.hot_keys import join_lookup
 from shelfmark.operators.reconcile import FILE_KEY
 
 
@@ -110,16 +111,14 @@ def assign_roles(
     )
     known = families.select("family_key", F.lit(True).alias("in_catalogue"))
     none = F.lit(None).cast("string")
-    companions = (
-        identified.where(F.col("role").isin(*COMPANION_ROLES))
-        .select(*FILE_KEY, "role", "family_key")
-        .join(known, "family_key", "left")
-        .select(
-            *FILE_KEY,
-            "role",
-            F.when(F.col("in_catalogue"), F.col("family_key")).alias("family_key"),
-            *[none.alias(c) for c in schemas.VARIANT_KEY[1:]],
-        )
+    named = identified.where(F.col("role").isin(*COMPANION_ROLES)).select(
+        *FILE_KEY, "role", "family_key"
+    )
+    companions = join_lookup(named, known, ["family_key"], FILE_KEY).select(
+        *FILE_KEY,
+        "role",
+        F.when(F.col("in_catalogue"), F.col("family_key")).alias("family_key"),
+        *[none.alias(c) for c in schemas.VARIANT_KEY[1:]],
     )
     roles = weights.unionByName(companions)
     if previous is not None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.hot_keys import join_lookup
+
 ALLOCATION = ("dev", "ino")
 
 
@@ -53,7 +55,7 @@ def duplicate_copies(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Every copy of every duplicate group, one row per path.
 
     The groups have one row per digest, so a digest with very many copies is large on one side of
-    the join only, and adaptive execution splits that side.
+    the join only, and that side is dealt out.
     """
     groups = duplicate_groups(files).select("sha256", "copies")
     present = files.where(
@@ -61,7 +63,7 @@ def duplicate_copies(files: DataFrame, roots: DataFrame) -> DataFrame:
     ).dropna(subset=["sha256", *ALLOCATION])
     names = roots.select("root_id", F.col("name").alias("root_name"))
     return (
-        present.join(groups, "sha256")
+        join_lookup(present, groups, ["sha256"], ["root_id", "rel_path"], "inner")
         .join(names, "root_id")
         .select("sha256", "root_id", "root_name", "rel_path", *ALLOCATION, "copies", "size")
     )
@@ -101,4 +103,4 @@ def hash_gate(files: DataFrame, by: Sequence[str] = ("size", "partial_digest"))
     can tell them apart. The collision counts are aggregated and joined back, so a common size does
     not gather its files in one task."""
     seen = files.groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("collides"))
-    return files.join(seen, list(by))
+    return join_lookup(files, seen, list(by), files.columns, "inner")

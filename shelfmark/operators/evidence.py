@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions.identity import COMPANION_ROLES, level_source, round1
 from shelfmark.operators.build import model_files
+from shelfmark.operators.hot_keys import join_lookup
 from shelfmark.operators.reconcile import FILE_KEY
 
 SUBJECT = ["subject_type", "subject_key", "field"]
@@ -148,9 +149,9 @@ def presence_with_patience(probes: DataFrame, patience: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("probes"),
         F.max(F.when(~F.col("failed"), order)).alias("last_ok"),
     )
+    failed = probes.where("failed")
     failures = (
-        probes.where("failed")
-        .join(stats.select("root_id", "last_ok"), "root_id")
+        join_lookup(failed, stats.select("root_id", "last_ok"), ["root_id"], ["at", "seq"])
         .where(F.col("last_ok").isNull() | (order > F.col("last_ok")))
         .groupBy("root_id")
         .agg(F.count(F.lit(1)).alias("failures"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import FAMILY_KEY_ALGO, schemas
 from shelfmark.functions.names import name_tokens, shared_tokens, similarity_score
+from shelfmark.operators.hot_keys import join_lookup
 from shelfmark.session import cut
 
 # Fixed value: two parameter counts closer than this share of the larger one count as alike.
@@ -166,7 +167,7 @@ def alias_circles(aliases: DataFrame, resolved: DataFrame) -> DataFrame:
 def apply_aliases(table: DataFrame, resolved: DataFrame) -> DataFrame:
     """`table` with merged families under the key they were merged into."""
     target = resolved.select(F.col("alias").alias("family_key"), F.col("family_key").alias("into"))
-    merged = table.join(target, "family_key", "left").withColumn(
+    merged = join_lookup(table, target, ["family_key"], table.columns).withColumn(
         "family_key", F.coalesce("into", "family_key")
     )
     return merged.select(*table.columns)

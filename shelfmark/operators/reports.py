@@ -12,6 +12,7 @@ from shelfmark.functions import names
 from shelfmark.functions.names import QUANT_TAGS
 from shelfmark.operators.duplicates import duplicate_groups, has_bytes
 from shelfmark.operators.evidence import latest_evidence
+from shelfmark.operators.hot_keys import join_lookup
 from shelfmark.operators.reconcile import FILE_KEY
 
 
@@ -335,9 +336,9 @@ def family_chips(files: DataFrame, roles: DataFrame, roots: DataFrame) -> DataFr
     small = rows.groupBy("family_key", "root_id", "sha256").agg(
         F.bool_and("verified").alias("verified")
     )
+    shared = join_lookup(small, in_groups, ["sha256"], ["family_key", "root_id"])
     return (
-        small.join(at, "root_id", "left")
-        .join(in_groups, "sha256", "left")
+        shared.join(at, "root_id", "left")
         .groupBy("family_key")
         .agg(
             F.bool_or(~F.coalesce("present", F.lit(False))).alias("offline"),

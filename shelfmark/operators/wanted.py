@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions import names
 from shelfmark.operators.duplicates import has_bytes
+from shelfmark.operators.hot_keys import join_lookup
 
 # ---- fixed values ---------------------------------------------------------------------------
 ACTIVE_TASK_STATES = ("queued", "running", "paused")
@@ -91,8 +92,9 @@ def choose_publisher(matches: DataFrame) -> DataFrame:
     position = F.when(F.size("publishers") == 0, F.lit(0).cast("long")).when(listed > 0, listed)
     placed = matches.withColumn("position", position).where(F.col("position").isNotNull())
     best = placed.groupBy("monitor_id").agg(F.min("position").alias("best"))
+    file = ["provider", "repo", "revision", "filename"]
     return (
-        placed.join(best, "monitor_id")
+        join_lookup(placed, best, ["monitor_id"], file, "inner")
         .where(F.col("position") == F.col("best"))
         .drop("position", "best")
     )
@@ -138,14 +140,9 @@ def wanted_status(chosen: DataFrame, owned: DataFrame, local_variants: DataFrame
         .select("monitor_id", "revision", F.lit(True).alias("cutoff_met"))
         .distinct()
     )
-    # Rows without a digest can match nothing; giving each its own key keeps them from meeting in
-    # one partition.
-    probe = chosen.withColumn(
-        "digest_key", F.coalesce("sha256", F.concat(F.lit("none:"), remote_key()))
-    )
-    known = owned.withColumnRenamed("sha256", "digest_key")
-    judged = probe.join(known, "digest_key", "left").join(
-        satisfied, ["monitor_id", "revision"], "left"
+    file = ["provider", "repo", "revision", "filename", "monitor_id"]
+    judged = join_lookup(
+        join_lookup(chosen, owned, ["sha256"], file), satisfied, ["monitor_id", "revision"], file
     )
     status = (
         F.when(F.col("local_root_id").isNotNull(), "skipped_have_bytes")
@@ -207,12 +204,9 @@ def fetch_eligibility(
         .select("remote_key", F.lit(True).alias("active"))
         .distinct()
     )
-    have = owned.select(F.col("sha256").alias("digest_key"), F.lit(True).alias("owned"))
-    spread = F.coalesce("sha256", F.concat(F.lit("none:"), "remote_key"))
-    judged = (
-        wanted.withColumn("digest_key", spread)
-        .join(have, "digest_key", "left")
-        .join(active, "remote_key", "left")
+    have = owned.select("sha256", F.lit(True).alias("owned"))
+    judged = join_lookup(wanted, have, ["sha256"], ["remote_key"]).join(
+        active, "remote_key", "left"
     )
     rules = {
         "wanted.no_sha256": F.col("sha256").isNull(),
