@@ -91,17 +91,20 @@ def base_name(path: Column | str) -> Column:
 
 
 def stem(path: Column | str) -> Column:
-    bare = F.regexp_replace(base_name(path), r"\.gguf\z", "")
-    return F.regexp_replace(bare, r"\.safetensors\z", "")
+    """Last part of the path without ``.gguf`` and then without ``.safetensors``."""
+    return F.regexp_replace(base_name(path), r"(?:\.safetensors)?(?:\.gguf)?\z", "")
 
 
 def is_shard(stem_col: Column | str) -> Column:
-    return _col(stem_col).rlike(SHARD_PATTERN)
+    # The plain test spares most names the pattern.
+    return _col(stem_col).contains("-of-") & _col(stem_col).rlike(SHARD_PATTERN)
 
 
 def unsharded(stem_col: Column | str) -> Column:
     """The stem without its shard suffix; the stem itself when it has none."""
-    return F.regexp_replace(_col(stem_col), SHARD_PATTERN, "")
+    name = _col(stem_col)
+    stripped = F.regexp_replace(name, SHARD_PATTERN, "")
+    return F.when(name.contains("-of-"), stripped).otherwise(name)
 
 
 def shard_strip(stem_col: Column | str) -> Column:

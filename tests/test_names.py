@@ -69,6 +69,12 @@ def test_ordered_match_equals_a_plain_loop(spark):
     assert one_column(spark, words, names.subflavour("t")) == wanted
 
 
+def test_stems(spark):
+    files = {"d/x.gguf": "x", "x.safetensors.gguf": "x", "x.gguf.safetensors": "x.gguf", "x.GGUF": "x.GGUF",
+             ".gguf": "", "x.gguf.gguf": "x.gguf", "a/b.bin": "b.bin", "x.safetensors": "x"}
+    assert one_column(spark, files, names.stem("t")) == list(files.values())
+
+
 def test_roles(spark):
     assert one_column(spark, ROLES, names.role(names.stem("t"))) == list(ROLES.values())
 
