@@ -738,7 +738,8 @@ def integrity_audit(spark, sf):
             wanted.remote_key().alias("remote_key"), "sha256", F.lit(None).cast("long").alias("local_root_id")
         ),
         "fetch_tasks": view(spark, sf, "v_tasks").select(
-            "remote_key", "state", F.lit("d").alias("dest_rel_path"), F.lit(0).cast("long").alias("dest_root_id")
+            "remote_key", "state", F.lit("d").alias("dest_rel_path"),
+            (F.length("remote_key") % 20).cast("long").alias("dest_root_id"),
         ),
     }
     lost_files = audit.orphans(
