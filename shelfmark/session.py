@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +24,24 @@ ADAPTIVE = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session's context; it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="shelfmark-code-")) / "shelfmark.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._shelfmark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or a local one in single-machine runs."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
