@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import simhash
+from shelfmark.llm import pivots, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,24 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op4_url_rules(spark, sf):
+    return urls.judge(read(spark, sf, "pages"))
+
+
+@query
+def op7_pivot_dedup(spark, sf):
+    return pivots.near_duplicates(read(spark, sf, "embeddings"))
+
+
+ORACLE["op7_pivot_dedup"] = pivots.ORACLE_SQL
+
+
 @query
 def op8_simhash_dedup(spark, sf):
     return simhash.near_duplicates(read(spark, sf, "documents"))
+
+
+@query
+def op9_secret_scan(spark, sf):
+    return secrets.scan(read(spark, sf, "documents"))
