@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import pivots, secrets, simhash, urls
+from shelfmark.llm import bpe, pages, pivots, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,17 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op2_main_text(spark, sf):
+    return pages.main_text(read(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op3_byte_bpe(spark, sf):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(read(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query
 def op4_url_rules(spark, sf):
     return urls.judge(read(spark, sf, "pages"))
