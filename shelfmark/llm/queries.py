@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, pages, pivots, secrets, simhash, urls
+from shelfmark.llm import bpe, langid, pages, pivots, quality, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op4_url_rules(spark, sf):
     return urls.judge(read(spark, sf, "pages"))
 
 
+@query
+def op6_byte_language(spark, sf):
+    return langid.judged(read(spark, sf, "documents"))
+
+
 @query
 def op7_pivot_dedup(spark, sf):
     return pivots.near_duplicates(read(spark, sf, "embeddings"))
@@ -57,3 +62,8 @@ def op8_simhash_dedup(spark, sf):
 @query
 def op9_secret_scan(spark, sf):
     return secrets.scan(read(spark, sf, "documents"))
+
+
+@query
+def op10_quality(spark, sf):
+    return quality.judged(read(spark, sf, "documents"), read(spark, sf, "labels"))

@@ -96,3 +96,20 @@ def smallest_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if np.array_equal(before, label):
             break
     return label
+
+
+def mapped(df: DataFrame, column: str, kept: list[str], made: list[tuple[str, str]], make) -> DataFrame:
+    """`kept` columns of `df` and `made` (name, type) ones, which `make()(values of column)` returns as
+    Arrow arrays, batch by batch. Kept columns of a made name are replaced."""
+    kept = [c for c in kept if c not in {name for name, _ in made}]
+    names = [*kept, *(name for name, _ in made)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = None
+        for batch in batches:
+            one = one or make()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *one(batch.column(0).to_pylist())], names=names)
+
+    frame = df.select(df[column].alias("_in"), *[df[c] for c in kept])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]]
+    return frame.mapInArrow(run, ", ".join([*kinds, *(f"`{name}` {kind}" for name, kind in made)]))
