@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, langid, pages, pivots, quality, secrets, simhash, urls
+from shelfmark.llm import bpe, decontaminate, langid, pages, pivots, quality, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op1_latent_leaks(spark, sf):
+    return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query
 def op2_main_text(spark, sf):
     return pages.main_text(read(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
