@@ -104,7 +104,8 @@ def passages(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded(docs: DataFrame, doc_id: str, text: str, questions) -> DataFrame:
-    """(doc_id, words): little-endian int32 numbers of all words of each text that has one of the vocabulary."""
+    """(doc_id, text_hash, words): little-endian int32 numbers of all words of each text that has one of
+    the vocabulary."""
 
     def make():
         known = questions.value.vocabulary.get
@@ -119,8 +120,10 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, questions) -> DataFrame:
 
         return run
 
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return mapped(named, "text", ["doc_id"], [("words", "binary")], make).where("words is not null")
+    named = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
+    )
+    return mapped(named, "text", ["doc_id", "text_hash"], [("words", "binary")], make).where("words is not null")
 
 
 def _frequencies(words: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -257,7 +260,7 @@ def _matches(space, questions, cosine: float):
         mean = np.array([weights[i.words].mean() for i in items])
         needed = MASS * mean * np.minimum(lengths, PASSAGE)
         for batch in batches:
-            encoded = batch.column(1).to_pylist()
+            encoded = batch.column(2).to_pylist()
             rows, owner = passages(encoded)
             slots = np.where(rows > 0, rows % SLOTS, SLOTS)
             mass = weights[rows]
@@ -283,7 +286,7 @@ def _matches(space, questions, cosine: float):
                     for p, x in zip(place[kept].tolist(), q[kept].tolist()):
                         seen.setdefault((int(owner[p]), x), []).append(p)
             offset = np.searchsorted(owner, np.arange(len(encoded)))
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for (doc, q), places in seen.items():
                 text = np.frombuffer(encoded[doc], "<i4")
                 item, best, until = items[q], None, -1
@@ -298,12 +301,12 @@ def _matches(space, questions, cosine: float):
                     if counts and (best is None or share > best[0]):
                         best = (share, answered)
                 if best:
-                    for values, v in zip(out, (batch.column(0)[doc].as_py(), item.item_id, *best)):
+                    row = (batch.column(0)[doc].as_py(), batch.column(1)[doc].as_py(), item.item_id, *best)
+                    for values, v in zip(out, row):
                         values.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "item_id", "share", "answered"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            names = ["doc_id", "text_hash", "item_id", "share", "answered"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
     return run
 
@@ -312,7 +315,8 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     question: str = "text", answer: str | None = None, cosine: float = COSINE,
 ) -> DataFrame:
-    """(doc_id, item_id, share, answered): one row for each row of `docs` and item that contaminates it.
+    """(doc_id, text_hash, item_id, share, answered): one row for each row of `docs` and item that
+    contaminates it; `text_hash` is Spark's xxhash64 of the text.
 
     `share` is the part of the item's words found in order, the best in the document. Null and empty
     texts match nothing; rows that repeat an item or a document repeat the pairs; null ids are
@@ -323,15 +327,18 @@ def leaks(
     columns = [F.col(item_id).cast("long"), F.col(question), F.col(answer) if answer else F.lit(None).cast("string")]
     own = Questions.of(sorted(map(tuple, benchmark.select(*columns).collect()), key=repr))
     shared = spark.sparkContext.broadcast(own)
-    words = stored(_encoded(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text, shared))
+    words = stored(_encoded(docs, doc_id, text, shared))
     space = spark.sparkContext.broadcast(latent_space(words, len(own.vocabulary)))
-    return words.select("doc_id", "words").mapInArrow(
-        _matches(space, shared, cosine), "doc_id long, item_id long, share double, answered boolean"
+    return words.select("doc_id", "text_hash", "words").mapInArrow(
+        _matches(space, shared, cosine),
+        "doc_id long, text_hash long, item_id long, share double, answered boolean",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that no item contaminates, with all their columns. Rows without an id are
-    judged by their text like all others."""
-    spotted = stored(leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(spotted, docs[doc_id].eqNullSafe(spotted["_leaked"]), "left_anti")
+    """The rows of `docs` that no item contaminates, with all their columns. Rows are told apart by id
+    and text, so rows without an id are judged by their own text."""
+    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    spotted = stored(found.distinct())
+    same = docs[doc_id].cast("long").eqNullSafe(spotted["_id"]) & (F.xxhash64(docs[text]) == spotted["_hash"])
+    return docs.join(spotted, same, "left_anti")

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, langid, pages, pivots, quality, secrets, simhash, urls
+from shelfmark.llm import bpe, decontaminate, langid, lm, pages, pivots, quality, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,8 @@ def query(function: Query) -> Query:
 
 @query
 def op1_latent_leaks(spark, sf):
-    return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    found = decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.drop("text_hash")
 
 
 @query
@@ -46,6 +47,11 @@ def op4_url_rules(spark, sf):
     return urls.judge(read(spark, sf, "pages"))
 
 
+@query
+def op5_cross_entropy(spark, sf):
+    return lm.scored(read(spark, sf, "documents"), lm.good_ids(read(spark, sf, "labels")))
+
+
 @query
 def op6_byte_language(spark, sf):
     return langid.judged(read(spark, sf, "documents"))

@@ -93,18 +93,18 @@ def fingerprints(texts: Iterable[bytes | None], width: int = WIDTH) -> np.ndarra
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """`docs` with the fingerprint as a long; null or wordless texts get 0."""
+def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp", keep_text: bool = False) -> DataFrame:
+    """`docs`, without its text unless asked, with the fingerprint as a long; null or wordless texts get 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = fingerprints(batch.column(0).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], schema=None, names=names)
 
-    kept = [c for c in docs.columns if c not in (text, into)]
+    kept = [c for c in docs.columns if c != into and (keep_text or c != text)]
     names = [*kept, into]
     rest = [docs[c] for c in kept]
-    frame = docs.select(docs[text].cast("binary"), *rest)
+    frame = docs.select(docs[text].cast("binary").alias("_in"), *rest)
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]), f"`{into}` long"])
     return frame.mapInArrow(run, kinds)
 
@@ -241,6 +241,18 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART) -
     )
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """(fp, component, component_id) for every fingerprint in `marked` (doc_id, fp)."""
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = components(fingerprint_links(distinct))
+    grouped = stored(
+        distinct.join(found, F.col("fp") == F.col("node"), "left")
+        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    )
+    smallest = stored(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    return stored(grouped.join(smallest, "component").select("fp", "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc_id, fingerprint, component_id).
 
@@ -249,14 +261,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     null. Columns beyond the two are ignored. An empty table gives an empty table.
     """
     marked = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(fingerprint_links(distinct))
-    grouped = stored(
-        distinct.join(found, F.col("fp") == F.col("node"), "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    )
-    smallest = stored(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = stored(grouped.join(smallest, "component").select("fp", "component_id"))
-    return marked.join(named, "fp").select(
+    return marked.join(_groups(marked), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs`, with all its columns, of each component: of those with the smallest id (null
+    if no row has one) the one with the least fingerprint; of rows equal in both, any."""
+    marked = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+    kept = stored(
+        marked.distinct().join(_groups(marked), "fp").where("doc_id <=> component_id")
+        .groupBy("component").agg(F.min_by(F.struct("doc_id", "fp"), "fp").alias("k"))
+        .select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_kept"))
+    )
+    rows = with_fingerprint(docs, text, "_fp", keep_text=True)
+    same = rows[doc_id].eqNullSafe(kept["_id"]) & (rows["_fp"] == kept["_kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_fp"]).select(*docs.columns)
