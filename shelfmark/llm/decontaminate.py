@@ -338,7 +338,7 @@ def leaks(
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that no item contaminates, with all their columns. Rows are told apart by id
     and text, so rows without an id are judged by their own text."""
-    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_shelfmark_id"), F.col("text_hash").alias("_shelfmark_hash"))
     spotted = stored(found.distinct())
-    same = docs[doc_id].cast("long").eqNullSafe(spotted["_id"]) & (F.xxhash64(docs[text]) == spotted["_hash"])
+    same = docs[doc_id].cast("long").eqNullSafe(spotted["_shelfmark_id"]) & (F.xxhash64(docs[text]) == spotted["_shelfmark_hash"])
     return docs.join(spotted, same, "left_anti")

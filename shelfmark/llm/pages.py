@@ -12,13 +12,14 @@ footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelfmark.llm.tables import mapped
+
 SIGMA = 1.0
 #: Share of the selected text that a region has to hold.
 HOLDS = 0.8
@@ -197,15 +198,13 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     Null or empty html gives an empty text. Columns named text or n_chars are replaced, all others and
     all rows stay, repeated ones too; an empty table gives an empty table.
     """
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    names = [*kept, "text", "n_chars"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(h) for h in batch.column(0).to_pylist()]
-            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
-
-    frame = pages.select(pages[html].alias("_html"), *[pages[c] for c in kept])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]]
-    return frame.mapInArrow(run, ", ".join([*kinds, "text string", "n_chars long"]))
+
+    def make():
+        def run(pages):
+            texts = [extract(h) for h in pages]
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return run
+
+    kept = [c for c in pages.columns if c != html]
+    return mapped(pages, html, kept, [("text", "string"), ("n_chars", "long")], make)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.tables import stored
+from shelfmark.llm.tables import quoted, stored
 
 SCOPE = 200
 MASK = "[SECRET]"
@@ -174,14 +174,14 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: st
         )
     )
     lookup = stored(
-        rows.join(cuts, "row").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.any_value("cuts").alias("_cuts"), F.any_value("rest").alias("_rest"))
+        rows.join(cuts, "row").groupBy(F.col("doc_id").alias("_shelfmark_id"), F.col("text_hash").alias("_shelfmark_hash"))
+        .agg(F.any_value("cuts").alias("_shelfmark_cuts"), F.any_value("rest").alias("_shelfmark_rest"))
     )
-    t = F.col(text)
-    kept = F.transform("_cuts", lambda c: F.substring(t, c["from"] + 1, c["start"] - c["from"]))
-    tail = F.substring(t, F.col("_rest") + 1, F.length(t))
-    clean = F.when(F.col("_cuts").isNotNull(), F.concat(F.concat_ws(mask, kept), F.lit(mask), tail)).otherwise(t)
-    same = docs[doc_id].eqNullSafe(lookup["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == lookup["_hash"])
+    t = docs[text]
+    kept = F.transform("_shelfmark_cuts", lambda c: F.substring(t, c["from"] + 1, c["start"] - c["from"]))
+    tail = F.substring(t, F.col("_shelfmark_rest") + 1, F.length(t))
+    clean = F.when(F.col("_shelfmark_cuts").isNotNull(), F.concat(F.concat_ws(mask, kept), F.lit(mask), tail)).otherwise(t)
+    same = docs[doc_id].eqNullSafe(lookup["_shelfmark_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == lookup["_shelfmark_hash"])
     return docs.join(lookup, same, "left").select(
-        *[clean.alias(text) if c == text else docs[c] for c in docs.columns]
+        *[clean.alias(text) if c == text else docs[quoted(c)] for c in docs.columns]
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.tables import smallest_labels, sorted_chunks, stored
+from shelfmark.llm.tables import mapped, quoted, smallest_labels, sorted_chunks, stored
 
 SEED = 42
 WIDTH = 4
@@ -96,17 +96,9 @@ def fingerprints(texts: Iterable[bytes | None], width: int = WIDTH) -> np.ndarra
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp", keep_text: bool = False) -> DataFrame:
     """`docs`, without its text unless asked, with the fingerprint as a long; null or wordless texts get 0."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = fingerprints(batch.column(0).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], schema=None, names=names)
-
-    kept = [c for c in docs.columns if c != into and (keep_text or c != text)]
-    names = [*kept, into]
-    rest = [docs[c] for c in kept]
-    frame = docs.select(docs[text].cast("binary").alias("_in"), *rest)
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]), f"`{into}` long"])
-    return frame.mapInArrow(run, kinds)
+    kept = [c for c in docs.columns if keep_text or c != text]
+    make = lambda: lambda texts: [pa.array(fingerprints(texts).view(np.int64))]
+    return mapped(docs, docs[quoted(text)].cast("binary"), kept, [(into, "long")], make)
 
 
 # ---- Golay keys -----------------------------------------------------------------------------
@@ -273,8 +265,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = stored(
         marked.distinct().join(_groups(marked), "fp").where("doc_id <=> component_id")
         .groupBy("component").agg(F.min_by(F.struct("doc_id", "fp"), "fp").alias("k"))
-        .select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_kept"))
+        .select(F.col("k.doc_id").alias("_shelfmark_id"), F.col("k.fp").alias("_shelfmark_kept"))
     )
-    rows = with_fingerprint(docs, text, "_fp", keep_text=True)
-    same = rows[doc_id].eqNullSafe(kept["_id"]) & (rows["_fp"] == kept["_kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_fp"]).select(*docs.columns)
+    rows = with_fingerprint(docs, text, "_shelfmark_fp", keep_text=True)
+    same = rows[doc_id].eqNullSafe(kept["_shelfmark_id"]) & (rows["_shelfmark_fp"] == kept["_shelfmark_kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_shelfmark_fp"]).select(*map(quoted, docs.columns))

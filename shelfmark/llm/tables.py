@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from shelfmark.session import shared_dir, tune
 
@@ -98,7 +98,12 @@ def smallest_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def mapped(df: DataFrame, column: str, kept: list[str], made: list[tuple[str, str]], make) -> DataFrame:
+def quoted(name: str) -> str:
+    """A column's name, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def mapped(df: DataFrame, column: str | Column, kept: list[str], made: list[tuple[str, str]], make) -> DataFrame:
     """`kept` columns of `df` and `made` (name, type) ones, which `make()(values of column)` returns as
     Arrow arrays, batch by batch. Kept columns of a made name are replaced."""
     kept = [c for c in kept if c not in {name for name, _ in made}]
@@ -110,6 +115,8 @@ def mapped(df: DataFrame, column: str, kept: list[str], made: list[tuple[str, st
             one = one or make()
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *one(batch.column(0).to_pylist())], names=names)
 
-    frame = df.select(df[column].alias("_in"), *[df[c] for c in kept])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]]
-    return frame.mapInArrow(run, ", ".join([*kinds, *(f"`{name}` {kind}" for name, kind in made)]))
+    source = df[quoted(column)] if isinstance(column, str) else column
+    # numbered names inside: mapInArrow can't take every name
+    frame = df.select(source.alias("c"), *[df[quoted(c)].alias(f"c{i}") for i, c in enumerate(kept)])
+    kinds = [f"{quoted(c)} {f.dataType.simpleString()}" for c, f in zip(kept, frame.schema[1:])]
+    return frame.mapInArrow(run, ", ".join([*kinds, *(f"{quoted(name)} {kind}" for name, kind in made)]))
