@@ -268,107 +268,6 @@ def _each(one):
     return lambda values: [pa.array([one(x) for x in values], pa.binary())]
 
 
-def encode(self, text: str) -> bytes:
-        out = []
-        for piece in self.matches(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.encode_match(piece.encode())
-                if len(self.pieces) >= MOST_PIECES:
-                    self.pieces.clear()
-                if len(piece) <= 64:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> Iterator[str]:
-        """Text of the ids, chunk by chunk; a character is given out once its last byte is read."""
-        numbers, table, reader = np.frombuffer(ids, "<u4"), self.table, Utf8Reader()
-        for at in range(0, len(numbers), CHUNK):
-            yield reader.feed(b"".join([table[i] for i in numbers[at : at + CHUNK].tolist()]))
-        yield reader.close()
-
-
-class Utf8Reader:
-    """Incremental UTF-8. Its states are the ranges that the next bytes of an open character may take;
-    only the last character of a chunk can be open, so only its bytes go through the machine."""
-
-    TAIL = (0x80, 0xBF)
-
-    def __init__(self):
-        self.open = b""
-
-    @classmethod
-    def start(cls, byte: int) -> tuple | None:
-        """State after a first byte: ranges still to come; empty for ASCII, None if none may follow."""
-        tail = cls.TAIL
-        if byte < 0x80:
-            return ()
-        if 0xC2 <= byte <= 0xDF:
-            return (tail,)
-        if 0xE0 <= byte <= 0xEF:
-            return ({0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F)}.get(byte, tail), tail)
-        if 0xF0 <= byte <= 0xF4:
-            return ({0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(byte, tail), tail, tail)
-        return None
-
-    @classmethod
-    def unfinished(cls, data: bytes) -> int:
-        """How many bytes at the end begin a character that may still be completed."""
-        for back in range(1, min(3, len(data)) + 1):
-            first = data[-back]
-            if first & 0xC0 == 0x80:
-                continue
-            state = cls.start(first)
-            for byte in data[len(data) - back + 1 :]:
-                if not state or not state[0][0] <= byte <= state[0][1]:
-                    return 0
-                state = state[1:]
-            return back if state else 0
-        return 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.open + data
-        cut = len(data) - self.unfinished(data)
-        self.open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
-
-    def close(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
-
-
-# ---- Spark ----------------------------------------------------------------------------------
-
-_MADE: dict[tuple, Transducer] = {}
-
-
-def _transducer(ranks: dict[bytes, int], pattern: str) -> Transducer:
-    """One per worker process; it keeps its states from task to task."""
-    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Transducer(ranks, pattern)
-    return _MADE[key]
-
-
-def _map(df: DataFrame, column: str, into: str, kind: str, make) -> DataFrame:
-    """`df` with a column made from another, batch by batch."""
-    kept = [c for c in df.columns if c != into]
-    names = [*kept, into]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = None
-        for batch in batches:
-            one = one or make()
-            made = pa.array([one(x) for x in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=names)
-
-    frame = df.select(df[column].cast("binary").alias("_in"), *[df[c] for c in kept])
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[1:]), f"`{into}` {kind}"])
-    return frame.mapInArrow(run, kinds)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """`docs` with the ids of each whole text: binary, little-endian unsigned 32 bits each.
 

@@ -33,6 +33,7 @@ PER_BAD = 3
 THRESHOLD = 0.7
 WINDOW = 50
 EPOCHS = 12
+LEAST_STEPS = 600
 RATE = 0.02
 DECAY = 1e-4
 
@@ -96,13 +97,13 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     size = WORD_SLOTS + STEPS * STATISTICS
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return Machine(30.0 * (2 * share - 1), np.zeros(size), np.zeros((size, RANK)))
     state = {"b": np.zeros(1), "w": np.zeros(size), "v": rng.normal(0, 0.05, (size, RANK))}
     first = {k: np.zeros_like(x) for k, x in state.items()}
     second = {k: np.zeros_like(x) for k, x in state.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * 64 // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), 64):
             batch = order[at : at + 64]
