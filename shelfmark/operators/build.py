@@ -114,7 +114,7 @@ def assign_roles(
     named = identified.where(F.col("role").isin(*COMPANION_ROLES)).select(
         *FILE_KEY, "role", "family_key"
     )
-    companions = join_lookup(named, known, ["family_key"], FILE_KEY).select(
+    companions = join_lookup(named, known, ["family_key"]).select(
         *FILE_KEY,
         "role",
         F.when(F.col("in_catalogue"), F.col("family_key")).alias("family_key"),

@@ -55,7 +55,7 @@ def duplicate_copies(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Every copy of every duplicate group, one row per path.
 
     The groups have one row per digest, so a digest with very many copies is large on one side of
-    the join only, and that side is dealt out.
+    the join only, which adaptive execution splits.
     """
     groups = duplicate_groups(files).select("sha256", "copies")
     present = files.where(
@@ -63,7 +63,7 @@ def duplicate_copies(files: DataFrame, roots: DataFrame) -> DataFrame:
     ).dropna(subset=["sha256", *ALLOCATION])
     names = roots.select("root_id", F.col("name").alias("root_name"))
     return (
-        join_lookup(present, groups, ["sha256"], ["root_id", "rel_path"], "inner")
+        join_lookup(present, groups, ["sha256"], "inner")
         .join(names, "root_id")
         .select("sha256", "root_id", "root_name", "rel_path", *ALLOCATION, "copies", "size")
     )
@@ -100,7 +100,8 @@ def blob_refcount(blobs: DataFrame, files: DataFrame) -> DataFrame:
 
 def hash_gate(files: DataFrame, by: Sequence[str] = ("size", "partial_digest")) -> DataFrame:
     """Adds `collides`: another file has the same size and partial digest, so only a full digest
-    can tell them apart. The collision counts are aggregated and joined back, so a common size does
-    not gather its files in one task."""
-    seen = files.groupBy(*by).agg((F.count(F.lit(1)) > 1).alias("collides"))
-    return join_lookup(files, seen, list(by), files.columns, "inner")
+    can tell them apart. A file without a known size or partial digest collides with none. The keys that
+    collide are aggregated and joined back, so a common size does not gather its files in one task."""
+    known = files.dropna(subset=list(by))
+    seen = known.groupBy(*by).count().where(F.col("count") > 1).select(*by, F.lit(True).alias("collides"))
+    return join_lookup(files, seen, list(by)).withColumn("collides", F.coalesce("collides", F.lit(False)))

@@ -151,7 +151,7 @@ def presence_with_patience(probes: DataFrame, patience: int = 3) -> DataFrame:
     )
     failed = probes.where("failed")
     failures = (
-        join_lookup(failed, stats.select("root_id", "last_ok"), ["root_id"], ["at", "seq"])
+        join_lookup(failed, stats.select("root_id", "last_ok"), ["root_id"])
         .where(F.col("last_ok").isNull() | (order > F.col("last_ok")))
         .groupBy("root_id")
         .agg(F.count(F.lit(1)).alias("failures"))

@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parts one key is split into. Adaptive execution splits a part further when it is still too large.
+from shelfmark.session import cut
+
+# Parts a hot key is split into. Adaptive execution splits a part further when it is still too large.
 PARTS = 16
 
 
-def join_lookup(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], row_id: Sequence[str], how: str = "left"
-) -> DataFrame:
+def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """`rows` joined with `lookup`, which has at most one row per `on`.
 
-    A lookup made by aggregation is already partitioned by its key. Spark would then send every row
-    of a hot key to that one partition, and adaptive execution could not split it, because it splits
-    only joins with a shuffle right below them on both sides. So the rows of a key are dealt to
-    `PARTS` parts by a hash of `row_id`, and each lookup row goes to every part: nothing is dropped,
-    and null keys are dealt out as well. A small lookup is still broadcast.
+    A lookup made by aggregation is already partitioned by its key. Spark would then send every row of
+    a hot key to that one partition, and adaptive execution could not split it, because it splits only
+    joins with a shuffle right below them on both sides. So keys with more rows than an average
+    partition are found by a count first; there are fewer of them than partitions, which bounds what is
+    broadcast. Only their rows are dealt to `PARTS` parts, and only their lookup rows are copied.
+    Rows with a null key meet nothing and are dealt out as well.
     """
-    part = "part_of_key"
-    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*row_id), F.lit(PARTS)))
-    everywhere = lookup.withColumn(
-        part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    on = list(on)
+    counts = cut(rows.dropna(subset=on).groupBy(*on).count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(counts.where(F.col("count") > total / partitions).select(*on, F.lit(True).alias("is_hot")))
+    part, whole = "part_of_key", F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")])
+    dealt = F.pmod(whole, F.lit(PARTS))
+    some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    mine = rows.join(hot, on, "left").withColumn(
+        part, F.when(F.col("is_hot") | some_null, dealt).otherwise(F.lit(0).cast("long"))
     )
-    return dealt.join(everywhere, [*on, part], how).drop(part)
+    last = F.when(F.col("is_hot"), F.lit(PARTS - 1)).otherwise(F.lit(0)).cast("long")
+    theirs = lookup.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return mine.drop("is_hot").join(theirs.drop("is_hot"), [*on, part], how).drop(part)

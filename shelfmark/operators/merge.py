@@ -53,16 +53,24 @@ def merge_suggestions(
     declined: DataFrame,
     aliases: DataFrame,
     algo_version: str = FAMILY_KEY_ALGO,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """All pairs of families with a name token in common and the same architecture.
+    """All pairs of families with a name token in common and the same architecture; with `asked`
+    (`family_key`) the pairs that have one of those families, as for the families new in a scan.
 
     Families with the same tokens and architecture form one signature; tokens are compared between
     signatures, not between families. Two signatures meet at each token they share, and the smallest
     shared token alone reports them, which needs no distinct afterwards. Only then are signatures
     opened into families, so every pair that is made is a row of the answer. The family stored first
-    is `a`. The answer itself grows with the square of a popular token; store it as a table.
+    is `a`. The whole answer grows with the square of a popular token; with `asked` it grows with the
+    families asked for.
     """
     order = F.struct("first_root_id", "first_rel_path", "family_key")
+    if asked is None:
+        families = families.withColumn("asked", F.lit(True))
+    else:
+        mark = asked.select("family_key").distinct().withColumn("asked", F.lit(True))
+        families = families.join(mark, "family_key", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     members = (
         families.withColumn("tokens", name_tokens("family_key"))
         .where(F.size("tokens") > 0)
@@ -70,13 +78,13 @@ def merge_suggestions(
             # Unknown architectures are alike; the mark keeps them apart from any real name.
             F.coalesce(F.concat(F.lit("="), "arch"), F.lit("?")).alias("arch_mark"),
             F.concat_ws("-", "tokens").alias("signature"),
-            F.struct(order.alias("at"), "family_key", "params_total").alias("family"),
+            F.struct(order.alias("at"), "family_key", "params_total", "asked").alias("family"),
         )
     )
-    signatures = members.select("arch_mark", "signature").distinct()
+    signatures = members.groupBy("arch_mark", "signature").agg(F.bool_or("family.asked").alias("asked"))
     tokens = F.split("signature", "-")
     by_token = signatures.select(
-        "arch_mark", "signature", F.explode(F.array_distinct(tokens)).alias("token")
+        "arch_mark", "signature", "asked", F.explode(F.array_distinct(tokens)).alias("token")
     )
     one, two = by_token.alias("one"), by_token.alias("two")
     list_1 = F.split(F.col("one.signature"), "-")
@@ -85,6 +93,7 @@ def merge_suggestions(
         (F.col("one.arch_mark") == F.col("two.arch_mark"))
         & (F.col("one.token") == F.col("two.token"))
         & (F.col("one.signature") <= F.col("two.signature"))
+        & (F.col("one.asked") | F.col("two.asked"))
         & (F.col("one.token") == F.array_min(F.array_intersect(list_1, list_2)))
     )
     alike = one.join(two, same_place).select(
@@ -111,6 +120,7 @@ def merge_suggestions(
         alike.join(first, ["arch_mark", "signature_1"])
         .join(second, ["arch_mark", "signature_2"])
         .where((F.col("signature_1") != F.col("signature_2")) | in_order)
+        .where(F.col("f1.asked") | F.col("f2.asked"))
         .select(
             F.when(in_order, F.col("f1")).otherwise(F.col("f2")).alias("a"),
             F.when(in_order, F.col("f2")).otherwise(F.col("f1")).alias("b"),
@@ -167,7 +177,7 @@ def alias_circles(aliases: DataFrame, resolved: DataFrame) -> DataFrame:
 def apply_aliases(table: DataFrame, resolved: DataFrame) -> DataFrame:
     """`table` with merged families under the key they were merged into."""
     target = resolved.select(F.col("alias").alias("family_key"), F.col("family_key").alias("into"))
-    merged = join_lookup(table, target, ["family_key"], table.columns).withColumn(
+    merged = join_lookup(table, target, ["family_key"]).withColumn(
         "family_key", F.coalesce("into", "family_key")
     )
     return merged.select(*table.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.functions import names
+from shelfmark.functions.identity import FILE_TYPE_QUANTS
 from shelfmark.functions.names import QUANT_TAGS
 from shelfmark.operators.duplicates import duplicate_groups, has_bytes
 from shelfmark.operators.evidence import latest_evidence
@@ -299,9 +300,13 @@ def search(
     max_params: float | None = None,
     kind: str | None = None,
 ) -> DataFrame:
-    """Families that hold every word of `query` and pass the given filters."""
+    """Families that hold every word of `query` and pass the given filters.
+
+    The words of the query are cut by the same rule as the words of the families.
+    """
     found = families
-    words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    cut_words = F.array_distinct(F.filter(F.split(names.slug(F.lit(query)), "-"), lambda w: w != ""))
+    words = families.sparkSession.range(1).select(cut_words).first()[0]
     if words:
         hits = (
             tokens.where(F.col("token").isin(words))
@@ -336,7 +341,7 @@ def family_chips(files: DataFrame, roles: DataFrame, roots: DataFrame) -> DataFr
     small = rows.groupBy("family_key", "root_id", "sha256").agg(
         F.bool_and("verified").alias("verified")
     )
-    shared = join_lookup(small, in_groups, ["sha256"], ["family_key", "root_id"])
+    shared = join_lookup(small, in_groups, ["sha256"])
     return (
         shared.join(at, "root_id", "left")
         .groupBy("family_key")
@@ -383,13 +388,19 @@ def shard_sets(files: DataFrame) -> DataFrame:
     )
 
 
+#: Every quantisation that a name or a header can give.
+LADDER = tuple(dict.fromkeys((*QUANT_TAGS, *FILE_TYPE_QUANTS.values(), "unknown")))
+
+
 def quant_ladder(
     variants: DataFrame,
     wanted: DataFrame | None = None,
-    quants: Sequence[str] = (*QUANT_TAGS, "unknown"),
+    quants: Sequence[str] = LADDER,
 ) -> DataFrame:
     """One row per family, one column per quantisation: `have`, `wanted` (an open hole) or null.
 
+    By default the columns are all quantisations that names and headers can give.
+
     `wanted` has `family_key`, `quant` and `status`.
     """
     steps = variants.select("family_key", "quant", F.lit("have").alias("step"))

@@ -9,6 +9,7 @@ from shelfmark import schemas
 from shelfmark.functions import names
 from shelfmark.operators.duplicates import has_bytes
 from shelfmark.operators.hot_keys import join_lookup
+from shelfmark.session import cut
 
 # ---- fixed values ---------------------------------------------------------------------------
 ACTIVE_TASK_STATES = ("queued", "running", "paused")
@@ -86,15 +87,16 @@ def choose_publisher(matches: DataFrame) -> DataFrame:
     """Files of the most preferred publisher that has any, per monitor; no preference keeps all.
 
     The best position is aggregated per monitor and joined back, so a monitor with very many files
-    is not sorted in one task.
+    is not sorted in one task. The matches are used twice, so they are written once: the remote listing
+    is not scanned and joined again.
     """
+    matches = cut(matches)
     listed = F.array_position("publishers", F.col("publisher"))
     position = F.when(F.size("publishers") == 0, F.lit(0).cast("long")).when(listed > 0, listed)
     placed = matches.withColumn("position", position).where(F.col("position").isNotNull())
     best = placed.groupBy("monitor_id").agg(F.min("position").alias("best"))
-    file = ["provider", "repo", "revision", "filename"]
     return (
-        join_lookup(placed, best, ["monitor_id"], file, "inner")
+        join_lookup(placed, best, ["monitor_id"], "inner")
         .where(F.col("position") == F.col("best"))
         .drop("position", "best")
     )
@@ -140,9 +142,8 @@ def wanted_status(chosen: DataFrame, owned: DataFrame, local_variants: DataFrame
         .select("monitor_id", "revision", F.lit(True).alias("cutoff_met"))
         .distinct()
     )
-    file = ["provider", "repo", "revision", "filename", "monitor_id"]
     judged = join_lookup(
-        join_lookup(chosen, owned, ["sha256"], file), satisfied, ["monitor_id", "revision"], file
+        join_lookup(chosen, owned, ["sha256"]), satisfied, ["monitor_id", "revision"]
     )
     status = (
         F.when(F.col("local_root_id").isNotNull(), "skipped_have_bytes")
@@ -160,14 +161,18 @@ def wanted_status(chosen: DataFrame, owned: DataFrame, local_variants: DataFrame
 
 
 def upsert_wanted(existing: DataFrame, swept: DataFrame, swept_at: int) -> DataFrame:
-    """Wanted items after a sweep, one row per remote file; the newest sweep wins."""
+    """Wanted items after a sweep, one row per remote file; the newest sweep wins. Where one sweep judges
+    a file for several monitors, owned bytes count first, then an open hole, then what is satisfied: a
+    hole that one monitor has is not hidden by another that has none."""
     found = swept.withColumn("swept_at", F.lit(swept_at).cast("long"))
     names_ = schemas.WANTED.names
     values = [c for c in names_ if c != "remote_key"]
     rows = existing.select(*names_, F.lit(0).alias("age")).unionByName(
         found.select(*names_, F.lit(1).alias("age"))
     )
-    newest = F.struct("swept_at", "age", "status")
+    rank = F.when(F.col("status") == "skipped_have_bytes", 3).when(F.col("status") == "open", 2)
+    rank = rank.when(F.col("status") == "satisfied", 1).otherwise(0)
+    newest = F.struct("swept_at", "age", rank, "status")
     return (
         rows.groupBy("remote_key")
         .agg(F.max_by(F.struct(*values), newest).alias("row"))
@@ -205,7 +210,7 @@ def fetch_eligibility(
         .distinct()
     )
     have = owned.select("sha256", F.lit(True).alias("owned"))
-    judged = join_lookup(wanted, have, ["sha256"], ["remote_key"]).join(
+    judged = join_lookup(wanted, have, ["sha256"]).join(
         active, "remote_key", "left"
     )
     rules = {

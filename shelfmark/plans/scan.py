@@ -34,10 +34,16 @@ def parse_state(examined: DataFrame) -> DataFrame:
     )
 
 
-def trust_names(examined: DataFrame) -> DataFrame:
-    """Takes the digest that a content-addressed store put into the name, where none was read."""
+def trust_names(listed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Adds `trusted_sha256`: the digest that a content-addressed store put into the name, if a blob
+    with that digest is known and has the file's size. Such a file need not be read for its digest."""
+    known = blobs.where(F.col("sha256").isNotNull()).select(
+        F.col("sha256").alias("trusted_sha256"), F.col("size").alias("blob_size")
+    ).distinct()
     named = F.when(F.col("readable") & ~F.col("is_symlink"), digest_in_name("rel_path"))
-    return examined.withColumn("sha256", F.coalesce("sha256", named))
+    found = listed.withColumn("named", named)
+    same = (F.col("named") == F.col("trusted_sha256")) & (F.col("size") == F.col("blob_size"))
+    return found.join(known, same, "left").drop("named", "blob_size")
 
 
 def scan(
@@ -47,6 +53,8 @@ def scan(
     quick: bool = False,
     trust_digest_names: bool = False,
     active_key: str = "",
+    max_depth: int | None = None,
+    tasks: int | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The next snapshot's tables and the scan report.
 
@@ -56,11 +64,17 @@ def scan(
     repeated when an executor is lost, without reading a file twice.
     """
     roots = cut(listing.probe(catalogue["roots"], now))
-    entries = listing.walk(roots.where("present").select("root_id", "path"))
-    listed = listing.list_files(entries)
-    examined = contents.examine_files(listed, digests=not quick, active_key=active_key)
+    entries = listing.walk(roots.where("present").select("root_id", "path"), max_depth, tasks)
+    listed = reconcile.needs_hash(cut(listing.list_files(entries, tasks)), quick)
     if trust_digest_names:
-        examined = trust_names(examined)
+        listed = cut(trust_names(listed, catalogue["blobs"]))
+        listed = listed.withColumn("needs_hash", F.col("needs_hash") & F.col("trusted_sha256").isNull())
+    examined = contents.examine_files(listed, active_key=active_key, tasks=tasks)
+    if trust_digest_names:
+        key = ["root_id", "rel_path"]
+        trusted = listed.where("trusted_sha256 is not null").select(*key, "trusted_sha256")
+        examined = examined.join(trusted, key, "left").withColumn("sha256", F.coalesce("sha256", "trusted_sha256"))
+        examined = examined.drop("trusted_sha256")
     current = cut(parse_state(examined))
 
     changes = cut(reconcile.compare_listings(catalogue["files"], current, roots))
@@ -105,9 +119,9 @@ def scan(
     return tables, report
 
 
-def identify_files(paths: DataFrame, active_key: str = "") -> DataFrame:
+def identify_files(paths: DataFrame, active_key: str = "", tasks: int | None = None) -> DataFrame:
     """What is in each file of a listing: format, error, role, name, key, quantisation, digests."""
-    examined = parse_state(contents.examine_files(paths, active_key=active_key))
+    examined = parse_state(contents.examine_files(paths, active_key=active_key, tasks=tasks))
     identified = with_identity(examined)
     return identified.select(
         "root_id", "rel_path", "size", "format", "parse_error", "role", "name", "arch", "kind",

@@ -29,8 +29,7 @@ from shelfmark.sources import gguf
 
 # ---- fixed values ---------------------------------------------------------------------------
 SNIFF_BYTES = 64
-GGUF_HEADER_CAP = 1 << 20
-SAFETENSORS_HEADER_CAP = 8 << 20
+SAFETENSORS_HEADER_USUAL = 8 << 20
 HASH_STEP = 1 << 20
 PARTIAL_WINDOW = 64 << 10
 # ---- end of fixed values --------------------------------------------------------------------
@@ -43,12 +42,17 @@ _RAW = schemas.table(
 _PYTORCH_ENDINGS = (".pt", ".pth", ".bin")
 
 
-def sniff(head: bytes, path: str) -> str:
-    """Format by magic, else by the shape of a safetensors header, else by extension."""
+#: Bytes of header texts that one Arrow piece gathers, and rows at most.
+PIECE_BYTES, PIECE_ROWS = 16 << 20, 256
+
+
+def sniff(head: bytes, path: str, size: int = 0) -> str:
+    """Format by magic, else by the shape of a safetensors header (of usual length, or of any that fits
+    into the file's `size`), else by extension."""
     if head[:4] == gguf.MAGIC:
         return "gguf"
     length = int.from_bytes(head[:8], "little")
-    if head[8:9] == b"{" and 2 <= length <= SAFETENSORS_HEADER_CAP:
+    if head[8:9] == b"{" and 2 <= length <= max(SAFETENSORS_HEADER_USUAL, size - 8):
         return "safetensors"
     ending = os.path.splitext(path)[1].lower()
     if ending == ".onnx":
@@ -58,19 +62,20 @@ def sniff(head: bytes, path: str) -> str:
 
 def _header_facts(source: BinaryIO, path: str, options: dict) -> dict:
     try:
+        size = source.seek(0, io.SEEK_END)
+        source.seek(0)
         head = source.read(SNIFF_BYTES)
     except OSError:
         return {"format": "unknown"}
-    facts = {"format": sniff(head, path)}
+    facts = {"format": sniff(head, path, size)}
     try:
         if facts["format"] == "gguf":
-            data = head + source.read(options["gguf_cap"] - len(head))
-            facts |= gguf.read_facts(data, options["active_key"], options["max_array"])
+            facts |= gguf.read_facts(source, **options)
         elif facts["format"] == "safetensors":
             length = int.from_bytes(head[:8], "little")
-            text = (head[8:] + source.read(max(0, length + 8 - len(head))))[:length]
-            if len(text) < length:
+            if length > size - 8:
                 raise gguf.HeaderError("header_too_large")
+            text = (head[8:] + source.read(max(0, length + 8 - len(head))))[:length]
             facts["safetensors_header"] = text.decode("utf-8")
     except gguf.HeaderError as error:
         facts["parse_error"] = str(error)
@@ -125,13 +130,18 @@ def _with_rows(batch: pa.RecordBatch, rows: list[dict], schema: pa.Schema) -> pa
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _arrow_job(rows_of: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema, step: int):
+def _arrow_job(rows_of: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Small pieces, because a header text can have megabytes.
-            for start in range(0, batch.num_rows, step):
-                piece = batch.slice(start, step)
-                yield _with_rows(piece, list(rows_of(piece)), schema)
+            # Pieces by the bytes they gather, because a header text can have megabytes.
+            start, rows, held = 0, [], 0
+            for row in rows_of(batch):
+                rows.append(row)
+                held += len(row.get("safetensors_header") or "")
+                if held >= PIECE_BYTES or len(rows) >= PIECE_ROWS:
+                    yield _with_rows(batch.slice(start, len(rows)), rows, schema)
+                    start, rows, held = start + len(rows), [], 0
+            yield _with_rows(batch.slice(start, len(rows)), rows, schema)
 
     return run
 
@@ -147,17 +157,18 @@ def examine_files(
     digests: bool = True,
     headers: bool = True,
     active_key: str = "",
-    gguf_cap: int = GGUF_HEADER_CAP,
-    max_array: int = gguf.MAX_ARRAY,
+    max_array: int | None = None,
+    max_string: int | None = None,
+    max_nesting: int | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
     """`listing` (`schemas.LISTING`) with header facts and digests of its readable regular files.
 
-    Files are dealt to tasks by a hash of their path, not by folder or root: one root may hold most
-    files. One file's digest cannot be split, so use many more tasks than cores (`tasks`, by default
-    the number of shuffle partitions); tasks that draw a huge file then run beside many small ones.
+    A column `needs_hash`, if there, says whose digests to read. Files are dealt to `tasks` (by default
+    as many as there are shuffle partitions, and always that many) by size: see `deal_by_size`. One
+    file's digest cannot be split, so use many more tasks than cores.
     """
-    options = {"active_key": active_key, "gguf_cap": gguf_cap, "max_array": max_array}
+    options = {"active_key": active_key, "max_array": max_array, "max_string": max_string, "max_nesting": max_nesting}
     schema = StructType(schemas.LISTING.fields + _RAW.fields)
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -169,20 +180,39 @@ def examine_files(
             )
         ]
         paths = [os.path.join(r, p) for r, p in zip(get["root_path"], get["rel_path"])]
-        return _examine(paths, [p and digests for p in plain], [p and headers for p in plain], options)
+        asked = batch.column("needs_hash").to_pylist()
+        return _examine(
+            paths, [p and digests and a for p, a in zip(plain, asked)], [p and headers for p in plain], options
+        )
 
-    by_path = ["root_id", "rel_path"]
-    dealt = listing.repartition(tasks, *by_path) if tasks else listing.repartition(*by_path)
-    job = _arrow_job(rows_of, _arrow_schema(schema), 256)
-    found = dealt.select(*schemas.LISTING.names).mapInArrow(job, schema)
+    if "needs_hash" not in listing.columns:
+        listing = listing.withColumn("needs_hash", F.lit(True))
+    dealt = deal_by_size(listing.select(*schemas.LISTING.names, "needs_hash"), tasks)
+    found = dealt.mapInArrow(_arrow_job(rows_of, _arrow_schema(schema)), schema)
     return _finish(found, schemas.LISTING.names)
 
 
+def deal_by_size(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows in exactly `tasks` partitions (by default as many as there are shuffle partitions).
+
+    Rows are sorted by size and dealt in turn, so that the largest files go to different tasks and all
+    tasks get much the same bytes. An explicit number is needed: adaptive execution would merge the
+    partitions by the bytes of the listing, which is tiny beside the files it names.
+    """
+    count = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc_nulls_last("size"), "root_id", "rel_path"]
+    ordered = listing.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    turn = F.pmod(
+        F.monotonically_increasing_id() % F.lit(1 << 33) + F.spark_partition_id() * 7, F.lit(count)
+    ).cast("int")
+    return ordered.withColumn("turn", turn).repartitionById(count, "turn").drop("turn")
+
+
 def header_facts_of_bytes(
     table: DataFrame, content: str, path: str, active_key: str = ""
 ) -> DataFrame:
     """Header facts where the file's first bytes are a column of a table."""
-    options = {"active_key": active_key, "gguf_cap": GGUF_HEADER_CAP, "max_array": gguf.MAX_ARRAY}
+    options = {"active_key": active_key}
     kept = [c for c in table.columns if c != content]
     schema = StructType([f for f in table.schema.fields if f.name != content] + _RAW.fields)
 
@@ -190,7 +220,7 @@ def header_facts_of_bytes(
         for data, name in zip(batch.column(content).to_pylist(), batch.column(path).to_pylist()):
             yield _header_facts(io.BytesIO(data or b""), name, options)
 
-    job = _arrow_job(rows_of, _arrow_schema(schema), 256)
+    job = _arrow_job(rows_of, _arrow_schema(schema))
     return _finish(table.mapInArrow(job, schema), kept).drop("sha256", "partial_digest", "hash_error")
 
 

@@ -13,6 +13,7 @@ import os
 import stat
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.session import cut
 
-MAX_DEPTH = 64  # fixed value
-
 _ENTRY = "root_id long, root_path string, rel_path string, what string, is_symlink boolean"
 
 
@@ -34,23 +33,40 @@ def _list_folder(root_path: str, rel: str) -> Iterator[tuple[str, str, bool]]:
         yield rel, "dirs_unreadable", False
         return
     with entries:
-        for entry in entries:
+        while True:
+            try:
+                entry = next(entries, None)
+            except OSError:  # what a network mount lists may break off; what came before counts
+                yield rel, "dirs_unreadable", False
+                return
+            if entry is None:
+                return
             path = f"{rel}{entry.name}"
             try:
                 path.encode("utf-8")
             except UnicodeEncodeError:
                 yield rel, "skipped_non_utf8", False
                 continue
-            if entry.is_symlink():
-                try:
-                    to_folder = entry.is_dir()
-                except OSError:
-                    to_folder = False
-                yield path, "skipped_symlink_dirs" if to_folder else "file", True
-            elif entry.is_dir(follow_symlinks=False):
-                yield f"{path}/", "folder", False
-            elif entry.is_file(follow_symlinks=False):
-                yield path, "file", False
+            try:
+                found = _what(entry)
+            except OSError:
+                yield path, "dirs_unreadable", False
+                continue
+            if found is not None:
+                what, is_link = found
+                yield f"{path}/" if what == "folder" else path, what, is_link
+
+
+def _what(entry: os.DirEntry) -> tuple[str, bool] | None:
+    if entry.is_symlink():
+        try:
+            to_folder = entry.is_dir()
+        except OSError:
+            to_folder = False
+        return "skipped_symlink_dirs" if to_folder else "file", True
+    if entry.is_dir(follow_symlinks=False):
+        return "folder", False
+    return ("file", False) if entry.is_file(follow_symlinks=False) else None
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,17 +82,24 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def walk(roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _tasks(df: DataFrame, tasks: int | None) -> int:
+    """An explicit number, since adaptive execution would merge tasks by the bytes of mere names."""
+    return tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def walk(roots: DataFrame, max_depth: int | None = None, tasks: int | None = None) -> DataFrame:
     """All entries below the given roots (`root_id, path`): files and what was left out, by `what`.
 
+    The walk ends when no folder is left; `max_depth` ends it earlier and counts what it leaves out.
+
     Each round is checkpointed, so later steps see the same names even if folders change meanwhile.
     """
     folders = roots.select(
         "root_id", F.col("path").alias("root_path"), F.lit("").alias("rel_path")
     )
     levels: list[DataFrame] = []
-    for depth in range(max_depth + 2):
-        if depth > max_depth:
+    for depth in count():
+        if max_depth is not None and depth > max_depth:
             levels.append(
                 folders.select(
                     "root_id", "root_path", "rel_path", F.lit("skipped_deep").alias("what"),
@@ -85,7 +108,7 @@ def walk(roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             )
             break
         found = cut(
-            folders.repartition("root_id", "rel_path").mapInPandas(_list_folders, _ENTRY)
+            folders.repartition(_tasks(roots, tasks), "root_id", "rel_path").mapInPandas(_list_folders, _ENTRY)
         )
         is_folder = F.col("what") == "folder"
         levels.append(found.where(~is_folder))
@@ -129,14 +152,15 @@ def _stat_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([named, stats], axis=1)[list(schemas.LISTING.names)]
 
 
-def list_files(entries: DataFrame) -> DataFrame:
+def list_files(entries: DataFrame, tasks: int | None = None) -> DataFrame:
     """The files among `entries` (of `walk`) with their stat, as `schemas.LISTING`.
 
     A link is followed for size and times but stays marked; one without a regular file behind it is
     kept as not `readable`, which the comparison counts as seen.
     """
     files = entries.where(F.col("what") == "file").drop("what")
-    return files.repartition("root_id", "rel_path").mapInPandas(_stat_files, schemas.LISTING)
+    dealt = files.repartition(_tasks(entries, tasks), "root_id", "rel_path")
+    return dealt.mapInPandas(_stat_files, schemas.LISTING)
 
 
 def skipped(entries: DataFrame) -> DataFrame:

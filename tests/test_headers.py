@@ -4,6 +4,7 @@ import hashlib
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.sources import contents, gguf
@@ -15,20 +16,27 @@ def array(item: int, count: int, body: bytes = b"") -> bytes:
 
 
 def nested(depth: int) -> bytes:
-    return array(4, 0) if depth == 0 else array(9, 1, nested(depth - 1))
+    return array(9, 1) * depth + array(4, 0)
 
 
 BAD = {
     "gguf.magic": b"GGUX" + bytes(20),
     "gguf.unsupported_version": p.gguf(version=1),
     "gguf.truncated": p.model(basename="x")[:-1],
-    "gguf.string_too_long": p.gguf([("k", 8, struct.pack("<Q", (1 << 20) + 1))]),
-    "gguf.array_too_large": p.gguf([("k", 9, array(0, 4097, bytes(5000)))]),
-    "gguf.array_too_deep": p.gguf([("k", 9, array(9, 1, array(9, 1, array(9, 1, array(9, 1, array(9, 1, array(4, 0)))))))]),
+    "gguf.array_too_deep": p.gguf([("k", 9, nested(5000))]),
     "gguf.bad_tag": p.gguf([("k", 13, b"")]),
     "gguf.bad_utf8": p.gguf([("k", 8, struct.pack("<Q", 1) + b"\xff")]),
     "gguf.params_not_finite": p.gguf(tensors=[[1 << 63] * 20]),
 }
+LIMITED = {
+    "gguf.string_too_long": (p.gguf([("k", 8, p.text("x" * 99))]), {"max_string": 98}),
+    "gguf.array_too_large": (p.gguf([("k", 9, array(0, 99, bytes(99)))]), {"max_array": 98}),
+    "gguf.array_too_deep": (p.gguf([("k", 9, nested(6))]), {"max_nesting": 4}),
+}
+LYING = [
+    p.gguf([("k", 8, struct.pack("<Q", 1 << 62))]), p.gguf([("k", 9, array(4, 1 << 62))]),
+    p.gguf([("k", 9, array(8, 1 << 62, bytes(64)))]), p.gguf([("k", 9, array(9, 1 << 62))]),
+]
 
 
 @pytest.mark.parametrize("code", BAD)
@@ -37,6 +45,54 @@ def test_bad_gguf(code):
         gguf.read_facts(BAD[code])
 
 
+@pytest.mark.parametrize("code", LIMITED)
+def test_limits_are_options(code):
+    data, limit = LIMITED[code]
+    gguf.read_facts(data)
+    with pytest.raises(gguf.HeaderError, match=code.replace(".", r"\.")):
+        gguf.read_facts(data, **limit)
+
+
+@pytest.mark.parametrize("data", LYING)
+def test_lengths_beyond_the_file(data):
+    with pytest.raises(gguf.HeaderError, match="truncated"):
+        gguf.read_facts(data)
+
+
+def vocabulary(n=150_000):
+    words = b"".join(p.text(f"token{i}") for i in range(n))
+    pairs = [("tokenizer.ggml.tokens", 9, array(8, n, words)), ("scores", 9, array(6, n, bytes(4 * n))),
+             ("general.basename", 8, p.text("Large Vocabulary")), ("general.architecture", 8, p.text("qwen3"))]
+    return p.gguf(pairs, [(7, 3)])
+
+
+def test_large_vocabulary_and_long_headers(spark, tmp_path):
+    """Headers beyond a megabyte (and, for safetensors, beyond eight) are read to their end."""
+    data = vocabulary()
+    assert len(data) > 2 << 20
+    long = p.safetensors({"__metadata__": {"architectures": "LlamaForCausalLM", "pad": "x" * (9 << 20)}, "a": {"shape": [6]}})
+    p.write(tmp_path, {"v.gguf": data, "long.safetensors": long})
+    rows = {r.rel_path: r for r in contents.examine_files(listing_of(spark, tmp_path, ["v.gguf", "long.safetensors"])).collect()}
+    assert (rows["v.gguf"].basename, rows["v.gguf"].params_total, rows["v.gguf"].parse_error) == ("Large Vocabulary", 21.0, None)
+    assert (rows["long.safetensors"].arch, rows["long.safetensors"].params_total) == ("LlamaForCausalLM", 6.0)
+
+
+def test_files_are_dealt_to_all_tasks_by_size(spark):
+    """20,000 listed files in as many tasks as there are shuffle partitions, the large ones apart."""
+    size = F.when(F.col("id") < 8, F.lit(1 << 40)).otherwise(F.col("id"))
+    files = spark.range(0, 20_000, 1, 3).select(
+        F.lit(1).cast("long").alias("root_id"), F.concat(F.lit("f"), "id").alias("rel_path"), size.alias("size"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        at = contents.deal_by_size(files).groupBy(F.spark_partition_id().alias("t")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("size") == 1 << 40).alias("huge")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(at) == 64 and sum(r.n for r in at) == 20_000
+    assert max(r.n for r in at) < 700 and max(r.huge for r in at) == 1
+
+
 def test_good_gguf():
     pairs = [
         ("general.architecture", 8, p.text("clip")), ("general.name", 8, p.text("N")),

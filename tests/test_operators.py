@@ -47,7 +47,7 @@ def test_hot_digest_is_split_in_the_join(spark):
         spark.conf.set(k, v)
     try:
         groups = duplicates.duplicate_groups(hot_files(spark)).select("sha256", "copies")
-        joined = join_lookup(hot_files(spark), groups, ["sha256"], ["rel_path"], "inner")
+        joined = join_lookup(hot_files(spark), groups, ["sha256"], "inner")
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in sizes) == 10_000
         assert max(r["count"] for r in sizes) < 4_000
@@ -183,3 +183,48 @@ def test_reports_ignore_order_and_partitions(spark):
     assert sorted(one) == sorted(many)
     totals = duplicates.duplicate_totals(files).first()
     assert totals.reclaimable_bytes <= 3000 * 7
+
+
+def test_gate_keeps_every_file(spark):
+    rows = [(1, 5, "a"), (2, 5, "a"), (3, 5, "b"), (4, None, "a"), (5, 5, None), (6, None, None)]
+    got = duplicates.hash_gate(spark.createDataFrame(rows, "id long, size long, partial_digest string"))
+    assert {r.id: r.collides for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_ladder_has_every_quantisation(spark):
+    rows = [("m", "Q4_1_SOME_F16"), ("m", "unknown"), ("n", "Q4_K_M")]
+    got = {r.family_key: r.asDict() for r in reports.quant_ladder(spark.createDataFrame(rows, "family_key string, quant string")).collect()}
+    assert got["m"]["Q4_1_SOME_F16"] == got["m"]["unknown"] == "have" and got["n"]["Q4_K_M"] == "have"
+
+
+def test_search_cuts_words_like_the_catalogue(spark):
+    families = spark.createDataFrame(
+        [("modele-x", "Mod\u00e8le X", "llama", "llm", 1.0)], "family_key string, name string, arch string, kind string, params_total double")
+    none = lambda schema: spark.createDataFrame([], schema)
+    tokens = reports.search_tokens(
+        families, none("family_key string, alias string"), none("entity_type string, entity_key string, tag string"),
+        none("subject_type string, subject_key string, repo string"))
+    for query, n in (("Mod\u00e8le", 1), ("mod\u00e8le x!", 1), ("--", 1), ("other", 0)):
+        assert reports.search(families, tokens, query).count() == n, query
+
+
+def test_open_hole_is_not_hidden_by_another_monitor(spark):
+    values = {f.name: None for f in schemas.WANTED.fields}
+    row = lambda key, status: tuple((values | {"remote_key": key, "status": status})[f.name] for f in schemas.WANTED.fields)
+    swept = spark.createDataFrame(
+        [row("a", "satisfied"), row("a", "open"), row("b", "open"), row("b", "skipped_have_bytes"), row("c", "satisfied")], schemas.WANTED)
+    stored = spark.createDataFrame([row("c", "open")], schemas.WANTED)
+    got = {r.remote_key: r.status for r in wanted.upsert_wanted(stored, swept.drop("swept_at"), 9).collect()}
+    assert got == {"a": "open", "b": "skipped_have_bytes", "c": "satisfied"}
+
+
+def test_suggestions_for_asked_families_only(spark):
+    rows = [("foo-bar|x", "x", 1.0, 1, "a"), ("foo-baz|x", "x", 1.1, 1, "b"), ("foo-qux|x", "x", 9.0, 1, "c"), ("foo-bar-baz|x", "x", 1.0, 1, "d")]
+    families = spark.createDataFrame(rows, "family_key string, arch string, params_total double, first_root_id long, first_rel_path string")
+    no = spark.createDataFrame([], schemas.DECLINED_MERGES)
+    aliases = spark.createDataFrame([], "family_key string, alias string")
+    pairs = lambda df: {(r.a_key, r.b_key, r.reason) for r in df.collect()}
+    every = pairs(merge.merge_suggestions(families, no, aliases))
+    asked = spark.createDataFrame([("foo-qux|x",), ("none",)], "family_key string")
+    assert pairs(merge.merge_suggestions(families, no, aliases, asked=asked)) == {p for p in every if "foo-qux|x" in p[:2]}
+    assert len(every) == 6

@@ -177,7 +177,14 @@ def test_h1_h2_quick_scan_owns_nothing_unless_the_name_is_trusted(spark, scans,
     tables = {n: spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
     row = (1, "r", str(tmp_path), "internal", "catalogue", "u", None, False, False, None, None)
     tables["roots"] = spark.createDataFrame([row], schemas.ROOTS)
-    after, report = scan(tables, 1, 1, quick=True, trust_digest_names=True)
+    unknown, _ = scan(tables, 1, 1, quick=True, trust_digest_names=True)
+    assert unknown["files"].where("sha256 is not null").count() == 0
+    blob = schemas.BLOBS
+    for size, owned in ((5, 0), (4, 1)):
+        row = {f.name: None for f in blob.fields} | {"sha256": digest, "size": size}
+        tables["blobs"] = spark.createDataFrame([tuple(row[f.name] for f in blob.fields)], blob)
+        after, report = scan(tables, 1, 1, quick=True, trust_digest_names=True)
+        assert after["files"].where("sha256 is not null").count() == owned
     asked = after["files"].select("root_id", "rel_path")
     assert values(duplicates.have_bytes(asked, after["files"]), "rel_path", "have_bytes") == [
         (f"blobs/sha256-{digest}", True), ("model.gguf", False)]
