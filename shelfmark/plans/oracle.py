@@ -269,8 +269,7 @@ CTES = {name: duckdb_view(name) for name in VIEWS} | {
       local_root_id, CAST({NOW} AS BIGINT) AS swept_at FROM statuses
     UNION ALL SELECT concat_ws('|', provider, repo, revision, filename) AS k, provider, repo, revision,
       filename, size, sha256, 'fetched', CAST(NULL AS BIGINT), CAST({NOW - 1000} AS BIGINT)
-    FROM v_remote WHERE size % 9000 = 0
-      AND concat_ws('|', provider, repo, revision, filename) NOT IN (SELECT remote_key FROM statuses)""",
+    FROM v_remote WHERE concat_ws('|', provider, repo, revision, filename) NOT IN (SELECT remote_key FROM statuses)""",
     "chain": """SELECT c_custkey AS k, c_custkey // 2 AS up FROM customer
     WHERE c_custkey > 0 AND c_custkey % 7 <> 0""",
     "a_roots": """SELECT k AS root_id, CASE WHEN k % 6 = 5 THEN concat('/mnt/n', k - 1, '/inner/deep')
@@ -283,8 +282,7 @@ CTES = {name: duckdb_view(name) for name in VIEWS} | {
       concat('p', p_partkey - CASE WHEN p_partkey % 100 = 31 THEN 30 ELSE 0 END) AS rel_path,
       sha256(p_name) AS sha256 FROM part""",
     "tree": """SELECT concat(replace(lower(p_brand), '#', '-'), '/', replace(p_name, ' ', '-'), '-', p_type,
-      '.gguf') AS rel_path, p_name, p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total
-    FROM part GROUP BY p_name, p_brand, p_type""",
+      '-', p_partkey, '.gguf') AS rel_path, p_name, p_type, 1 AS n, CAST(p_size AS BIGINT) AS total FROM part""",
 }
 
 
@@ -339,7 +337,9 @@ _STATEMENTS = {
     "blob_refcount": """SELECT b.sha256, b.size, count(d.rel_path) AS refcount
       FROM doc_blobs b LEFT JOIN v_docs d ON d.sha256 = b.sha256 GROUP BY ALL""",
     "hash_gate": """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size,
-      count(*) OVER (PARTITION BY strlen(text), substr(text, 1, 16)) > 1 AS collides FROM documents""",
+      count(*) OVER (PARTITION BY strlen(text), CASE WHEN strlen(text) > 131072
+        THEN sha256(unhex(concat(substr(hex(text), 1, 131072), substr(hex(text), length(hex(text)) - 131071, 131072))))
+        ELSE sha256(text) END) > 1 AS collides FROM documents""",
     "content_digest": """SELECT doc_id, sha256(text) AS sha256,
       CASE WHEN strlen(text) > 512 THEN sha256(unhex(concat(substr(hex(text), 1, 512),
         substr(hex(text), length(hex(text)) - 511, 512)))) ELSE sha256(text) END AS partial_digest
@@ -518,14 +518,15 @@ _STATEMENTS = {
       source AS repo, concat('f', doc_id) AS filename,
       concat('{{"repo":"', source, '","filename":"f', doc_id, '"}}') AS payload_json, 'external' AS level,
       CAST({NOW} AS BIGINT) AS fetched_at FROM documents WHERE doc_id % 3 = 0""",
-    "declined_pairs": f"""SELECT a AS family_a_key, b AS family_b_key, '1' AS algo_version,
+    "declined_pairs": f"""SELECT a AS family_a_key, b AS family_b_key, rule AS algo_version,
       coalesce(min(made) FILTER (WHERE old), CAST({NOW} AS BIGINT)) AS declined_at FROM
       (SELECT least(CAST(o_custkey AS VARCHAR), o_orderstatus) AS a,
-         greatest(CAST(o_custkey AS VARCHAR), o_orderstatus) AS b, false AS old, o_orderkey AS made FROM orders
+         greatest(CAST(o_custkey AS VARCHAR), o_orderstatus) AS b, false AS old, o_orderkey AS made, '1' AS rule
+         FROM orders
        UNION ALL
        SELECT least(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)),
-         greatest(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)), true, o_orderkey
-       FROM orders WHERE o_orderkey % 50 = 0) GROUP BY a, b""",
+         greatest(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)), true, o_orderkey,
+         CASE WHEN o_orderkey % 50 = 0 THEN '1' ELSE '0' END FROM orders) GROUP BY a, b, rule""",
     "merge_suggestions": f"""SELECT a.family_key AS a_key, b.family_key AS b_key,
       CASE WHEN abs(a.params_total - b.params_total)
         <= 0.15 * greatest(a.params_total, b.params_total) THEN 'params' ELSE 'name' END AS reason,

@@ -91,7 +91,7 @@ def hash_gate(spark, sf):
     files = table(spark, sf, "documents").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("size"),
-        F.sha2(F.substring("text", 1, 16), 256).alias("partial_digest"),
+        contents.digests_of_bytes(F.col("text").cast("binary"))[1].alias("partial_digest"),
     )
     return duplicates.hash_gate(files).select("doc_id", "size", "collides")
 
@@ -422,13 +422,14 @@ def offline_guard(spark, sf):
 
 def _report(spark, sf) -> DataFrame:
     orders = table(spark, sf, "orders")
-    skips = orders.where(F.col("o_orderkey") % 97 == 0).select(
+    skipped = F.col("o_orderkey") % 97 == 0
+    skips = orders.select(
         (F.col("o_orderkey") % 5).alias("root_id"),
-        F.when(F.col("o_orderkey") % 2 == 0, "skipped_symlink_dirs")
-        .otherwise("dirs_unreadable").alias("reason"),
+        F.when(skipped & (F.col("o_orderkey") % 2 == 0), "skipped_symlink_dirs")
+        .when(skipped, "dirs_unreadable").alias("reason"),
     )
-    fresh = orders.where(F.col("o_orderkey") % 89 == 0).select(
-        (F.col("o_orderkey") % 5).alias("root_id")
+    fresh = orders.select(
+        F.when(F.col("o_orderkey") % 89 == 0, F.col("o_orderkey") % 5).alias("root_id")
     )
     return reconcile.scan_report(
         _changes(spark, sf), view(spark, sf, "v_scan_roots"), skips, fresh
@@ -513,8 +514,10 @@ def presence_hysteresis(spark, sf):
 
 @query
 def index_enrichment(spark, sf):
-    index = table(spark, sf, "documents").where(F.col("doc_id") % 3 == 0).select(
-        F.sha2("text", 256).alias("sha256"), F.col("source").alias("repo"),
+    """The index knows every third document; its other entries have digests that no blob has."""
+    known = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("not "), "text"))
+    index = table(spark, sf, "documents").select(
+        F.sha2(known, 256).alias("sha256"), F.col("source").alias("repo"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"),
     )
     return evidence.enrich_from_index(_doc_blobs(spark, sf), index, "index", NOW)
@@ -551,9 +554,10 @@ def declined_pairs(spark, sf):
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise(customer).alias("b_key"),
         F.lit("1").alias("algo_version"),
     )
-    stored = orders.where(F.col("o_orderkey") % 50 == 0).select(
+    rule = F.when(F.col("o_orderkey") % 50 == 0, "1").otherwise("0")
+    stored = orders.select(
         F.least(key, customer).alias("family_a_key"), F.greatest(key, customer).alias("family_b_key"),
-        F.lit("1").alias("algo_version"), F.col("o_orderkey").alias("declined_at"),
+        rule.alias("algo_version"), F.col("o_orderkey").alias("declined_at"),
     )
     return merge.decline_pairs(stored, asked, NOW)
 
@@ -565,10 +569,11 @@ def merge_suggestions(spark, sf):
 
 
 def _alias_chain(spark, sf) -> DataFrame:
-    """Customer n merged into n/2, rounded down, except every seventh: chains of many lengths."""
+    """Customer n merged into n/2, rounded down, every seventh into itself: chains of many lengths."""
     key = F.col("c_custkey")
-    return table(spark, sf, "customer").where((key > 0) & (key % 7 != 0)).select(
-        F.concat(F.lit("f"), F.floor(key / 2).cast("string")).alias("family_key"),
+    into = F.when(key % 7 == 0, key).otherwise(F.floor(key / 2))
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("f"), into.cast("string")).alias("family_key"),
         F.concat(F.lit("f"), key.cast("string")).alias("alias"),
         F.lit("user").alias("source"),
     )
@@ -627,7 +632,7 @@ def _wanted(spark, sf) -> DataFrame:
         wanted.remote_key().alias("remote_key"), "provider", "repo", "revision", "filename", "size",
         "sha256", F.lit("fetched").alias("status"), F.lit(None).cast("long").alias("local_root_id"),
         F.lit(NOW - 1000).cast("long").alias("swept_at"),
-    ).where(F.col("size") % 9000 == 0)
+    )
     return wanted.upsert_wanted(stored, _statuses(spark, sf), NOW)
 
 

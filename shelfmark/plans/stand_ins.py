@@ -94,10 +94,9 @@ def _write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def model_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model per part name, brand and type; how many parts it stands for and their sizes are its
-    tensor shape. The number of models is bounded by the names in the data, not by its rows."""
-    models = table(spark, sf_dir, "part").groupBy("p_name", "p_brand", "p_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("total")
+    """One model per part; its size is the model's tensor shape."""
+    models = table(spark, sf_dir, "part").withColumns(
+        {"n": F.lit(1).cast("long"), "total": F.col("p_size").cast("long")}
     )
     brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))
     header = gguf_hex(
@@ -106,7 +105,7 @@ def model_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.select(
         F.concat(
             brand, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_type",
-            F.lit(".gguf"),
+            F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".gguf"),
         ).alias("rel_path"),
         F.unhex(header).alias("content"),
     )

@@ -135,22 +135,23 @@ FROM {customer}""",
     "v_owned_files": """
 SELECT CAST(o_orderkey % 5 AS BIGINT) AS root_id, concat('o', CAST(o_orderkey AS STRING)) AS rel_path,
   sha_of(CAST(o_orderkey AS STRING)) AS sha256,
-  CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE 'full' END AS hash_state
-FROM {orders} WHERE o_orderkey % 3 = 0""",
+  CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 9 = 0 THEN 'none' ELSE 'full' END AS hash_state
+FROM {orders}""",
     "v_local_variants": """
-SELECT concat('f', CAST(o_custkey AS STRING)) AS family_key,
+SELECT concat(CASE WHEN o_orderkey % 6 = 1 THEN 'f' ELSE 'other' END, CAST(o_custkey AS STRING)) AS family_key,
   concat('rev-', o_orderstatus) AS rev_label,
   CASE o_orderkey % 4 WHEN 0 THEN 'Q4_K_M' WHEN 1 THEN 'Q5_K_M' WHEN 2 THEN 'Q8_0' ELSE 'Q3_K_S' END
     AS quant
-FROM {orders} WHERE o_orderkey % 6 = 1""",
+FROM {orders}""",
     "v_tasks": """
 SELECT concat('hub|r', CAST(o_custkey AS STRING), '|rev-', o_orderstatus, '|m',
     CAST(o_orderkey AS STRING), '-',
     CASE o_orderkey % 4 WHEN 0 THEN 'Q4_K_M' WHEN 1 THEN 'Q5_K_M' WHEN 2 THEN 'Q8_0' ELSE 'Q3_K_S' END,
     CASE o_orderkey % 3 WHEN 0 THEN '-bartowski' WHEN 1 THEN '-mradermacher' ELSE '' END,
     CASE WHEN o_orderkey % 5 = 0 THEN '.safetensors' ELSE '.gguf' END) AS remote_key,
-  CASE o_orderkey % 5 WHEN 1 THEN 'queued' WHEN 2 THEN 'running' ELSE 'done' END AS state
-FROM {orders} WHERE o_orderkey % 7 = 0""",
+  CASE WHEN o_orderkey % 7 <> 0 THEN 'done' WHEN o_orderkey % 5 = 1 THEN 'queued'
+       WHEN o_orderkey % 5 = 2 THEN 'running' ELSE 'done' END AS state
+FROM {orders}""",
     "v_shards": """
 SELECT CAST(o_orderkey % 5 AS BIGINT) AS root_id,
   concat('c', CAST(o_custkey AS STRING), '/model-', o_orderstatus, '-0000',
