@@ -31,6 +31,9 @@ BIGRAM_WEIGHT = 20.0
 BLOCK = 16 << 20
 LEAST_BLOCKS = 64
 
+#: Bits of an n-gram's hash: a billion different ones give about seven that share theirs with another.
+KEY_BITS = 56
+
 BORDER = np.uint64(xxhash.xxh64_intdigest(b"#border", 7))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -60,13 +63,39 @@ def sequence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the unigram and of the bigram that end at each word but the first."""
-    return _mixed(words[1:] * _ODD[1]), _mixed(_mixed(words[:-1]) * _ODD[2] + words[1:])
+    """Keys, of 56 bits, of the unigram and of the bigram that end at each word but the first."""
+    spare = np.uint64(64 - KEY_BITS)
+    return _mixed(words[1:] * _ODD[1]) >> spare, _mixed(_mixed(words[:-1]) * _ODD[2] + words[1:]) >> spare
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // KEY_BITS, 8), dtype=np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").ravel()
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 16 bits each; the places and values of those too large for that come first."""
+    large = np.flatnonzero(counts >= 0xFFFF)
+    head = np.concatenate([[len(large)], large, counts[large]]).astype("<u8")
+    return head.tobytes() + np.minimum(counts, 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    head = np.frombuffer(data, "<u8", 1 + 2 * n)[1:].astype(np.int64)
+    out = np.frombuffer(data, "<u2", offset=8 * (1 + 2 * n)).astype(np.int64)
+    out[head[:n]] = head[n:]
+    return out
 
 
 def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys, the key ranges that have any, and where each begins and the last ends."""
-    range_ = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    range_ = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
     starts = np.flatnonzero(np.append(True, range_[1:] != range_[:-1]))
     return range_[starts], np.append(starts, len(keys))
 
@@ -93,29 +122,26 @@ def _count(bits: int):
         keys, n_all = np.unique(np.concatenate([unigrams, bigrams]), return_counts=True)
         mine = np.repeat(target, lengths + 1)
         some, n = np.unique(np.concatenate([unigrams[mine], bigrams[mine]]), return_counts=True)
-        n_target = np.zeros(len(keys), dtype=np.uint32)
+        n_target = np.zeros(len(keys), dtype=np.int64)
         n_target[np.searchsorted(keys, some)] = n
-        n_all = n_all.astype(np.uint32)
         ranges, cuts = _ranges(keys, bits)
-        piece = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-        return pa.Table.from_arrays(
-            [pa.array(ranges), pa.array(np.full(len(ranges), block)), piece(keys), piece(n_all), piece(n_target)],
-            names=names,
-        )
+        pieces = lambda x, pack: pa.array([pack(x[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+        counted = [pieces(keys, packed_keys), pieces(n_all, packed), pieces(n_target, packed)]
+        return pa.Table.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), block)), *counted], names=names)
 
     return run
 
 
 def _total(table: pa.Table) -> pa.Table:
     """Totals of one key range, for each block in the order of its keys."""
-    parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    parts = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
     keys, place = np.unique(np.concatenate(parts), return_inverse=True)
     cuts = np.cumsum([0, *map(len, parts)])
     out = []
     for name in ("n_all", "n_target"):
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(name).to_pylist()])
-        total = np.bincount(place, n, len(keys)).astype(np.float32)[place]
-        out.append(pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()))
+        n = np.concatenate([unpacked(x) for x in table.column(name).to_pylist()])
+        total = np.bincount(place, n, len(keys)).astype(np.int64)[place]
+        out.append(pa.array([packed(total[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()))
     return pa.Table.from_arrays(
         [table.column("block").combine_chunks(), table.column("range").combine_chunks(), *out],
         names=["block", "range", "n_all", "n_target"],
@@ -146,9 +172,7 @@ def _score(n_all: float, n_target: float):
         unigrams, bigrams = ngrams(words)
         _, place = np.unique(np.concatenate([unigrams, bigrams]), return_inverse=True)
         order = np.argsort(totals.column("range").to_numpy())
-        count = lambda name: np.frombuffer(
-            b"".join([totals.column(name)[int(i)].as_py() for i in order]), np.float32
-        )
+        count = lambda name: np.concatenate([unpacked(totals.column(name)[int(i)].as_py()) for i in order])
         one, two = place[: len(unigrams)], place[len(unigrams) :]
         before = np.append(one[-1], one[:-1])  # the last word is a border, as is the one before the first
         every, own = count("n_all").astype(np.float64), count("n_target").astype(np.float64)

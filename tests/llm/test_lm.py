@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from shelfmark.llm import lm
 from tests.llm.helpers import documents, empty, table
 
@@ -58,3 +60,10 @@ def test_good_ids(spark):
     rows = [(1, 1, 0), (1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 0, 0), (None, 1, 0), (5, None, None)]
     got = lm.good_ids(table(spark, rows, "doc_id long, quality int, toxic int")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+
+
+def test_packed_counts_and_keys_come_back():
+    counts = np.array([0, 1, 65534, 65535, 65536, 1 << 40, 3])
+    keys = np.array([0, 1, (1 << 56) - 1, 1 << 55], dtype=np.uint64)
+    assert (lm.unpacked(lm.packed(counts)) == counts).all() and len(lm.unpacked(lm.packed(counts[:0]))) == 0
+    assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
