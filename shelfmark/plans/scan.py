@@ -11,6 +11,7 @@ from shelfmark.functions.names import digest_in_name, is_partial_download
 from shelfmark.operators import build, evidence, reconcile
 from shelfmark.session import cut
 from shelfmark.sources import contents, listing
+from shelfmark.sources.store import CatalogueTables
 
 
 def parse_state(examined: DataFrame) -> DataFrame:
@@ -102,7 +103,8 @@ def scan(
         fresh.select(F.col("first_root_id").alias("root_id")),
     )
     scanned_at = F.when(F.col("present"), F.lit(now).cast("long")).otherwise(F.col("last_scan_at"))
-    tables = dict(catalogue)
+    runs = reconcile.scan_runs_rows(report, now, now)
+    tables = CatalogueTables(catalogue, appended={"evidence": log, "scan_runs": runs})
     tables.update(
         roots=roots.withColumn("last_scan_at", scanned_at).select(*schemas.ROOTS.names),
         files=files,
@@ -112,9 +114,7 @@ def scan(
         variants=variants.select(*schemas.VARIANTS.names),
         file_roles=roles,
         evidence=catalogue["evidence"].unionByName(log),
-        scan_runs=catalogue["scan_runs"].unionByName(
-            reconcile.scan_runs_rows(report, now, now)
-        ),
+        scan_runs=catalogue["scan_runs"].unionByName(runs),
     )
     return tables, report
 

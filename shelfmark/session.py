@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -55,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _own_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="shelfmark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)  # a folder of this single-machine run
     spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -3,7 +3,8 @@
 A snapshot is written to a new folder and becomes visible only when one row is appended to the
 `snapshots` table after all its tables are complete. Readers take the newest row, so a job that dies
 half-way leaves the previous snapshot in place, and a scan can read one snapshot while writing the
-next.
+next. The row says which folders make up each table: a table that did not change keeps the folders it
+had, and one that only grows (evidence, scan runs) gets a folder with its new rows.
 """
 
 from __future__ import annotations
@@ -14,62 +15,100 @@ from pyspark.sql.utils import AnalysisException
 
 from shelfmark import FAMILY_KEY_ALGO, SCHEMA_VERSION, schemas
 
-_LOG = "snapshot long, schema_version string, family_key_algo string, written_at long"
+_LOG = "snapshot long, schema_version string, family_key_algo string, written_at long, folders map<string,array<string>>"
+
+
+class CatalogueTables(dict):
+    """Tables by name; `appended` has the new rows of those that only grow."""
+
+    def __init__(self, *args, appended: dict[str, DataFrame] | None = None):
+        super().__init__(*args)
+        self.appended = appended or {}
+
+    def __setitem__(self, name: str, table: DataFrame) -> None:
+        super().__setitem__(name, table)
+        self.appended.pop(name, None)  # a table put in place later is written as it is
 
 
 class CatalogueStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
-
-    def _path(self, snapshot: int, table: str) -> str:
-        return f"{self.base}/snapshot={snapshot}/{table}"
+        self._handed_out: tuple[int, dict[str, DataFrame]] | None = None
 
     def newest(self) -> int | None:
         """Number of the newest complete snapshot, or None for a new catalogue."""
+        log = self._log()
+        return None if log is None else log[0]
+
+    def _log(self, snapshot: int | None = None) -> tuple[int, dict[str, list[str]]] | None:
+        """Number and folders of the newest (or the given) snapshot."""
         try:
             log = self.spark.read.schema(_LOG).parquet(f"{self.base}/snapshots")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        if snapshot is not None:
+            log = log.where(F.col("snapshot") == snapshot)
         row = log.agg(
             F.max("snapshot").alias("snapshot"),
             F.max_by(F.struct("schema_version", "family_key_algo"), "snapshot").alias("v"),
+            F.max_by("folders", "snapshot").alias("folders"),
         ).first()
         if row.snapshot is not None and tuple(row.v) != (SCHEMA_VERSION, FAMILY_KEY_ALGO):
             raise ValueError(f"catalogue has versions {tuple(row.v)}; migrate it first")
-        return row.snapshot
+        if row.snapshot is None:
+            return None
+        whole = {name: [f"snapshot={row.snapshot}/{name}"] for name in schemas.TABLES}
+        return row.snapshot, whole | (row.folders or {})
 
     def read(self, snapshot: int | None = None) -> dict[str, DataFrame]:
         """All tables of a snapshot (the newest by default); empty tables for a new catalogue."""
-        number = self.newest() if snapshot is None else snapshot
-        if number is None:
+        log = self._log(snapshot)
+        if log is None:
             return {n: self.spark.createDataFrame([], s) for n, s in schemas.TABLES.items()}
-        return {
-            name: self.spark.read.schema(schema).parquet(self._path(number, name))
+        number, folders = log
+        tables = {
+            name: self.spark.read.schema(schema).parquet(*[f"{self.base}/{f}" for f in folders[name]])
             for name, schema in schemas.TABLES.items()
         }
+        self._handed_out = (number, tables)
+        return dict(tables)
 
     def write(self, tables: dict[str, DataFrame], written_at: int) -> int:
-        """Writes a complete new snapshot and publishes it; returns its number.
+        """Publishes a new snapshot and returns its number.
 
-        Tables that are not given are carried over from the newest snapshot.
+        Tables that are not given, or are the ones read from the newest snapshot, keep their folders; of
+        those in `tables.appended` (`CatalogueTables`) only the new rows are written, if the rest was read
+        from the newest snapshot; all others are written whole.
         """
-        current = self.newest()
-        number = 0 if current is None else current + 1
-        before = self.read(current) if set(tables) != set(schemas.TABLES) else {}
+        log = self._log()
+        number = 0 if log is None else log[0] + 1
+        before = {} if log is None else log[1]
+        handed_out = self._handed_out[1] if log and self._handed_out and self._handed_out[0] == log[0] else {}
+        appended = getattr(tables, "appended", {}) if handed_out else {}
+        folders: dict[str, list[str]] = {}
         for name, schema in schemas.TABLES.items():
-            table = tables.get(name, before.get(name)).select(*schema.names)
+            table = tables.get(name)
+            if name in before and (table is None or table is handed_out.get(name)):
+                folders[name] = before[name]
+                continue
+            own = f"snapshot={number}/{name}"
+            if name in appended and name in before:
+                table, folders[name] = appended[name], [*before[name], own]
+            else:
+                folders[name] = [own]
+            table = table.select(*schema.names)
             column = schemas.PARTITIONED_BY.get(name)
             if column:
                 # Even-sized files per value: a value that holds most rows gets several writers.
                 writer = table.hint("rebalance", column).write.partitionBy(column)
             else:
                 writer = table.hint("rebalance").write
-            writer.mode("overwrite").parquet(self._path(number, name))
+            writer.mode("overwrite").parquet(f"{self.base}/{own}")
         log = self.spark.createDataFrame(
-            [(number, SCHEMA_VERSION, FAMILY_KEY_ALGO, written_at)], _LOG
+            [(number, SCHEMA_VERSION, FAMILY_KEY_ALGO, written_at, folders)], _LOG
         )
         log.coalesce(1).write.mode("append").parquet(f"{self.base}/snapshots")
         return number

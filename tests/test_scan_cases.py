@@ -125,6 +125,13 @@ def scans(spark, tmp_path_factory):
     # A snapshot that was never published is not seen.
     store.read()["files"].write.parquet(f"{store.base}/snapshot=3/files")
     assert store.newest() == 2 and store.read(1)["scan_runs"].count() == len(CASES)
+    # what did not change keeps its folder, and what only grows gets its new rows
+    _, folders = store._log()
+    assert folders["monitors"] == ["snapshot=0/monitors"] and folders["files"] == ["snapshot=2/files"]
+    assert folders["evidence"] == [f"snapshot={n}/evidence" for n in range(3)]
+    for name in ("evidence", "scan_runs"):
+        parts = [spark.read.parquet(f"{store.base}/{f}").count() for f in folders[name]]
+        assert store.read()[name].count() == sum(parts) and sum(parts) > parts[-1]
     yield found
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
