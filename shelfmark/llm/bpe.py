@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.tables import mapped
+from shelfmark.llm.tables import kept_in_worker, mapped
 
 #: States and remembered matches are dropped and built anew beyond these numbers.
-MOST_STATES = 200_000
-MOST_PIECES = 200_000
+MOST_STATES = 120_000
+MOST_PIECES = 120_000
 #: Tokens decoded at once.
 CHUNK = 65_536
 
@@ -90,7 +90,7 @@ class Transducer:
         known = self.beside.get((left, right))
         if known is not None:
             return known
-        if len(self.beside) > 1_000_000:
+        if len(self.beside) > 300_000:
             self.beside.clear()
         rights, lefts = self._edge(left)[1], self._edge(right)[0]
         never = len(self.table)
@@ -251,16 +251,10 @@ class Utf8Reader:
 
 # ---- Spark ----------------------------------------------------------------------------------
 
-_MADE: dict[tuple, Transducer] = {}
-
-
 def _transducer(ranks: dict[bytes, int], pattern: str) -> Transducer:
     """One per worker process; it keeps its states from task to task."""
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Transducer(ranks, pattern)
-    return _MADE[key]
+    return kept_in_worker(key, lambda: Transducer(ranks, pattern))
 
 
 def _each(one):
@@ -280,7 +274,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
         own = _transducer(ranks.value, pattern)
         return _each(lambda value: own.encode(value or ""))
 
-    return mapped(docs, text, docs.columns, [(into, "binary")], make)
+    return mapped(docs, text, docs.columns, [(into, "binary")], make, keep=True)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -291,13 +285,31 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: s
         own = _transducer(ranks.value, pattern)
         return _each(lambda value: "".join(own.decode(value or b"")).encode())
 
-    return mapped(tokens, ids, tokens.columns, [(into, "binary")], make)
+    return mapped(tokens, ids, tokens.columns, [(into, "binary")], make, keep=True)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """`docs` with `ids` as in `encode` and `decoded` as in `decode`, made in one pass: a second one
+    would need a second Python worker with a transducer of its own beside the first."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+    def make():
+        own = _transducer(ranks.value, pattern)
+
+        def run(texts):
+            ids = [own.encode(t or "") for t in texts]
+            decoded = ["".join(own.decode(i)).encode() for i in ids]
+            return [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+
+        return run
+
+    return mapped(docs, text, docs.columns, [("ids", "binary"), ("decoded", "binary")], make, keep=True)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of `docs`: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    encoded = encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return decode(encoded, path, pattern).select(
+    made = encode_and_decode(docs.select("doc_id", "text"), path, pattern)
+    return made.select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.tables import smallest_labels, sorted_chunks, stored
+from shelfmark.llm.tables import smallest_labels, sorted_chunks, stored, tidy
 
 THRESHOLD = 0.93
 NEAR = 8
@@ -153,7 +153,7 @@ def near_duplicates(
     listed = stored(
         classes.select("cid", "label", "size", "copies", "embedding")
         .mapInArrow(
-            _describe(pivots, near, shared),
+            tidy(_describe(pivots, near, shared)),
             f"cid long, label {kind}, size int, copies long, embedding array<double>, "
             "named array<int>, listed array<int>",
         )
@@ -175,7 +175,7 @@ def near_duplicates(
         .select(*LIST, "own", "cid", "copies", "named", "embedding")
         .repartition(tasks, *LIST)
         .sortWithinPartitions(*LIST)
-        .mapInArrow(_compare(threshold, shared), "a long, b long, n long")
+        .mapInArrow(tidy(_compare(threshold, shared)), "a long, b long, n long")
     )
     linked = found.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     grouped = stored(

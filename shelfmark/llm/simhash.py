@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.tables import mapped, quoted, smallest_labels, sorted_chunks, stored
+from shelfmark.llm.tables import mapped, quoted, smallest_labels, sorted_chunks, stored, tidy
 
 SEED = 42
 WIDTH = 4
@@ -213,7 +213,7 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART) -
     """Edges (a, b) that connect exactly the fingerprints `fp` that chains of links of at most
     `bits` <= 4 differing bits connect: each task gives a forest, not all pairs."""
     spark = distinct.sparkSession
-    keyed = distinct.select("fp").mapInArrow(_keys_of, "key long, fp long")
+    keyed = distinct.select("fp").mapInArrow(tidy(_keys_of), "key long, fp long")
     hot = stored(
         keyed.groupBy("key").count().where(F.col("count") > part)
         .select("key", F.ceil(F.col("count") / part).alias("parts"))
@@ -229,7 +229,7 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART) -
     return (
         dealt.repartition(tasks, "key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_links(bits), "a long, b long")
+        .mapInArrow(tidy(_links(bits)), "a long, b long")
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +47,41 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_kept: dict = {}  # of a Python worker: what its last operator keeps from task to task
+
+
+def kept_in_worker(key, make):
+    """What `make()` gives, made once in a worker and kept for later tasks with that key; tasks of
+    another operator drop it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back(keep: bool = False) -> None:
+    """Called at the end of a task: a worker lives on, and what it no longer needs would stay with it,
+    beside the executor's own memory."""
+    if not keep:
+        _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run):
+    """`run`, a function of batches, with `give_back` when it has ended."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def sorted_chunks(
     batches: Iterable[pa.RecordBatch], keys: list[str], rows: int
 ) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -103,9 +140,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def mapped(df: DataFrame, column: str | Column, kept: list[str], made: list[tuple[str, str]], make) -> DataFrame:
+def mapped(
+    df: DataFrame, column: str | Column, kept: list[str], made: list[tuple[str, str]], make, keep: bool = False
+) -> DataFrame:
     """`kept` columns of `df` and `made` (name, type) ones, which `make()(values of column)` returns as
-    Arrow arrays, batch by batch. Kept columns of a made name are replaced."""
+    Arrow arrays, batch by batch. Kept columns of a made name are replaced. With `keep`, what the worker
+    has from `kept_in_worker` stays for the next task."""
     kept = [c for c in kept if c not in {name for name, _ in made}]
     names = [*kept, *(name for name, _ in made)]
 
@@ -114,6 +154,7 @@ def mapped(df: DataFrame, column: str | Column, kept: list[str], made: list[tupl
         for batch in batches:
             one = one or make()
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *one(batch.column(0).to_pylist())], names=names)
+        give_back(keep)
 
     source = df[quoted(column)] if isinstance(column, str) else column
     # numbered names inside: mapInArrow can't take every name

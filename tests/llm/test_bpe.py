@@ -80,4 +80,6 @@ def test_queries_rows(spark, library):
     assert got == sorted(want)
     made = bpe.encode(documents(spark, rows), PATH, PATTERN)
     assert set(made.columns) == {"doc_id", "text", "row", "fp", "ids", "a.b"} and made.count() == len(rows)
+    back = bpe.decode(made.select("doc_id", "ids"), PATH, PATTERN).collect()
+    assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in rows)
     assert bpe.digests(empty(spark), PATH, PATTERN).collect() == []
