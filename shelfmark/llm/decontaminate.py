@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.tables import mapped, stored
+from shelfmark.llm.tables import mapped, stored, tidy
 
 PASSAGE = 16
-RANK = 64
+RANK = 128
 EXTRA = 16
 COSINE = 0.4
 MASS = 0.4
@@ -41,8 +41,9 @@ ANSWER_SHARE = 0.8
 SHORT = 8
 #: Slots for the words of an item; words that share one can only add candidates.
 SLOTS = 4096
-#: Passages whose latent vectors a task holds at once.
+#: Passages whose latent vectors a task holds at once, in the sketch and (whole documents) in the search.
 BLOCK = 8192
+HELD = 40_000
 
 #: ASCII other than letters and digits parts words.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -142,7 +143,7 @@ def _frequencies(words: DataFrame, size: int) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
 
-    summed = words.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    summed = words.select("words").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = np.zeros(size + 1, dtype=np.int64)
     for word, n in summed.collect():  # at most one row per word of the benchmark
         counts[word] = n
@@ -184,7 +185,7 @@ def _sketch(words: DataFrame, weighted: np.ndarray, weights: np.ndarray) -> np.n
         values = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), width).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(some), values], names=["word", "z"])
 
-    parts = words.select("words").mapInArrow(run, "word long, z array<double>")
+    parts = words.select("words").mapInArrow(tidy(run), "word long, z array<double>")
     summed = parts.groupBy("word").agg(*[F.sum(F.col("z")[k]).alias(f"z{k}") for k in range(width)])
     out = np.zeros(weighted.shape, dtype=np.float64)
     for row in summed.collect():  # at most one row per word of the benchmark
@@ -243,6 +244,18 @@ def judged(item: Item, text: np.ndarray) -> tuple[float, bool, bool]:
     return share, answered, share >= SHARE or (share >= PARAPHRASE and answered)
 
 
+def _in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut between documents into parts of about `HELD` passages."""
+    for batch in batches:
+        start = held = 0
+        for i, words in enumerate(batch.column(2)):
+            if held > HELD:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += len(words.as_buffer()) // (4 * PASSAGE) + 1
+        yield batch.slice(start)
+
+
 def _matches(space, questions, cosine: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (vectors, weights), items = space.value, questions.value.items
@@ -259,7 +272,7 @@ def _matches(space, questions, cosine: float):
             holds[q, item.words % SLOTS] = True
         mean = np.array([weights[i.words].mean() for i in items])
         needed = MASS * mean * np.minimum(lengths, PASSAGE)
-        for batch in batches:
+        for batch in _in_parts(batches):
             encoded = batch.column(2).to_pylist()
             rows, owner = passages(encoded)
             slots = np.where(rows > 0, rows % SLOTS, SLOTS)
@@ -330,7 +343,7 @@ def leaks(
     words = stored(_encoded(docs, doc_id, text, shared))
     space = spark.sparkContext.broadcast(latent_space(words, len(own.vocabulary)))
     return words.select("doc_id", "text_hash", "words").mapInArrow(
-        _matches(space, shared, cosine),
+        tidy(_matches(space, shared, cosine)),
         "doc_id long, text_hash long, item_id long, share double, answered boolean",
     )
 
