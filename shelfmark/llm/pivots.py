@@ -5,7 +5,9 @@ lists hold, for each label and pivot, the vectors that name the pivot. Two vecto
 they share `shared` of their `near` pivots; they are compared in the list of their smallest shared
 pivot only, so that each pair is verified once. Sorted by pivot number, sets that share s of k have a
 pivot in common among their first k - s + 1, so only those are listed. Pivots are a sample of the
-vectors, 4 x the root of their number and at most `MOST_PIVOTS`; every vector is indexed.
+vectors, 4 x the root of their number and at most `MOST_PIVOTS`, thinned so that no two are closer than
+twice the angle of a link: else a large group holds so many pivots that its members name different ones
+and never meet. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -50,13 +52,25 @@ def usable(embedding: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & e.isNotNull() & finite & some, F.lit(False))
 
 
-def _pivots(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """At most `count` vectors, by their hash: the bound is the parameter, not the data."""
+def apart(points: np.ndarray, threshold: float) -> np.ndarray:
+    """Of unit vectors, in their order, those farther from all kept before than twice the link angle."""
+    cosine = 2 * min(max(threshold, 0.0), 1.0) ** 2 - 1
+    free = np.ones(len(points), dtype=bool)
+    kept = []
+    for at in range(len(points)):
+        if free[at]:
+            kept.append(at)
+            free[at + 1 :] &= points[at + 1 :] @ points[at] < cosine
+    return points[kept]
+
+
+def _pivots(classes: DataFrame, count: int, threshold: float) -> dict[int, np.ndarray]:
+    """At most `count` vectors, by their hash, thinned: the bound is the parameter, not the data."""
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(count).select("embedding").collect()
     by_size: dict[int, list] = {}
     for (vector,) in picked:
         by_size.setdefault(len(vector), []).append(vector)
-    return {size: unit(np.array(rows, dtype=np.float64)) for size, rows in by_size.items()}
+    return {size: apart(unit(np.array(rows, dtype=np.float64)), threshold) for size, rows in by_size.items()}
 
 
 def _describe(pivots: dict[int, np.ndarray], near: int, shared: int):
@@ -148,7 +162,7 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("cid"), "*", F.size("embedding").alias("size"))
     )
     count = classes.count()
-    pivots = _pivots(classes, min(MOST_PIVOTS, 4 * isqrt(count) + 1))
+    pivots = _pivots(classes, min(MOST_PIVOTS, 4 * isqrt(count) + 1), threshold)
     kind = dict(classes.dtypes)["label"]
     listed = stored(
         classes.select("cid", "label", "size", "copies", "embedding")

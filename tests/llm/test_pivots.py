@@ -86,3 +86,19 @@ def test_sql_twin_runs():
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings AS SELECT 1::BIGINT AS vec_id, [1, 0]::FLOAT[] AS embedding, 1 AS label")
     assert con.execute(pivots.ORACLE_SQL).fetchall() == [(1, 0, 1, True)]
+
+
+def test_a_group_of_a_third_of_the_rows_is_whole(spark):
+    """Near, not equal, copies around one centre, at two sizes."""
+    for n in (600, 2400):
+        rng = np.random.default_rng(n)
+        center = rng.normal(size=64)
+        rows = [(i, (center + rng.normal(size=64) * 0.23).tolist(), 0) for i in range(n // 3)]
+        rows += [(n + i, rng.normal(size=64).tolist(), 0) for i in range(n - n // 3)]
+        unit = np.array([np.float32(v) for _, v, _ in rows], dtype=float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        true = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+        got = {r.vec_id: r for r in pivots.near_duplicates(frame(spark, rows)).collect()}
+        assert all(got[i].n_links <= k for (i, _, _), k in zip(rows, true))
+        assert sum(r.n_links for r in got.values()) >= 0.99 * true.sum() > 0
+        assert {got[i].component_id for i in range(n // 3) if true[i]} == {0}
