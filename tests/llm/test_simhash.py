@@ -105,6 +105,33 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7]
 
 
+def test_one_of_each_finds_near_copies_at_the_similarity(spark):
+    """Texts of 5-word similarity 0.8 and little more, one large group of them, against brute force."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(60):
+        own = rng.choices(words, k=200)
+        texts.append(own)
+        for at in rng.sample(range(8, 190, 10), 4 if i % 2 else 6):  # 4: similarity 0.81; 6: 0.73
+            own = [*own[:at], "new", *own[at + 1 :]]
+        texts.append(own)
+    center = rng.choices(words, k=200)
+    for _ in range(100):  # keys of many texts
+        at = rng.randrange(5, 190)
+        texts.append([*center[:at], rng.choice(words), *center[at + 1 :]])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert len(set(label)) == 60 + 30 + 1
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(set(label))
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.one_of_each(empty(spark)).collect() == []
