@@ -4,7 +4,7 @@ The standard library's parser gives events, from which the page becomes a sequen
 Each block has its text, the tags met since the block before, and the elements it stands in. The
 ratio of text to tags, smoothed by a Gaussian, is high in running text; blocks over the threshold (the
 mean less half the deviation) form clusters. The clusters select the content region: the article element (or
-main) that holds them, else the deepest element that holds nearly all of their text. Within the region
+main) that holds them, else the whole page. Within the region
 every block counts, short ones too, except in elements that are never the article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers).
 """
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from shelfmark.llm.tables import mapped
 
 SIGMA = 1.0
-#: Share of the selected text that a region has to hold.
-HOLDS = 0.8
 FEED = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,9 +185,7 @@ def _region(page: Blocks, chosen: list[int]) -> set[int] | None:
     articles = {n for _, _, chain, out in page.blocks if not out for n in chain if page.names[n] == "article"}
     if len(articles) == 1:
         return articles
-    enough = [n for n, size in held.items() if size >= HOLDS * total]
-    blockish = [n for n in enough if page.names[n] not in INLINE and page.names[n] not in ("p", "h1", "h2", "h3")]
-    return {max(blockish)} if blockish else None
+    return None
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -24,6 +24,13 @@ def test_region_without_article():
     assert pages.extract(PAGE.format(body=body)) == " ".join(f"Title {LONG} Tiny. {LONG}".split())
 
 
+def test_nothing_else_is_dropped_without_article():
+    text = " ".join(LONG.split())
+    assert pages.extract(f"<div><p>Intro</p><blockquote>{LONG}</blockquote><p>End</p></div>") == f"Intro {text} End"
+    body = f"<div><p>{LONG * 6}</p></div><div><p>{LONG}</p></div>"
+    assert pages.extract(PAGE.format(body=body)) == " ".join([text] * 7)
+
+
 def test_broken_markup():
     assert pages.extract("<p>x<br>y") == "x y"
     assert pages.extract("plain &lt;b") == "plain <b"
