@@ -4,9 +4,10 @@ The standard library's parser gives events, from which the page becomes a sequen
 Each block has its text, the tags met since the block before, and the elements it stands in. The
 ratio of text to tags, smoothed by a Gaussian, is high in running text; blocks over the threshold (the
 mean less half the deviation) form clusters. The clusters select the content region: the article element (or
-main) that holds them, else the whole page. Within the region
-every block counts, short ones too, except in elements that are never the article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers).
+main) that holds them, else the whole page. Within the region every block counts, short ones too, except
+in elements that are never the article (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, comments of readers). A class or id says so only of an element that does not wrap the
+article, or nearly all of the text ("layout has-sidebar").
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from shelfmark.llm.tables import mapped
 
 SIGMA = 1.0
+#: Share of the text from which an element is a wrapper of it, whatever its class says.
+HOLDS = 0.8
 FEED = 1 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +58,14 @@ def _never(tag: str, attributes: list) -> bool:
             return True
         if name == "role" and (value or "").strip().lower() in ROLES:
             return True
+    return False
+
+
+def _named_so(tag: str, attributes: list) -> bool:
+    """Whether a class or id has one of the words; html, body, main and article are not asked."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    for name, value in attributes:
         if name in ("class", "id") and value:
             if not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
                 return True
@@ -69,6 +80,7 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, tuple, bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, left out (itself or around it)
         self.names: dict[int, str] = {}
+        self.named_so: set[int] = set()  # numbers of elements whose class or id has one of the words
         self.text: list[str] = []
         self.tags = 0
 
@@ -85,8 +97,8 @@ class Blocks(HTMLParser):
         del self.open[at:]
 
     def handle_starttag(self, tag, attributes):
-        never = _never(tag, attributes)
-        if never or tag not in INLINE:
+        never, named_so = _never(tag, attributes), _named_so(tag, attributes)
+        if never or named_so or tag not in INLINE:
             self._end_block()
         self.tags += 1
         if tag in VOID:
@@ -100,6 +112,8 @@ class Blocks(HTMLParser):
                 break
         number = len(self.names)
         self.names[number] = tag
+        if named_so:
+            self.named_so.add(number)
         self.open.append((tag, number, never or (bool(self.open) and self.open[-1][2])))
 
     def handle_startendtag(self, tag, attributes):
@@ -114,11 +128,13 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             self._end_block()
         for at in range(len(self.open) - 1, -1, -1):
-            name, _, out = self.open[at]
+            name, number, out = self.open[at]
             if name == tag:
-                if tag in INLINE and not out:
+                if tag in INLINE and not out and number not in self.named_so:
                     if at == len(self.open) - 1:  # text goes on in the same block
                         self.open.pop()
+                    elif not self.named_so.isdisjoint(k for _, k, _ in self.open[at:]):
+                        self._close(at)
                     elif all(n in INLINE for n, _, _ in self.open[at:]):
                         del self.open[at]
                 else:
@@ -143,9 +159,39 @@ def blocks(html: str) -> Blocks:
     except AssertionError:  # the parser gives up at a malformed <![ ; it is text then
         return blocks(html.replace("<![", "&lt;!&#91;"))
     parser._end_block()
+    left = parser.named_so - _wrappers(parser)
+    if left:
+        parser.blocks = [(t, k, chain, out or not left.isdisjoint(chain)) for t, k, chain, out in parser.blocks]
     return parser
 
 
+def _wrappers(page: Blocks) -> set[int]:
+    """Of the elements named so, those around an article (or main), or with nearly all of the text.
+
+    Articles inside more elements named so than another one (comments of readers, related pages) don't
+    count. The text is that of the articles that do, or of the page if it has none.
+    """
+    if not page.named_so:
+        return set()
+    around: dict[int, set[int]] = {}
+    for _, _, chain, out in page.blocks:
+        if not out:
+            for at, number in enumerate(chain):
+                if page.names[number] in ("article", "main") and number not in around:
+                    around[number] = page.named_so.intersection(chain[:at])
+    least = min(map(len, around.values()), default=0)
+    articles = {n for n, those in around.items() if len(those) == least}
+    found = set().union(*(around[n] for n in articles))
+    held: dict[int, int] = {}
+    total = 0
+    for text, _, chain, out in page.blocks:
+        if not out and (not articles or not articles.isdisjoint(chain)):
+            total += len(text)
+            for number in page.named_so.intersection(chain):
+                held[number] = held.get(number, 0) + len(text)
+    return found | {n for n, size in held.items() if size >= HOLDS * total}
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)

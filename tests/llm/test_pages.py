@@ -31,6 +31,18 @@ def test_nothing_else_is_dropped_without_article():
     assert pages.extract(PAGE.format(body=body)) == " ".join([text] * 7)
 
 
+def test_class_words_of_wrappers():
+    text = " ".join(LONG.split())
+    for wrapper in ("class='layout has-sidebar'", "id=page class='no-sidebar'"):
+        inside = f"<article><h1>Head</h1><p>one <i>two</i>three {LONG}</p><div class=ad>Buy</div></article>"
+        readers = f"<div class=comments><article><p>I do not agree {LONG * 3}</p></article></div>"
+        want = f"Head one twothree {text}"
+        assert pages.extract(PAGE.format(body=f"<div {wrapper}>{inside}{readers}<div class=sidebar>Side</div></div>")) == want
+        assert pages.extract(f"<div {wrapper}><h1>Head</h1><p>one <i>two</i>three {LONG}</p></div><div class=ad>Buy</div>") == want
+        assert pages.extract(f"<article><div {wrapper}><h1>Head</h1><p>one <i>two</i>three {LONG}</p></div></article>") == want
+    assert pages.extract(f"<div id=post><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>") == text
+
+
 def test_broken_markup():
     assert pages.extract("<p>x<br>y") == "x y"
     assert pages.extract("plain &lt;b") == "plain <b"
