@@ -7,7 +7,9 @@
    of words x (`RANK` + `EXTRA`), every task adds up its part of Z = A'(AG) over all its passages, and
    A'A is about Z (G'Z)^-1 Z' (Nystrom), whose leading eigenvectors are the right singular vectors. Z has
    as many rows as the vocabulary, so its size is the benchmark's, not the corpus's. Coordinates are
-   divided by their singular values; else what all texts of a language share decides the cosine.
+   divided by their singular values; else what all texts of a language share decides the cosine. Then
+   each word's vector is brought to the length of its weight: their own lengths differ about tenfold, and
+   an item of short ones beside words of long ones would be lost in the sum.
 4. Two neighbouring passages are a window. Windows and items meet in the latent space: a window is a
    candidate for every item with a cosine of at least `COSINE` (a stated query set against all rows), if
    its words that the item has weigh `MASS` of what a passage (or a shorter item) of the item's words does.
@@ -213,6 +215,12 @@ def latent_space(words: DataFrame, size: int, rank: int = RANK, extra: int = EXT
     return (u[:, :k] / whole * weights[:, None]).astype(np.float32), weights.astype(np.float32)
 
 
+def even(space: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The words' latent vectors with their directions, each as long as the word's weight."""
+    lengths = np.linalg.norm(space.astype(np.float64), axis=1)
+    return (space * (weights / np.where(lengths == 0, 1, lengths))[:, None]).astype(np.float32)
+
+
 def common_subsequence(masks: dict[int, int], size: int, text: list[int]) -> int:
     """Length of the longest common subsequence with the `size` words whose places `masks` has."""
     full = (1 << size) - 1
@@ -341,7 +349,8 @@ def leaks(
     own = Questions.of(sorted(map(tuple, benchmark.select(*columns).collect()), key=repr))
     shared = spark.sparkContext.broadcast(own)
     words = stored(_encoded(docs, doc_id, text, shared))
-    space = spark.sparkContext.broadcast(latent_space(words, len(own.vocabulary)))
+    space, weights = latent_space(words, len(own.vocabulary))
+    space = spark.sparkContext.broadcast((even(space, weights), weights))
     return words.select("doc_id", "text_hash", "words").mapInArrow(
         tidy(_matches(space, shared, cosine)),
         "doc_id long, text_hash long, item_id long, share double, answered boolean",

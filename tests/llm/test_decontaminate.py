@@ -102,3 +102,19 @@ def test_short_items_unbroken_answers_and_empty_tables(spark):
     rows = documents(spark, [*[(100 + i, t) for i, t in docs], (1, f"{part} forty two"), (2, part), (3, long)])
     found = d.leaks(rows, asked, answer="answer").where("item_id = 1").select("doc_id", F.col("answered")).collect()
     assert sorted(map(tuple, found)) == [(1, True), (3, False)]
+
+
+def test_item_of_short_vectors_beside_words_of_long_ones(spark, monkeypatch):
+    """An item pasted word for word into a document of another language, whose words have long vectors."""
+    own, other = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(40)]
+
+    def uneven(words, size):
+        space = np.random.default_rng(3).normal(size=(size + 1, 64)) / 8
+        space *= np.where(np.arange(size + 1) <= 20, 0.02, 0.25)[:, None]
+        space[0] = 0
+        return space.astype(np.float32), np.append(0, np.ones(size)).astype(np.float32)
+
+    monkeypatch.setattr(d, "latent_space", uneven)
+    items = table(spark, [(1, " ".join(own)), (2, " ".join(other))], "item_id long, text string")
+    docs = documents(spark, [(7, " ".join(other[:14][::-1] + own + other[14:30][::-1])), (8, " ".join(other[:30][::-1]))])
+    assert [(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()] == [(7, 1)]
