@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, langid, lm, pages, pivots, quality, secrets, simhash, urls
+from shelfmark.llm import bpe, decontaminate, langid, lm, pages, pivots, quality, rules, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op9_secret_scan(spark, sf):
 @query
 def op10_quality(spark, sf):
     return quality.judged(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op11_quality_rules(spark, sf):
+    return rules.judged(read(spark, sf, "documents"), read(spark, sf, "labels"))
