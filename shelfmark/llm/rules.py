@@ -50,6 +50,8 @@ DECAY = 1e-4
 STEPS = 25
 LEAST_FALL = 3e-3
 MEMORY = 8
+#: Files of the sample.
+PARTS = 8
 #: Bytes hashed at once.
 SEGMENT = 1 << 22
 
@@ -264,6 +266,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # (1 + PER_BAD) * sample rows at most
         .groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(8)).cast("int"))
+        .repartition(PARTS)
     )
 
     def make():
@@ -309,7 +312,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     learned = rows if whole else rows.where(F.col("fold") >= CALIBRATION)
     n = [sum(n for (label, learn), n in counted.items() if label == k and (whole or learn)) for k in (0, 1)]
     share = np.array([0.5 / n[0], 0.5 / n[1]])
-    parts = learned.repartition(min(8, max(1, total // 250)))  # `sample` bounds the rows
 
     def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(at)
@@ -327,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 slope[1:] += np.bincount(numbers, np.repeat(pull, n) * x, size)
             yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([slope.tobytes()])], names=["value", "slope"])
 
-        got = parts.mapInArrow(run, "value double, slope binary").collect()  # one row for each of 8 parts at most
+        got = learned.mapInArrow(run, "value double, slope binary").collect()  # one row for each part of the sample
         sent.unpersist()
         value = sum(r.value for r in got) + DECAY / 2 * float(at[1:] @ at[1:])
         slope = np.sum([np.frombuffer(r.slope) for r in got], axis=0)
