@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, langid, lm, pages, pivots, quality, rules, secrets, simhash, urls
+from shelfmark.llm import bpe, decontaminate, langid, lm, pages, phrases, pivots, quality, rules, secrets, simhash, urls
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,11 @@ def op10_quality(spark, sf):
 @query
 def op11_quality_rules(spark, sf):
     return rules.judged(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op12_collocations(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents"))
+
+
+ORACLE["op12_collocations"] = phrases.ORACLE_SQL
