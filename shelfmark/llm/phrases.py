@@ -26,7 +26,6 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ UNKNOWN = "und"
 WITHIN = 80
 SCALE = 2_000_000
 #: Words of a block, pieces and bytes read at once, and bytes of text for each part.
-BLOCK = 3 << 19
+BLOCK = 3 << 18
 PIECES = 20_000
 BYTES = 1 << 20
 PART_BYTES = 8 << 20
@@ -53,7 +52,7 @@ _WORD = re.compile(rb"[^ ]+")
 END = b""
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SENT = "part long, words array<binary>, edges binary, n binary, found array<struct<lang:string,k:int,phrase:string,f:bigint>>"
+_SENT = "part long, words binary, edges binary, n binary, found array<struct<lang:string,k:int,phrase:string,f:bigint>>"
 _FOUND = pa.struct([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 _COUNTED = "lang string, k int, phrase string, f long"
 
@@ -83,6 +82,20 @@ def added(columns: list[np.ndarray], n: np.ndarray, size: int) -> tuple[list[np.
     return [c[rows] for c in columns], np.add.reduceat(n[order], starts) if len(starts) else n[:0]
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _kind(words: int) -> str:
+    """How numbers of so many words are sent."""
+    return "<u2" if words <= 1 << 16 else "<i4"
+
+
 def _part(hashes: list[np.ndarray], parts: int) -> np.ndarray:
     h = hashes[0]
     for other in hashes[1:]:
@@ -103,24 +116,19 @@ def sent(columns: list[np.ndarray], n: np.ndarray, words: list[bytes], parts: in
     order = np.argsort(part, kind="stable")
     columns, n, part = [c[order] for c in columns], n[order], part[order]
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    texts = pa.array(words, pa.binary())
-    for at in range(0, len(starts), 256):
+    for at in range(0, len(starts), 16):
         out = {name: [] for name in ("part", "words", "edges", "n")}
-        offsets = [0]
-        some = starts[at : at + 256]
-        for begin, end in zip(some.tolist(), [*some[1:].tolist(), int(starts[at + 256]) if at + 256 < len(starts) else len(n)]):
+        some = starts[at : at + 16]
+        for begin, end in zip(some.tolist(), [*some[1:].tolist(), int(starts[at + 16]) if at + 16 < len(starts) else len(n)]):
             used, own = np.unique(np.concatenate([c[begin:end] for c in columns]), return_inverse=True)
             out["part"].append(int(part[begin]))
-            out["words"].append(texts.take(pa.array(used)))
-            out["edges"].append(own.astype("<i4").tobytes())
-            out["n"].append(n[begin:end].astype("<i8").tobytes())
-            offsets.append(offsets[-1] + len(used))
+            out["words"].append(_squeezed(b"\n".join([words[i] for i in used.tolist()])))
+            out["edges"].append(_squeezed(own.astype(_kind(len(used))).tobytes()))
+            out["n"].append(_squeezed(n[begin:end].astype("<i8").tobytes()))
         yield _batch(
             pa.array(out["part"], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out["words"])),
-            pa.array(out["edges"], pa.binary()),
-            pa.array(out["n"], pa.binary()),
-            pa.array([None] * len(out["part"]), pa.list_(_FOUND)),
+            *(pa.array(out[name], pa.binary()) for name in ("words", "edges", "n")),
+            pa.array([None] * len(some), pa.list_(_FOUND)),
         )
 
 
@@ -130,31 +138,27 @@ def _batch(*arrays: pa.Array) -> pa.RecordBatch:
 
 def received(rows: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
     """All rows of a part, added up, and its words. Word 0 is the end of a piece."""
-    lists = rows.column("words").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.binary()))
-    coded = pa.concat_arrays([pa.array([END], pa.binary()), lists.flatten().cast(pa.binary())]).dictionary_encode()
-    codes = coded.indices.to_numpy()[1:].astype(np.int64)
-    sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
-    begins = np.cumsum(sizes) - sizes
+    numbers: defaultdict = defaultdict(count().__next__)
+    numbers[END]
     columns: list[list[np.ndarray]] = [[] for _ in range(width)]
     counts = []
-    for begin, edges, n in zip(begins.tolist(), rows.column("edges").to_pylist(), rows.column("n").to_pylist()):
-        if edges is None:
+    for words, edges, n in zip(*(rows.column(name) for name in ("words", "edges", "n"))):
+        if not words.is_valid:
             continue
-        for column, own in zip(columns, np.frombuffer(edges, "<i4").reshape(width, -1)):
-            column.append(codes[begin + own])
-        counts.append(np.frombuffer(n, "<i8"))
+        texts = _whole(words.as_py()).split(b"\n")
+        codes = np.fromiter(map(numbers.__getitem__, texts), np.int64, len(texts))
+        for column, own in zip(columns, np.frombuffer(_whole(edges.as_py()), _kind(len(texts))).reshape(width, -1)):
+            column.append(codes[own])
+        counts.append(np.frombuffer(_whole(n.as_py()), "<i8"))
     if not counts:
         return [np.zeros(0, np.int64)] * width, np.zeros(0, np.int64), [END]
-    words = coded.dictionary.to_pylist()
-    return *added([np.concatenate(c) for c in columns], np.concatenate(counts), len(words)), words
+    return *added([np.concatenate(c) for c in columns], np.concatenate(counts), len(numbers)), list(numbers)
 
 
 def _found(columns: list[np.ndarray], n: np.ndarray, words: list[bytes]) -> pa.Array:
     """Phrases of these words with their counts."""
     texts = [w.split(b"\t", 1) for w in words]
-    names = [t[-1].decode() for t in texts]
+    names = [t[-1].replace(b"%0A", b"\n").replace(b"%25", b"%").decode() for t in texts]
     plain = [t[0].decode() for t in texts]
     rows = np.stack(columns, 1).tolist()
     return pa.StructArray.from_arrays(
@@ -207,7 +211,7 @@ class Block:
         columns = [np.where(left > j, padded[at + j], 0) for j in range(WIDTH)]
         texts = [END] * next(self.next)
         for lang, numbers in self.numbers.items():
-            name = b"\t" + lang.encode()
+            name = b"\t" + lang.encode().replace(b"%", b"%25").replace(b"\n", b"%0A")  # lines part the words
             for word, i in numbers.items():
                 texts[i] = word + name
         return *added(columns, np.ones(len(at), np.int64), len(texts)), texts
@@ -256,7 +260,7 @@ def _nodes(parts: int, least: int):
         done = pa.concat_arrays(found)
         out = [_batch(
             rows.column("part").combine_chunks()[:1] if rows.num_rows else pa.array([], pa.int64()),
-            pa.array([None], pa.list_(pa.binary())), pa.array([None], pa.binary()), pa.array([None], pa.binary()),
+            *(pa.array([None], pa.binary()) for _ in range(3)),
             pa.ListArray.from_arrays(pa.array([0, len(done)], pa.int32()), done),
         )]
         if len(through):

@@ -59,7 +59,7 @@ def rows_of_words(seed):
     rows = []
     for _ in range(150):
         text = "".join(rng.choice(words[: rng.choice([3, 9])]) + rng.choice(breaks) for _ in range(rng.randrange(25)))
-        rows.append((text, rng.choice(["en", "fr", None, "und", "t\tb"])))
+        rows.append((text, rng.choice(["en", "fr", None, "und", "t\tb", "%\n%0A"])))
     return rows + [(None, "en"), ("", "en"), (" .. \n", None)] + [("same words here again and again", "en")] * 40
 
 
