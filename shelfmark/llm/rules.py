@@ -50,7 +50,7 @@ DECAY = 1e-4
 STEPS = 25
 LEAST_FALL = 3e-3
 MEMORY = 8
-#: Files of the sample.
+#: Parts of the sample.
 PARTS = 8
 #: Bytes hashed at once.
 SEGMENT = 1 << 22
@@ -279,7 +279,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
         return run
 
-    return stored(mapped(found, "text", ["fold", "label"], [("numbers", "binary"), ("x", "binary")], make))
+    made = mapped(found, "text", ["fold", "label"], [("numbers", "binary"), ("x", "binary")], make)
+    return stored(made).coalesce(PARTS)  # each part sends a slope of the size of the model
 
 
 def _rows(batch: pa.RecordBatch):
