@@ -1,8 +1,9 @@
 """Byte-level BPE as a finite-state transducer, and streaming decoding.
 
-The merges are compiled into a transducer that is determinised as it is used. A state holds the last
-token that is settled and the bytes after it that are not; for every prefix of those bytes it knows
-the last token of the prefix's encoding. Reading a byte, the last token of the longer prefix is the one
+The merges are compiled into a transducer that is determinised as it is used. A state holds the bytes that
+are not settled yet; for every prefix of those bytes it knows the last token of the prefix's encoding. Of the
+last settled token it holds only what can still matter: the right edges of its merge tree (see below) that
+some token beginning with the open bytes could merge with, so states that behave alike are one. Reading a byte, the last token of the longer prefix is the one
 suffix token that can stand beside the token before it. Only prefixes from which some longer token may
 still begin stay open; what all their encodings share is emitted. So the lookahead is bounded by the
 longest token, and the time is linear in the bytes, also for a match of any length.
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.tables import kept_in_worker, mapped
 
-#: States and remembered matches are dropped and built anew beyond these numbers.
-MOST_STATES = 120_000
-MOST_PIECES = 120_000
+#: Beyond these numbers, states and pairs of tokens are built anew; of twice this number of matches the ones not
+#: met lately go.
+MOST_STATES = 150_000
+MOST_PIECES = 150_000
+MOST_PAIRS = 200_000
 #: Tokens decoded at once.
 CHUNK = 65_536
 
@@ -48,15 +51,22 @@ class Transducer:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.edges: dict[bytes, tuple | None] = {}
+        #: Tokens that merges make.
+        self.made = {t for t in ranks if self._edge(t) is not None}
+        self.rights: dict[bytes, tuple] = {}
+        self.lefts: dict[bytes, tuple] = {}
         self.beside: dict[tuple[bytes, bytes], bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[tuple, int] = {(None, b""): 0}
-        self.states: list[tuple] = [(None, b"", ())]
-        self.ends: list[bytes] = [b""]
-        self.moves: dict[int, tuple[int, bytes]] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.numbers: dict[tuple, int] = {((), b"", (None,)): 0}
+        self.states: list[tuple] = [((), b"", (None,))]
+        self.opens: list[tuple] = [()]  # of each state, the places where a longer token may still begin
+        self.borders: list[tuple] = [(1,)]  # of each prefix of its bytes, the borders of its tokens as bits
+        self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
+        self.stops: list[dict[int, bytes]] = [{}]
 
     # -- merge trees --
 
@@ -86,80 +96,114 @@ class Transducer:
         self.edges[token] = found
         return found
 
-    def _side_by_side(self, left: bytes, right: bytes) -> bool:
+    def _right(self, token: bytes) -> tuple:
+        """Its right edges as (token, made at, merged away at)."""
+        found = self.rights.get(token)
+        if found is None:
+            edges = self._edge(token)[1]
+            gone = [*(rank for _, rank in edges[1:]), len(self.table)]
+            found = self.rights[token] = tuple((a, made, g) for (a, made), g in zip(edges, gone))
+        return found
+
+    def _narrowed(self, rights: tuple, tail: bytes) -> tuple:
+        """Those right edges that form a token with a prefix of `tail`, or with something it begins."""
+        ranks, n = self.ranks, len(tail)
+        return tuple(
+            [r for r in rights if r[0] + tail in self.beginnings or any([r[0] + tail[:k] in ranks for k in range(1, n + 1)])]
+        )
+
+    def _left(self, token: bytes) -> tuple:
+        """Its left edges, likewise."""
+        found = self.lefts.get(token)
+        if found is None:
+            edges = self._edge(token)[0]
+            gone = [*(rank for _, rank in edges[1:]), len(self.table)]
+            found = self.lefts[token] = tuple((b, made, g) for (b, made), g in zip(edges, gone))
+        return found
+
+    def _beside(self, left: bytes, right: bytes) -> bool:
         known = self.beside.get((left, right))
-        if known is not None:
-            return known
-        if len(self.beside) > 300_000:
-            self.beside.clear()
-        rights, lefts = self._edge(left)[1], self._edge(right)[0]
-        never = len(self.table)
-        fine = True
-        for i, (a, made_a) in enumerate(rights):
-            gone_a = rights[i + 1][1] if i + 1 < len(rights) else never
-            for j, (b, made_b) in enumerate(lefts):
-                due = self.ranks.get(a + b)
-                if due is None or due <= made_a or due <= made_b or due >= gone_a:
-                    continue  # of equal merges the leftmost is made first, so `a` is gone at gone_a
-                gone_b = lefts[j + 1][1] if j + 1 < len(lefts) else never
-                if due <= gone_b:
-                    fine = False
-        self.beside[left, right] = fine
-        return fine
+        if known is None:
+            if len(self.beside) >= MOST_PAIRS:
+                self.beside.clear()
+            known = self.beside[left, right] = self._side_by_side(self._right(left), right)
+        return known
+
+    def _side_by_side(self, rights: tuple, right: bytes) -> bool:
+        ranks = self.ranks
+        for b, made_b, gone_b in self._left(right) if rights else ():
+            for a, made_a, gone_a in rights:
+                due = ranks.get(a + b)
+                # of equal merges the leftmost is made first, so `a` is gone at gone_a, and `b` is not at gone_b
+                if due is not None and made_a < due < gone_a and made_b < due <= gone_b:
+                    return False
+        return True
 
     # -- states --
 
+    def _last(self, before: tuple, tail: bytes, lasts: tuple, opens: tuple) -> tuple[int, bytes]:
+        """Start of the last token of the encoding that ends with `tail`, and the token. It began at an open
+        place or is the last byte alone."""
+        for start in (*opens, len(tail) - 1):
+            token = tail[start:]
+            if token not in self.made:
+                continue
+            if self._beside(lasts[start], token) if start else self._side_by_side(before, token):
+                break
+        return start, token
+
+    def _stop(self, state: int, byte: int) -> bytes:
+        """What is still to be emitted if the match ends with this byte."""
+        before, tail, lasts = self.states[state]
+        start, token = self._last(before, tail + bytes((byte,)), lasts, self.opens[state])
+        self.stops[state][byte] = emitted = self._ids(lasts, start) + self.ids[token]
+        return emitted
+
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
         before, tail, lasts = self.states[state]
+        opens, borders = self.opens[state], self.borders[state]
         tail += bytes((byte,))
         n = len(tail)
-        for start in range(max(0, n - self.longest), n):
-            token = tail[start:]
-            left = before if start == 0 else lasts[start - 1]
-            if token not in self.ranks or (start and left is None) or self._edge(token) is None:
-                continue
-            if left is None or self._side_by_side(left, token):
-                lasts = (*lasts, token)
-                break
-        common, kept = None, set()
-        for k in range(n, -1, -1):
-            if k < n and (tail[k:] not in self.beginnings or (k and lasts[k - 1] is None)):
-                continue
-            border = {k}
-            while k:
-                k -= len(lasts[k - 1])
-                border.add(k)
-            kept |= border
-            common = border if common is None else common & border
-        settled = max(common)
-        out = []
-        k = settled
-        while k:
-            out.append(lasts[k - 1])
-            k -= len(lasts[k - 1])
-        emitted = b"".join(self.ids[t] for t in reversed(out))
+        start, token = self._last(before, tail, lasts, opens)
+        lasts = (*lasts, token)
+        borders = (*borders, borders[start] | 1 << n)
+        opens = [k for k in (*opens, n - 1) if tail[k:] in self.beginnings]
+        common = kept = borders[n]
+        for k in opens:
+            common &= borders[k]
+            kept |= borders[k]
+        settled = common.bit_length() - 1
+        emitted = b""
         if settled:
-            before = lasts[settled - 1]
-        tail = tail[settled:]
-        if tail not in self.beginnings and tail:
-            before = None  # no token can begin at the border any more, so what stands before is all one
-        key = (before, tail)
+            emitted = self._ids(lasts, settled)
+            before = self._right(lasts[settled])
+            tail = tail[settled:]
+            opens = [k - settled for k in opens]
+            kept >>= settled
+            lasts = lasts[settled:]
+            borders = [b >> settled for b in borders[settled:]]
+        # where no token can begin at the border any more, what stands before it is all one
+        before = self._narrowed(before, tail) if not tail or (opens and not opens[0]) else ()
+        # the encodings of closed prefixes matter only where an open one rests on them
+        lasts = (None, *[t if kept >> k & 1 else None for k, t in enumerate(lasts[1:], 1)])
+        key = (before, tail, lasts)
         number = self.numbers.get(key)
         if number is None:
-            # the encodings of closed prefixes matter only where an open one rests on them
-            needed = {k - settled for k in kept if k > settled}
-            lasts = tuple(t if i + 1 in needed else None for i, t in enumerate(lasts[settled:]))
             number = self.numbers[key] = len(self.states)
-            self.states.append((before, tail, lasts))
-            self.ends.append(self._end(lasts))
-        self.moves[state << 8 | byte] = made = (number, emitted)
+            self.states.append(key)
+            self.opens.append(tuple(opens))
+            self.borders.append(tuple(borders))
+            self.moves.append({})
+            self.stops.append({})
+        self.moves[state][byte] = made = (number, emitted)
         return made
 
-    def _end(self, lasts: tuple) -> bytes:
-        out, k = [], len(lasts)
+    def _ids(self, lasts: tuple, k: int) -> bytes:
+        """Ids of the first k open bytes."""
+        out = []
         while k:
-            out.append(self.ids[lasts[k - 1]])
-            k -= len(lasts[k - 1])
+            out.append(self.ids[lasts[k]])
+            k -= len(lasts[k])
         return b"".join(reversed(out))
 
     # -- use --
@@ -168,30 +212,35 @@ class Transducer:
         """Ids of one match, each as little-endian unsigned 32 bits."""
         if len(self.states) > MOST_STATES:
             self._forget()
+        if not data:
+            return b""
         state, out, moves = 0, [], self.moves
-        for byte in data:
-            move = moves.get(state << 8 | byte)
+        for byte in data[:-1]:
+            move = moves[state].get(byte)
             if move is None:
                 move = self._move(state, byte)
             state, emitted = move
             if emitted:
                 out.append(emitted)
-        out.append(self.ends[state])
+        out.append(self.stops[state].get(data[-1]) or self._stop(state, data[-1]))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for piece in self.matches(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.encode_match(piece.encode())
-                if len(self.pieces) >= MOST_PIECES:
-                    self.pieces.clear()
-                if len(piece) <= 64:
-                    self.pieces[piece] = ids
-            out.append(ids)
+        found = self.matches(text)
+        out = list(map(self.pieces.get, found))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self._remembered(found[i])
         return b"".join(out)
 
+    def _remembered(self, piece: str) -> bytes:
+        """Ids of a match that was not met lately."""
+        ids = self.pieces.get(piece) or self.earlier.get(piece) or self.encode_match(piece.encode())
+        if len(piece) <= 64:
+            if len(self.pieces) >= MOST_PIECES:
+                self.earlier, self.pieces = self.pieces, {}
+            self.pieces[piece] = ids
+        return ids
+
     def decode(self, ids: bytes) -> Iterator[str]:
         """Text of the ids, chunk by chunk; a character is given out once its last byte is read."""
         numbers, table, reader = np.frombuffer(ids, "<u4"), self.table, Utf8Reader()
@@ -290,7 +339,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: s
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """`docs` with `ids` as in `encode` and `decoded` as in `decode`, made in one pass: a second one
-    would need a second Python worker with a transducer of its own beside the first."""
+    would need a second Python worker with a transducer of its own beside the first.
+
+    A null text is empty, and so are its ids; repeated rows stay; columns named `ids` or `decoded` are
+    replaced, all others kept; an empty table gives an empty table."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def make():
@@ -307,7 +359,10 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "tex
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per row of `docs`: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """One row per row of `docs`: (doc_id, n_tokens, ids_sha256, decoded_sha256).
+
+    A null or empty text has no tokens and the digests of nothing; null ids and repeated rows stay; other
+    columns are ignored; an empty table gives an empty table."""
     made = encode_and_decode(docs.select("doc_id", "text"), path, pattern)
     return made.select(
         "doc_id",
