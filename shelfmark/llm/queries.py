@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, decontaminate, langid, lm, pages, phrases, pivots, quality, rules, secrets, simhash, urls
+from shelfmark.llm import bpe, decontaminate, langid, lm, pages, phrases, pivots, quality, rules, secrets, simhash, urls, whitening
 from shelfmark.llm.tables import read, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op12_collocations(spark, sf):
 
 
 ORACLE["op12_collocations"] = phrases.ORACLE_SQL
+
+
+@query
+def op13_whitening(spark, sf):
+    return whitening.whitened(read(spark, sf, "embeddings"))
