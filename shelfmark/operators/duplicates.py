@@ -105,3 +105,42 @@ def hash_gate(files: DataFrame, by: Sequence[str] = ("size", "partial_digest"))
     known = files.dropna(subset=list(by))
     seen = known.groupBy(*by).count().where(F.col("count") > 1).select(*by, F.lit(True).alias("collides"))
     return join_lookup(files, seen, list(by)).withColumn("collides", F.coalesce("collides", F.lit(False)))
+
+
+#: A file of at most twice this size is read whole for its partial digest, which then is the full one.
+EDGE_BYTES = 64 << 10
+
+
+def open_after_size(files: DataFrame, known: DataFrame) -> DataFrame:
+    """First pass of the staged digests: adds `open`, whether another file, or something `known`, has the size.
+
+    `files` has one row per file with `size`; `known` has `size, partial_digest` of what is stored already
+    or can't be read now (a null digest is not known). Files of unknown size, and those whose column
+    `needs_hash`, if there, is false, are closed and count for no other file.
+    """
+    return _met(files, known, ["size"])
+
+
+def open_after_edges(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Second pass: `open` stays true only where the partial digest is the same as well. Something known by its
+    size alone keeps all files of that size open, since it may be equal; so does a file that could not be read
+    for its partial digest, which stays open itself."""
+    by_size = known.where(F.col("partial_digest").isNull()).select("size").distinct().withColumn("blind", F.lit(True))
+    met = _met(files, known, ["size", "partial_digest"])
+    return join_lookup(met, by_size, ["size"]).withColumn(
+        "open", F.col("asked") & (F.col("open") | F.coalesce("blind", F.lit(False)) | F.col("partial_digest").isNull())
+    ).drop("blind")
+
+
+def _met(files: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """Adds `open`: a second file, or a known one, has the same values; of files that are open so far (`asked`)."""
+    asked = F.col("needs_hash") if "needs_hash" in files.columns else F.lit(True)
+    asked = F.coalesce(asked & F.col("size").isNotNull(), F.lit(False))
+    if "open" in files.columns:
+        asked = F.col("open")
+    marked = files.withColumn("asked", asked)
+    one = F.lit(1).cast("long")
+    every = marked.where("asked").select(*by, one.alias("n")).unionByName(known.select(*by, (one + 1).alias("n")))
+    several = every.dropna(subset=by).groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1")
+    found = join_lookup(marked.drop("open"), several.select(*by, F.lit(True).alias("several")), by)
+    return found.withColumn("open", F.col("asked") & F.coalesce("several", F.lit(False))).drop("several")

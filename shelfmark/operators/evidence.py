@@ -10,6 +10,7 @@ from shelfmark.functions.identity import COMPANION_ROLES, level_source, round1
 from shelfmark.operators.build import model_files
 from shelfmark.operators.hot_keys import join_lookup
 from shelfmark.operators.reconcile import FILE_KEY
+from shelfmark.session import written
 
 SUBJECT = ["subject_type", "subject_key", "field"]
 _FACT = [*SUBJECT, "value", "level", "source"]
@@ -166,6 +167,61 @@ def presence_with_patience(probes: DataFrame, patience: int = 3) -> DataFrame:
     )
 
 
+def presence_states(probes: DataFrame, patience: int = 3, blocks: int | None = None) -> DataFrame:
+    """The state after every probe: `root_id, at, seq, failed, failures_in_a_row, present, changed`.
+
+    A root counts as present until `patience` probes in a row have failed, and again with the next success.
+    The log is sorted into `blocks` by root and time, so a root with very many probes lies in many blocks. Each
+    block counts from its own last success; a summary of one row per block and root gives what is carried
+    into a block by those before it (rows since the last success there). Only summaries meet in a window
+    over a whole root, and they are no more than the blocks.
+    """
+    count = blocks or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["root_id", "at", "seq"]
+    # written, since another run of the sort may cut the log elsewhere
+    log = written(
+        probes.select(*order, "failed").repartitionByRange(count, *order).withColumn("block", F.spark_partition_id())
+    )
+    here = Window.partitionBy("block", "root_id").orderBy("at", "seq")
+    counted = log.withColumn("place", F.row_number().over(here)).withColumn(
+        "last_ok", F.last(F.when(~F.col("failed"), F.col("place")), ignorenulls=True).over(here)
+    )
+    summary = (
+        log.groupBy("block", "root_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.when(~F.col("failed"), F.struct("at", "seq"))).alias("ok"))
+    )
+    after_ok = (
+        log.join(summary.where("ok is not null").select("block", "root_id", "ok"), ["block", "root_id"])
+        .where(F.struct("at", "seq") > F.col("ok"))
+        .groupBy("block", "root_id").agg(F.count(F.lit(1)).alias("trailing"))
+    )
+    earlier = Window.partitionBy("root_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    through = Window.partitionBy("root_id").orderBy("block")
+    # the number of the root's last success among all its rows, as far as earlier blocks go
+    reset = F.when(F.col("ok").isNotNull(), F.col("upto") - F.coalesce("trailing", F.lit(0)))
+    carried = (
+        summary.join(after_ok, ["block", "root_id"], "left")
+        .withColumn("upto", F.sum("n").over(through))
+        .withColumn("reset", reset)
+        .select(
+            "block", "root_id",
+            (F.coalesce(F.sum("n").over(earlier), F.lit(0))
+             - F.coalesce(F.last("reset", ignorenulls=True).over(earlier), F.lit(0))).alias("carry"),
+        )
+    )
+    run = F.col("place") - F.coalesce("last_ok", F.lit(0))
+    in_a_row = run + F.when(F.col("last_ok").isNull(), F.col("carry")).otherwise(F.lit(0))
+    before = F.lag("failures_in_a_row").over(here)
+    present = F.col("failures_in_a_row") < patience
+    return (
+        counted.join(carried, ["block", "root_id"])
+        .withColumn("failures_in_a_row", in_a_row.cast("long"))
+        .withColumn("present", present)
+        .withColumn("changed", F.col("present") != (F.coalesce(before, F.col("carry")) < patience))
+        .select(*order, "failed", "failures_in_a_row", "present", "changed")
+    )
+
+
 def enrich_from_index(blobs: DataFrame, index: DataFrame, provider: str, fetched_at: int):
     """External facts about known digests from a local index of `sha256, repo, filename`."""
     hits = blobs.select("sha256").join(index, "sha256")

@@ -340,6 +340,39 @@ _STATEMENTS = {
       count(*) OVER (PARTITION BY strlen(text), CASE WHEN strlen(text) > 131072
         THEN sha256(unhex(concat(substr(hex(text), 1, 131072), substr(hex(text), length(hex(text)) - 131071, 131072))))
         ELSE sha256(text) END) > 1 AS collides FROM documents""",
+    "staged_digests": """WITH f AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS whole,
+        CASE WHEN strlen(text) > 128 THEN sha256(unhex(concat(substr(hex(text), 1, 128),
+          substr(hex(text), length(hex(text)) - 127, 128)))) ELSE sha256(text) END AS edge FROM documents),
+      k AS (SELECT size + doc_id % 2 AS size, CASE WHEN doc_id % 15 <> 0 THEN edge END AS edge FROM f WHERE doc_id % 3 = 0),
+      s AS (SELECT *, count(*) OVER (PARTITION BY size) > 1 OR size IN (SELECT size FROM k) AS o1 FROM f),
+      e AS (SELECT *, o1 AND (count(*) OVER (PARTITION BY size, edge) > 1 OR (size, edge) IN (SELECT (size, edge) FROM k WHERE edge IS NOT NULL)
+        OR size IN (SELECT size FROM k WHERE edge IS NULL)) AS o2 FROM s)
+      SELECT doc_id, size, CASE WHEN o2 THEN 'full' WHEN o1 THEN 'edges' ELSE 'size' END AS stage,
+        CASE WHEN o1 THEN edge END AS partial_digest, CASE WHEN o2 THEN whole END AS sha256 FROM e""",
+    "digest_tree": """WITH leaves AS (SELECT doc_id, p, sha256(unhex(concat('00', substr(hex(text), 1 + 512 * p, 512)))) AS d
+        FROM (SELECT doc_id, text, unnest(range(greatest(1, (strlen(text) + 255) // 256))) AS p FROM documents)),
+      one AS (SELECT doc_id, p // 8 AS p, CASE WHEN count(*) = 1 AND min(p) = 0 THEN min(d)
+        ELSE sha256(unhex(concat('01', string_agg(d, '' ORDER BY p)))) END AS d FROM leaves GROUP BY doc_id, p // 8),
+      two AS (SELECT doc_id, p // 8 AS p, CASE WHEN count(*) = 1 AND min(p) = 0 THEN min(d)
+        ELSE sha256(unhex(concat('01', string_agg(d, '' ORDER BY p)))) END AS d FROM one GROUP BY doc_id, p // 8),
+      three AS (SELECT doc_id, p // 8 AS p, CASE WHEN count(*) = 1 AND min(p) = 0 THEN min(d)
+        ELSE sha256(unhex(concat('01', string_agg(d, '' ORDER BY p)))) END AS d FROM two GROUP BY doc_id, p // 8),
+      four AS (SELECT doc_id, p // 8 AS p, CASE WHEN count(*) = 1 AND min(p) = 0 THEN min(d)
+        ELSE sha256(unhex(concat('01', string_agg(d, '' ORDER BY p)))) END AS d FROM three GROUP BY doc_id, p // 8)
+      SELECT doc_id, n AS pieces, d AS root_digest FROM four JOIN
+        (SELECT doc_id, count(*) AS n FROM leaves GROUP BY doc_id) USING (doc_id)""",
+    "broken_ranges": """WITH t AS (SELECT doc_id, hex(text) AS hx, strlen(text) AS n FROM documents),
+      now AS (SELECT doc_id, hx AS was, n, CASE
+          WHEN doc_id % 7 = 0 THEN concat(substr(hx, 1, 2 * (n // 2)), '7E', substr(hx, 2 * (n // 2) + 3))
+          WHEN doc_id % 11 = 0 THEN substr(hx, 1, 2 * greatest(0, n - 100)) ELSE hx END AS hx FROM t),
+      p AS (SELECT doc_id, p, substr(was, 1 + 512 * p, 512) AS a, substr(hx, 1 + 512 * p, 512) AS b,
+          p < greatest(1, (length(was) // 2 + 255) // 256) AS ina, p < greatest(1, (length(hx) // 2 + 255) // 256) AS inb
+        FROM (SELECT *, unnest(range(greatest(1, (greatest(length(was), length(hx)) // 2 + 255) // 256))) AS p FROM now)),
+      b AS (SELECT doc_id, p, CASE WHEN NOT inb THEN 'missing' WHEN NOT ina THEN 'added' ELSE 'different' END AS verdict,
+          256 * p + CASE WHEN inb THEN length(b) // 2 ELSE length(a) // 2 END AS e FROM p WHERE NOT ina OR NOT inb OR a <> b)
+      SELECT doc_id, verdict, CAST(256 * min(p) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", count(*) AS pieces
+      FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, verdict ORDER BY p) AS run FROM b)
+      GROUP BY doc_id, verdict, run""",
     "content_digest": """SELECT doc_id, sha256(text) AS sha256,
       CASE WHEN strlen(text) > 512 THEN sha256(unhex(concat(substr(hex(text), 1, 512),
         substr(hex(text), length(hex(text)) - 511, 512)))) ELSE sha256(text) END AS partial_digest
@@ -488,13 +521,13 @@ _STATEMENTS = {
     "scan_report": "SELECT * FROM report",
     "scan_history": f"""SELECT root_id, CAST({NOW} AS BIGINT) AS started, CAST({NOW + 60} AS BIGINT) AS finished,
       files_new, files_changed, files_gone, NOT root_offline AS ok FROM report""",
-    "hash_decision": """SELECT root_id, rel_path, readable AND NOT is_symlink AS needs_hash FROM v_curr""",
+    "hash_decision": """SELECT root_id, rel_path, readable AND NOT is_symlink AS needs_hash FROM v_curr_whole""",
     "blob_upsert": """SELECT sha256, arg_max(size, seq) AS size,
       arg_max(partial_digest, seq) FILTER (partial_digest IS NOT NULL) AS partial_digest FROM
-      (SELECT sha256, size, concat('p', rel_path) AS partial_digest, -1 AS seq FROM v_prev
+      (SELECT sha256, size, concat('p', rel_path) AS partial_digest, -1 AS seq FROM v_prev_whole
        UNION ALL
        SELECT CASE WHEN ino % 4 = 0 THEN sha256(CAST(ino AS VARCHAR)) ELSE sha256 END, size,
-         CASE WHEN ino % 3 <> 0 THEN concat('n', ino) END, ino FROM v_curr)
+         CASE WHEN ino % 3 <> 0 THEN concat('n', ino) END, ino FROM v_curr_whole)
       WHERE sha256 IS NOT NULL GROUP BY sha256""",
     "root_removal": """SELECT 'roots' AS kept, root_id, count(*) AS rows FROM v_roots WHERE present GROUP BY ALL
       UNION ALL SELECT 'files', root_id, count(*) FROM v_files WHERE root_id % 2 = 1 GROUP BY ALL
@@ -514,6 +547,11 @@ _STATEMENTS = {
       count(*) FILTER (WHERE failed AND (o.last IS NULL OR ("at", seq) > o.last)) < 2 AS present
       FROM v_probe p LEFT JOIN (SELECT root_id, max(("at", seq)) AS last FROM v_probe WHERE NOT failed
         GROUP BY root_id) o ON o.root_id = p.root_id GROUP BY p.root_id""",
+    "presence_states": """SELECT root_id, "at", seq, failed, CAST(r AS BIGINT) AS failures_in_a_row, r < 2 AS present,
+        (r < 2) <> (coalesce(lag(r) OVER (PARTITION BY root_id ORDER BY "at", seq), 0) < 2) AS changed
+      FROM (SELECT *, row_number() OVER w - coalesce(max(ok) OVER w, 0) AS r
+        FROM (SELECT *, CASE WHEN NOT failed THEN row_number() OVER (PARTITION BY root_id ORDER BY "at", seq) END AS ok FROM v_probe)
+        WINDOW w AS (PARTITION BY root_id ORDER BY "at", seq ROWS UNBOUNDED PRECEDING))""",
     "index_enrichment": f"""SELECT 'blob' AS subject_type, sha256(text) AS subject_key, 'index' AS provider,
       source AS repo, concat('f', doc_id) AS filename,
       concat('{{"repo":"', source, '","filename":"f', doc_id, '"}}') AS payload_json, 'external' AS level,

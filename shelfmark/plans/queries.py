@@ -96,6 +96,46 @@ def hash_gate(spark, sf):
     return duplicates.hash_gate(files).select("doc_id", "size", "collides")
 
 
+@query
+def staged_digests(spark, sf):
+    """Documents as files: by size, by edges of 64 bytes, then whole. Every third blob is stored already, and of
+    every fifteenth only the size."""
+    data = F.col("text").cast("binary")
+    full, partial = contents.digests_of_bytes(data, window=64)
+    files = table(spark, sf, "documents").withColumn("size", F.octet_length("text").cast("long"))
+    known = files.where(F.col("doc_id") % 3 == 0).select(
+        (F.col("size") + F.col("doc_id") % 2).alias("size"), F.when(F.col("doc_id") % 15 != 0, partial).alias("partial_digest")
+    ).distinct()
+    sized = duplicates.open_after_size(files.select("doc_id", "text", "size"), known)
+    edged = sized.withColumn("partial_digest", F.when(F.col("open"), partial))
+    left = duplicates.open_after_edges(edged, known)
+    stage = F.when(F.col("open"), "full").when(F.col("partial_digest").isNotNull(), "edges").otherwise("size")
+    return left.select(
+        "doc_id", "size", stage.alias("stage"), "partial_digest", F.when(F.col("open"), full).alias("sha256")
+    )
+
+
+@query
+def digest_tree(spark, sf):
+    """Pieces of 256 bytes, eight digests to a parent."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pieces = contents.piece_digests_of_bytes(docs, F.col("text").cast("binary"), 256).drop("text")
+    return contents.root_digests(pieces, ["doc_id"], 8)
+
+
+@query
+def broken_ranges(spark, sf):
+    """Every seventh text has another letter in the middle, every eleventh has lost its last hundred bytes."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    data, middle = F.col("text").cast("binary"), F.floor(F.octet_length("text") / 2).cast("int")
+    size = F.octet_length("text")
+    changed = F.concat(F.substring(data, F.lit(1), middle), F.lit(b"~"), F.substring(data, middle + 2, size))
+    shorter = F.substring(data, F.lit(1), F.greatest(F.lit(0), size - 100))
+    now = F.when(F.col("doc_id") % 7 == 0, changed).when(F.col("doc_id") % 11 == 0, shorter).otherwise(data)
+    stored, again = (contents.piece_digests_of_bytes(docs, d, 256).drop("text") for d in (data, now))
+    return contents.broken_ranges(again, stored, ["doc_id"])
+
+
 @query
 def content_digest(spark, sf):
     full, partial = contents.digests_of_bytes(F.col("text").cast("binary"), window=256)
@@ -450,16 +490,16 @@ def scan_history(spark, sf):
 
 @query
 def hash_decision(spark, sf):
-    return reconcile.needs_hash(view(spark, sf, "v_curr")).select("root_id", "rel_path", "needs_hash")
+    return reconcile.needs_hash(view(spark, sf, "v_curr_whole")).select("root_id", "rel_path", "needs_hash")
 
 
 @query
 def blob_upsert(spark, sf):
-    old = view(spark, sf, "v_prev").where(F.col("sha256").isNotNull()).select(
+    old = view(spark, sf, "v_prev_whole").where(F.col("sha256").isNotNull()).select(
         "sha256", "size", F.concat(F.lit("p"), "rel_path").alias("partial_digest")
     )
     key = F.substring("rel_path", 2, 20).cast("long")
-    new = view(spark, sf, "v_curr").select(
+    new = view(spark, sf, "v_curr_whole").select(
         F.when(key % 4 == 0, F.sha2(key.cast("string"), 256)).otherwise(F.col("sha256")).alias("sha256"),
         "size",
         F.when(key % 3 != 0, F.concat(F.lit("n"), key.cast("string"))).alias("partial_digest"),
@@ -512,6 +552,11 @@ def presence_hysteresis(spark, sf):
     return evidence.presence_with_patience(view(spark, sf, "v_probe"), patience=2)
 
 
+@query
+def presence_states(spark, sf):
+    return evidence.presence_states(view(spark, sf, "v_probe"), patience=2)
+
+
 @query
 def index_enrichment(spark, sf):
     """The index knows every third document; its other entries have digests that no blob has."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.functions.identity import with_identity
 from shelfmark.functions.names import digest_in_name, is_partial_download
-from shelfmark.operators import build, evidence, reconcile
+from shelfmark.operators import build, duplicates, evidence, reconcile
 from shelfmark.session import cut
 from shelfmark.sources import contents, listing
 from shelfmark.sources.store import CatalogueTables
@@ -47,6 +47,41 @@ def trust_names(listed: DataFrame, blobs: DataFrame) -> DataFrame:
     return found.join(known, same, "left").drop("named", "blob_size")
 
 
+def known_contents(catalogue: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
+    """`size, partial_digest` of what a file may be a copy of without being listed beside it: stored blobs, and
+    files without a digest on roots that are away (`roots` says which are present)."""
+    away = roots.where(~F.col("present")).select("root_id")
+    unread = catalogue["files"].where("sha256 is null and state = 'present' and not is_symlink")
+    return (
+        catalogue["blobs"].select("size", "partial_digest")
+        .unionByName(unread.join(away, "root_id", "left_semi").select("size", F.lit(None).cast("string").alias("partial_digest")))
+        .distinct()
+    )
+
+
+def staged_digests(listed: DataFrame, known: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Digests in three passes, each of which reads only what the one before left open: `root_id, rel_path, stage,
+    partial_digest, sha256, needs_hash, bytes_read`, a row for each row of `listed` (with `needs_hash`).
+
+    By size: a file whose size nothing else has is closed unread. By edges: at most 128 KiB are read; a file
+    whose partial digest nothing of its size has is closed, and one of at most 128 KiB has its digest by now.
+    What is left has `needs_hash`: it must be read whole (by `examine_files`). `bytes_read` includes that.
+    """
+    key = ["root_id", "rel_path"]
+    sized = cut(duplicates.open_after_size(listed.select(*listed.columns), known))
+    edges = cut(contents.edge_digests(sized.where("open"), tasks))
+    met = sized.select(*key, "size", "open").join(edges, key, "left")
+    left = duplicates.open_after_edges(met.where("open"), known).select(*key, F.col("open").alias("still_open"))
+    full = F.coalesce(F.col("still_open"), F.lit(False)) & F.col("sha256").isNull()
+    stage = F.when(full, "full").when(F.col("open"), "edges").otherwise("size")
+    return cut(
+        met.join(left, key, "left").withColumn("needs_hash", full).select(
+            *key, stage.alias("stage"), "partial_digest", "sha256", "needs_hash",
+            (F.coalesce("bytes_read", F.lit(0)) + F.when(full, F.col("size")).otherwise(F.lit(0))).alias("bytes_read"),
+        )
+    )
+
+
 def scan(
     catalogue: dict[str, DataFrame],
     scan_seq: int,
@@ -56,12 +91,14 @@ def scan(
     active_key: str = "",
     max_depth: int | None = None,
     tasks: int | None = None,
+    gate: bool = False,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The next snapshot's tables and the scan report.
 
     Roots are probed first; the files of a root that is away keep their rows. `scan_seq` numbers the
     scans of a catalogue. A full scan reads every file again, since equal stats do not prove equal
-    bytes. The file pass is checkpointed: everything after it is joins and aggregations that may be
+    bytes. With `gate` it reads digests in stages (`staged_digests`): whole files only where copies are
+    possible, so the same copies are found, but other files get no digest. The file pass is checkpointed: everything after it is joins and aggregations that may be
     repeated when an executor is lost, without reading a file twice.
     """
     roots = cut(listing.probe(catalogue["roots"], now))
@@ -70,9 +107,17 @@ def scan(
     if trust_digest_names:
         listed = cut(trust_names(listed, catalogue["blobs"]))
         listed = listed.withColumn("needs_hash", F.col("needs_hash") & F.col("trusted_sha256").isNull())
+    key = ["root_id", "rel_path"]
+    if gate and not quick:
+        staged = staged_digests(listed, known_contents(catalogue, roots), tasks)
+        listed = listed.drop("needs_hash").join(staged.select(*key, "needs_hash"), key)
     examined = contents.examine_files(listed, active_key=active_key, tasks=tasks)
+    if gate and not quick:
+        edges = staged.select(*key, F.col("sha256").alias("edge_sha256"), F.col("partial_digest").alias("edge_digest"))
+        examined = examined.join(edges, key, "left").withColumns(
+            {"sha256": F.coalesce("sha256", "edge_sha256"), "partial_digest": F.coalesce("partial_digest", "edge_digest")}
+        ).drop("edge_sha256", "edge_digest")
     if trust_digest_names:
-        key = ["root_id", "rel_path"]
         trusted = listed.where("trusted_sha256 is not null").select(*key, "trusted_sha256")
         examined = examined.join(trusted, key, "left").withColumn("sha256", F.coalesce("sha256", "trusted_sha256"))
         examined = examined.drop("trusted_sha256")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +25,7 @@ from shelfmark.functions.identity import (
     kind_of_safetensors,
     quant_of_file_type,
 )
+from shelfmark.session import written
 from shelfmark.sources import gguf
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -32,6 +33,10 @@ SNIFF_BYTES = 64
 SAFETENSORS_HEADER_USUAL = 8 << 20
 HASH_STEP = 1 << 20
 PARTIAL_WINDOW = 64 << 10
+PIECE_SIZE = 16 << 20
+FAN_OUT = 64
+# Put before what is digested, so that a piece and a row of digests never look alike.
+_LEAF, _NODE = b"\x00", b"\x01"
 # ---- end of fixed values --------------------------------------------------------------------
 
 _RAW = schemas.table(
@@ -104,6 +109,45 @@ def _digests(source: BinaryIO) -> dict:
     return {"sha256": full.hexdigest(), "partial_digest": partial.hexdigest()}
 
 
+def _edges(path: str) -> dict:
+    """Partial digest by reading no more than the edges; `sha256` too where they are the whole file."""
+    try:
+        with open(path, "rb", buffering=0) as source:
+            size = source.seek(0, io.SEEK_END)
+            whole = size <= 2 * PARTIAL_WINDOW
+            source.seek(0)
+            data = _exactly(source, size if whole else PARTIAL_WINDOW)
+            if not whole:
+                source.seek(size - PARTIAL_WINDOW)
+                data += _exactly(source, PARTIAL_WINDOW)
+    except OSError as error:
+        return {"hash_error": f"scan.io:{error.errno}", "bytes_read": 0}
+    digest = hashlib.sha256(data).hexdigest()
+    return {"partial_digest": digest, "sha256": digest if whole else None, "bytes_read": len(data)}
+
+
+def _exactly(source: BinaryIO, count: int) -> bytes:
+    """The next `count` bytes, fewer at the end of the file."""
+    data = bytearray()
+    while len(data) < count and (more := source.read(min(HASH_STEP, count - len(data)))):
+        data += more
+    return bytes(data)
+
+
+def _piece(path: str, start: int, length: int) -> dict:
+    """Digest of a byte range, read in steps."""
+    digest, left = hashlib.sha256(_LEAF), length
+    try:
+        with open(path, "rb", buffering=0) as source:
+            source.seek(start)
+            while left and (chunk := source.read(min(HASH_STEP, left))):
+                digest.update(chunk)
+                left -= len(chunk)
+    except OSError as error:
+        return {"piece_error": f"scan.io:{error.errno}"}
+    return {"piece_error": "scan.short"} if left else {"piece_digest": digest.hexdigest()}
+
+
 def _examine(paths: list[str], wants_hash: list[bool], wants_header: list[bool], options: dict):
     for path, hash_it, read_header in zip(paths, wants_hash, wants_header):
         row: dict = {}
@@ -192,6 +236,121 @@ def examine_files(
     return _finish(found, schemas.LISTING.names)
 
 
+def edge_digests(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+    """`root_id, rel_path, partial_digest, sha256, hash_error, bytes_read` of readable regular files by their edges
+    alone: at most 128 KiB of a file are read, and `sha256` is there if these are all of it."""
+    found = schemas.table("partial_digest string, sha256 string, hash_error string, bytes_read long")
+    schema = StructType([f for f in schemas.LISTING.fields if f.name in ("root_id", "rel_path")] + found.fields)
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        for root, path in zip(batch.column("root_path").to_pylist(), batch.column("rel_path").to_pylist()):
+            yield _edges(os.path.join(root, path))
+
+    plain = listing.where("readable and not is_symlink").select(*schemas.LISTING.names)
+    return deal_by_size(plain, tasks).mapInArrow(_arrow_job(rows_of, _arrow_schema(schema)), schema)
+
+
+# ---- digest trees ---------------------------------------------------------------------------
+
+
+def pieces_of(files: DataFrame, size: Column, piece: int) -> DataFrame:
+    """A row for each piece of each file: `piece, start, length`. An empty file has one empty piece."""
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(size / piece) - 1)
+    start = F.col("piece") * F.lit(piece).cast("long")
+    return (
+        files.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .withColumn("start", start)
+        .withColumn("length", F.least(F.lit(piece).cast("long"), size - start))
+    )
+
+
+def piece_digests(listing: DataFrame, piece: int = PIECE_SIZE, tasks: int | None = None) -> DataFrame:
+    """Digests of the byte ranges of readable regular files: `root_id, rel_path, piece, start, length, piece_digest,
+    piece_error`. Ranges, not files, are dealt to `tasks`, so that many tasks read one very large file."""
+    found = schemas.table("piece_digest string, piece_error string")
+    given = schemas.table("root_id long, rel_path string, piece long, start long, length long")
+    schema = StructType(given.fields + found.fields)
+    count = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        columns = [batch.column(n).to_pylist() for n in ("root_path", "rel_path", "start", "length")]
+        for root, path, start, length in zip(*columns):
+            yield _piece(os.path.join(root, path), start, length)
+
+    plain = listing.where("readable and not is_symlink").select("root_id", "root_path", "rel_path", "size")
+    # in the order of the file within a task, so that a disk reads on
+    dealt = pieces_of(plain, F.col("size"), piece).drop("size").repartitionByRange(count, "root_id", "rel_path", "piece")
+    return dealt.mapInArrow(_arrow_job(rows_of, _arrow_schema(schema)), schema)
+
+
+def piece_digests_of_bytes(table: DataFrame, data: Column, piece: int = PIECE_SIZE) -> DataFrame:
+    """The same where the bytes are a column: the other columns, with `piece, start, length, piece_digest`."""
+    sized = table.withColumns({"_data": data, "_size": F.octet_length(data).cast("long")})
+    part = F.substring(F.col("_data"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    cut_up = pieces_of(sized, F.col("_size"), piece).withColumn("piece_digest", F.sha2(F.concat(F.lit(_LEAF), part), 256))
+    return cut_up.drop("_data", "_size")
+
+
+def root_digests(pieces: DataFrame, key: list[str], fan_out: int = FAN_OUT) -> DataFrame:
+    """The root of each file's digest tree: `key, pieces, root_digest`, from `piece, piece_digest`.
+
+    A parent is the digest of its children's digests, at most `fan_out` of them, in order; a single digest is
+    the root. So a level is one aggregation over (file, parent), and no file's pieces meet in one task until
+    they are few. A file with an unread piece has a null root.
+    """
+    sizes = pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("pieces"), F.bool_or(F.col("piece_digest").isNull()).alias("torn"))
+    sizes = written(sizes)
+    most = sizes.agg(F.max("pieces")).first()[0] or 0
+    level = pieces.select(*key, "piece", F.coalesce("piece_digest", F.lit("")).alias("digest"))
+    while most > 1:
+        order = F.array_sort(F.collect_list(F.struct("piece", "digest")))  # `fan_out` at most
+        joined = F.array_join(F.transform("children", lambda c: c["digest"]), "")
+        parent = F.sha2(F.concat(F.lit(_NODE), F.unhex(joined)), 256)
+        # an only child on the first place is a root already; one elsewhere has siblings in the next level
+        alone = (F.size("children") == 1) & (F.col("parent") == 0) & (F.col("children")[0]["piece"] == 0)
+        level = (
+            level.groupBy(*key, F.floor(F.col("piece") / fan_out).alias("parent")).agg(order.alias("children"))
+            .select(*key, F.col("parent").alias("piece"), F.when(alone, F.col("children")[0]["digest"]).otherwise(parent).alias("digest"))
+        )
+        most = -(-most // fan_out)
+    return sizes.join(level.drop("piece"), key).select(*key, "pieces", F.when(~F.col("torn"), F.col("digest")).alias("root_digest"))
+
+
+def broken_ranges(again: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """Byte ranges that no longer have their stored digest: `key, start, end` (exclusive), `pieces`, `verdict`.
+
+    `stored` and `again` have `key, piece, start, length, piece_digest` of the same piece size. Neighbouring ranges
+    of one verdict are one: `different`, `unreadable`, `missing` (the file is shorter now), `added`.
+    """
+    old = stored.select(*key, "piece", F.struct("start", "length", F.col("piece_digest").alias("digest")).alias("old"))
+    new = again.select(*key, "piece", F.struct("start", "length", F.col("piece_digest").alias("digest")).alias("new"))
+    verdict = (
+        F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "added")
+        .when(F.col("new.digest").isNull(), "unreadable")
+        .when(~F.col("new.digest").eqNullSafe(F.col("old.digest")), "different")
+    )
+    broken = written(
+        old.join(new, [*key, "piece"], "full").withColumn("verdict", verdict).where("verdict is not null")
+        .withColumn("at", F.coalesce("new", "old"))
+        .select(*key, "piece", "verdict", F.col("at.start").alias("start"), (F.col("at.start") + F.col("at.length")).alias("end"))
+    )
+    # pieces that follow one another differ from their rank by the same number
+    of_kind = Window.partitionBy(*key, "verdict").orderBy("piece")
+    runs = broken.withColumn("run", F.col("piece") - F.row_number().over(of_kind))
+    return runs.groupBy(*key, "verdict", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("pieces")
+    ).drop("run")
+
+
+def verify_pieces(chosen: DataFrame, stored: DataFrame, piece: int = PIECE_SIZE, tasks: int | None = None) -> DataFrame:
+    """Reads the chosen files (a listing) again, range by range and many tasks a file, and names the byte ranges that
+    differ from `stored`, the `piece_digests` of an earlier read: see `broken_ranges`."""
+    key = ["root_id", "rel_path"]
+    asked = chosen.join(stored.select(*key).distinct(), key, "left_semi")
+    again = piece_digests(asked, piece, tasks)
+    return broken_ranges(again, stored.join(asked.select(*key), key, "left_semi"), key)
+
+
 def deal_by_size(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows in exactly `tasks` partitions (by default as many as there are shuffle partitions).
 
