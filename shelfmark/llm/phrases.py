@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, count, islice
 
 import numpy as np
@@ -43,7 +43,7 @@ SCALE = 2_000_000
 BLOCK = 3 << 18
 PIECES = 20_000
 BYTES = 1 << 20
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Parts of a language in which the first `MOST` phrases are looked for before they meet.
 BUCKETS = 64
 
@@ -62,12 +62,15 @@ _COUNTED = "lang string, k int, phrase string, f long"
 
 def packed(columns: list[np.ndarray], size: int) -> np.ndarray:
     """One number for each row of the columns (values below `size`), in the order of the rows."""
-    key, span = columns[0].astype(np.int64), size
+    key, span = columns[0].astype(np.uint64), size
     for column in columns[1:]:
-        if span > (1 << 62) // size:
-            values, key = np.unique(key, return_inverse=True)
-            span = len(values)
-        key = key * size + column
+        if span * size > 1 << 64:
+            order = np.argsort(key)
+            new = np.append(False, key[order[1:]] != key[order[:-1]])
+            key = np.empty(len(order), np.uint64)
+            key[order] = np.cumsum(new)
+            span = len(order)
+        key = key * np.uint64(size) + column.astype(np.uint64)
         span *= size
     return key
 
@@ -75,7 +78,7 @@ def packed(columns: list[np.ndarray], size: int) -> np.ndarray:
 def added(columns: list[np.ndarray], n: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows in order, and the sum of `n` of each."""
     key = packed(columns, size)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     rows = order[starts]
@@ -157,10 +160,11 @@ def received(rows: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray,
 
 def _found(columns: list[np.ndarray], n: np.ndarray, words: list[bytes]) -> pa.Array:
     """Phrases of these words with their counts."""
-    texts = [w.split(b"\t", 1) for w in words]
+    used, own = np.unique(np.concatenate(columns), return_inverse=True)
+    texts = [words[i].split(b"\t", 1) for i in used.tolist()]
     names = [t[-1].replace(b"%0A", b"\n").replace(b"%25", b"%").decode() for t in texts]
     plain = [t[0].decode() for t in texts]
-    rows = np.stack(columns, 1).tolist()
+    rows = own.reshape(len(columns), -1).T.tolist()
     return pa.StructArray.from_arrays(
         [
             pa.array([names[r[0]] for r in rows], pa.string()),
@@ -233,6 +237,30 @@ def _blocks(parts: int, most: int):
     return run
 
 
+def by_part(rows: DataFrame, of: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`of` each part's rows. Parts are dealt in turn, so that no task gets more than its share of them, as a hash
+    of their numbers would give some."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != parts[begin]:
+                    yield from of(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from of(pa.Table.from_batches(held)).to_batches()
+        give_back()
+
+    turn = F.pmod("part", F.lit(tasks)).cast("int")
+    dealt = rows.withColumn("turn", turn).repartitionById(tasks, "turn").drop("turn").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, schema)
+
+
 # ---- levels ------------------------------------------------------------------------------------
 
 
@@ -296,10 +324,8 @@ def counted(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
     """(lang, k, phrase, f) of every word (k = 1), and of every phrase of 2 to `WIDTH` words of a piece that
     occurs `least` times or more. A null text is empty, a null language `UNKNOWN`."""
     parts = _parts(docs, text)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).mapInArrow(_blocks(parts, block), _SENT)
-    nodes = blocks.repartition(tasks, "part").groupBy("part").applyInArrow(_nodes(parts, least), _SENT)
-    pairs = nodes.repartition(tasks, "part").groupBy("part").applyInArrow(_pairs(least), _COUNTED)
+    pairs = by_part(by_part(blocks, _nodes(parts, least), _SENT), _pairs(least), _COUNTED)
     return pairs.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
