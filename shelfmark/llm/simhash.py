@@ -38,7 +38,11 @@ COPY_WIDTH = 5
 SIMILARITY = 0.8
 COPY_BANDS = 16
 COPY_ROWS = 4
-COPY_PART = 1024
+#: Of these keys, the first ones that are tried; the others meet only what these have not connected.
+COPY_FIRST = 4
+#: Sets, and bytes of sets, of a key that one task compares at once.
+COPY_PART = 512
+COPY_BYTES = 4 << 20
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code.
@@ -294,7 +298,8 @@ def _copy_keys():
         sets = [shingle_set(t) for t in texts]
         own = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
         keys = [band_keys(s).tolist() if len(s) else [] for s in sets]
-        return [pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        sizes = [len(s) for s in sets]
+        return [pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
 
     return run
 
@@ -345,35 +350,74 @@ def _copy_links(similarity: float):
     return run
 
 
-def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARITY, part: int = COPY_PART) -> DataFrame:
-    """Edges (a, b) between the sets `fp` of `marked` (text_hash, fp, bands). Only sets that share a key
-    with another one are made again, from `texts` (text_hash, text)."""
+def _links_of_keys(texts: DataFrame, one: DataFrame, keyed: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Edges between the sets that share a key of `keyed` (fp, n, component, key).
+
+    A key all of whose sets are of one component already tells nothing; of keys with the same sets one is
+    enough. The sets of what is left are made again from `texts`, each once, and travel to their keys.
+    """
     spark = texts.sparkSession
-    keyed = stored(marked.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("key")))
+    groups = keyed.groupBy("key").agg(
+        F.count("*").alias("c"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
+    )
+    parts = F.greatest(F.ceil(F.col("c") / part), F.ceil(8 * F.col("size") / COPY_BYTES))
     shared = stored(
-        keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / part).alias("parts"))
+        groups.where("c > 1 and low <> high").withColumn("parts", parts)
+        .groupBy("c", "x", "y").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.*")
+    )
+    # a set has `COPY_BANDS` keys at most
+    asked = stored(
+        keyed.join(shared, "key").groupBy("fp").agg(F.collect_list(F.struct("key", "parts")).alias("keys"))
+        .join(one, "fp")
+    )
+    rows = texts.select("text", "doc_id", F.col("text_hash").alias("h")).join(
+        asked.select("fp", "keys", F.col("doc_id").alias("id"), "text_hash", "repeated"),
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash")),
     )
-    met = stored(keyed.join(shared, "key"))
-    asked = marked.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
-    found = texts.join(stored(asked), "text_hash").dropDuplicates(["fp"])
-    sets = stored(
-        mapped(found, found["text"].cast("binary"), ["fp"], [("shingles", "array<long>")],
-               lambda: lambda some: [pa.array([shingle_set(t).view(np.int64) for t in some], pa.list_(pa.int64()))])
+    once = rows.where("not repeated").select("fp", "keys", "text")
+    found = once.unionByName(rows.where("repeated").select("fp", "keys", "text").dropDuplicates(["fp"]))
+    sets = mapped(
+        found, found["text"].cast("binary"), ["fp", "keys"], [("shingles", "array<long>")],
+        lambda: lambda some: [pa.array([shingle_set(t).view(np.int64) for t in some], pa.list_(pa.int64()))],
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        sets.select("fp", "shingles", F.inline("keys"))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "shingles")
     )
     return (
-        dealt.join(sets, "fp").select("key", "low", "high", "fp", "shingles")
-        .repartition(tasks, "key", "low", "high")
+        dealt.repartition(tasks, "key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
         .mapInArrow(tidy(_copy_links(similarity)), "a long, b long")
     )
 
 
+def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARITY, part: int = COPY_PART) -> DataFrame:
+    """Edges (a, b) between the sets `fp` of `marked` (doc_id, text_hash, fp, n, bands), which connect exactly
+    what chains of similar sets that share a key connect. `texts` has (doc_id, text_hash, text).
+
+    First by `COPY_FIRST` keys, which connect nearly all members of a group of copies, then by the others.
+    """
+    rows = stored(
+        marked.groupBy("fp", "text_hash", "doc_id")
+        .agg(F.first("n").alias("n"), F.first("bands").alias("bands"), (F.count("*") > 1).alias("repeated"))
+        .groupBy("fp").agg(F.min_by(F.struct("n", "bands", "repeated", "text_hash", "doc_id"), F.struct("text_hash", "doc_id")).alias("r"))
+        .select("fp", "r.*")
+    )
+    one = rows.select("fp", "text_hash", "doc_id", "repeated")
+    keys = lambda begin, count: F.explode(F.slice("bands", begin, count)).alias("key")
+    first = rows.select("fp", "n", F.col("fp").alias("component"), keys(1, COPY_FIRST))
+    links = stored(_links_of_keys(texts, one, first, similarity, part))
+    found = stored(components(links))
+    rest = rows.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "n", F.coalesce("component", "fp").alias("component"), keys(COPY_FIRST + 1, COPY_BANDS)
+    )
+    return links.unionByName(_links_of_keys(texts, one, rest, similarity, part))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs`, with all its columns, of each group of near copies: of those with the smallest
     id (null if no row has one) the one with the least text hash; of rows equal in both, any.
@@ -385,9 +429,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     can't do that: such pairs differ in about 10 of 64 bits, so few share a Golay key.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    made = [("fp", "long"), ("bands", "array<long>")]
+    made = [("fp", "long"), ("n", "long"), ("bands", "array<long>")]
     marked = stored(mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, _copy_keys))
-    groups = _groups(marked, copy_links(named.select("text_hash", "text"), marked))
+    groups = _groups(marked, copy_links(named, marked))
     kept = stored(
         marked.select("doc_id", "fp", "text_hash").distinct().join(groups, "fp").where("doc_id <=> component_id")
         .groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("k"))

@@ -1,25 +1,22 @@
 """The pipeline on planted documents, stage by stage, and the registered queries."""
 
-import duckdb
-
 import corpus_pipeline
 import __spark_entry__ as entry
 from shelfmark.llm import quality
 from shelfmark.llm.queries import ORACLE, QUERIES
 from shelfmark.llm.tables import read, ready
-from tests.compare import differences
+from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [sum(k.startswith(f"op{n}_") for k in entry.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in entry.queries()) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries() and set(ORACLE) <= set(QUERIES)
 
 
 def test_sql_twins(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    con = connect(SF)
     for name, sql in ORACLE.items():
         assert differences(QUERIES[name](spark, SF), con.sql(sql)) is None
 
