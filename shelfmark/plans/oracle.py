@@ -323,6 +323,12 @@ def _sql(statement: str) -> str:
     return f"WITH {parts}\n{statement}" if parts else statement
 
 
+def _differing(a: str, b: str) -> str:
+    names = ("size", "mtime", "ctime", "dev", "ino", "is_symlink", "symlink_target", "sha256", "hash_state",
+             "parse_state", "parse_error", "state")
+    return ", ".join(f"CASE WHEN {a}.{n} IS DISTINCT FROM {b}.{n} THEN '{n}' END" for n in names)
+
+
 _STATEMENTS = {
     "dup_plan": """SELECT *, allocations - 1 AS reclaimable_files,
       (allocations - 1) * size AS reclaimable_bytes FROM groups""",
@@ -669,6 +675,12 @@ _STATEMENTS = {
     "verify_digests": """SELECT rel_path, CASE WHEN length(rel_path) % 5 = 0 THEN sha256(rel_path)
         ELSE sha256(unhex(hx)) END AS stored_sha256, sha256(unhex(hx)) AS sha256,
       CASE WHEN length(rel_path) % 5 = 0 THEN 'different' ELSE 'same' END AS verdict FROM tree_bytes""",
+    "snapshot_difference": f"""SELECT coalesce(p.root_id, c.root_id) AS root_id, coalesce(p.rel_path, c.rel_path) AS rel_path,
+        CASE WHEN p.rel_path IS NULL THEN 'added' WHEN c.rel_path IS NULL THEN 'removed' ELSE 'changed' END AS change,
+        CASE WHEN p.rel_path IS NOT NULL AND c.rel_path IS NOT NULL THEN concat_ws(',', {_differing('p', 'c')}) END AS columns
+      FROM (SELECT * FROM v_prev WHERE root_id % 2 = 0) p FULL JOIN (SELECT * FROM v_curr WHERE root_id % 2 = 0) c
+        ON p.root_id = c.root_id AND p.rel_path = c.rel_path
+      WHERE p.rel_path IS NULL OR c.rel_path IS NULL OR concat_ws(',', {_differing('p', 'c')}) <> ''""",
     "export_manifest": """SELECT 'roots' AS section, CAST(root_id AS VARCHAR) AS key,
         CAST(to_json(r) AS VARCHAR) AS payload FROM v_roots r
       UNION ALL SELECT 'blobs', sha256, CAST(to_json(b) AS VARCHAR) FROM

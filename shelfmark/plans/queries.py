@@ -27,7 +27,7 @@ from shelfmark.plans import stand_ins
 from shelfmark.plans.scan import identify_files
 from shelfmark.plans.views import table, view
 from shelfmark.session import cut, shared_dir, tune
-from shelfmark.sources import contents, listing, manifest
+from shelfmark.sources import contents, listing, manifest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -854,6 +854,27 @@ def verify_digests(spark, sf):
     )
 
 
+# ---- snapshots ------------------------------------------------------------------------------
+
+
+@query
+def snapshot_difference(spark, sf):
+    """Two stored snapshots of the files: all, and after a scan that reached the roots with an even number."""
+    import uuid
+
+    catalogue = store.CatalogueStore(spark, f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    stored, listed = view(spark, sf, "v_prev"), view(spark, sf, "v_curr").drop("readable")
+    catalogue.write({n: stored if n == "files" else t for n, t in catalogue.read().items()}, NOW)
+    first = catalogue.read()
+    reached = [0, 2, 4]
+    tables = store.CatalogueTables(first, touched={"files": reached})
+    tables.update(files=listed.where(F.col("root_id").isin(reached)))
+    catalogue.write(tables, NOW + 1)
+    old, new = (catalogue.read(n)["files"] for n in (0, 1))
+    found = store.difference(old, new, ["root_id", "rel_path"])
+    return found.select("root_id", "rel_path", "change", F.array_join("columns", ",").alias("columns"))
+
+
 # ---- manifest -------------------------------------------------------------------------------
 
 

@@ -123,8 +123,12 @@ def scan(
         examined = examined.drop("trusted_sha256")
     current = cut(parse_state(examined))
 
-    changes = cut(reconcile.compare_listings(catalogue["files"], current, roots))
-    files = reconcile.next_files(changes)
+    # roots that are away keep their rows, and in a stored catalogue their folders
+    reached = [r.root_id for r in roots.where("present").select("root_id").distinct().collect()]
+    before = catalogue["files"].where(F.col("root_id").isin(reached))
+    away = catalogue["files"].where(F.col("root_id").isNull() | ~F.col("root_id").isin(reached))
+    changes = cut(reconcile.compare_listings(before, current, roots))
+    files = reconcile.next_files(changes).unionByName(away.select(*schemas.FILES.names))
     found = current.where("readable").select(
         "sha256", "size", "partial_digest", F.lit(scan_seq).alias("seq")
     )
@@ -149,7 +153,9 @@ def scan(
     )
     scanned_at = F.when(F.col("present"), F.lit(now).cast("long")).otherwise(F.col("last_scan_at"))
     runs = reconcile.scan_runs_rows(report, now, now)
-    tables = CatalogueTables(catalogue, appended={"evidence": log, "scan_runs": runs})
+    tables = CatalogueTables(
+        catalogue, appended={"evidence": log, "scan_runs": runs}, touched={"files": reached}
+    )
     tables.update(
         roots=roots.withColumn("last_scan_at", scanned_at).select(*schemas.ROOTS.names),
         files=files,

@@ -127,7 +127,9 @@ def scans(spark, tmp_path_factory):
     assert store.newest() == 2 and store.read(1)["scan_runs"].count() == len(CASES)
     # what did not change keeps its folder, and what only grows gets its new rows
     _, folders = store._log()
-    assert folders["monitors"] == ["snapshot=0/monitors"] and folders["files"] == ["snapshot=2/files"]
+    assert folders["monitors"] == ["snapshot=0/monitors"]
+    # the root that was away keeps its folder too
+    assert folders["files"] == [f"snapshot=1/files/root_id={ROOT['drive']}", "snapshot=2/files"]
     assert folders["evidence"] == [f"snapshot={n}/evidence" for n in range(3)]
     for name in ("evidence", "scan_runs"):
         parts = [spark.read.parquet(f"{store.base}/{f}").count() for f in folders[name]]
