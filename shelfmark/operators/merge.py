@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import FAMILY_KEY_ALGO, schemas
 from shelfmark.functions.names import name_tokens, shared_tokens, similarity_score
 from shelfmark.operators.hot_keys import join_lookup
-from shelfmark.session import cut
+from shelfmark.session import cut, written
 
 # Fixed value: two parameter counts closer than this share of the larger one count as alike.
 PARAMS_RATIO = 0.15
@@ -54,9 +56,94 @@ def merge_suggestions(
     aliases: DataFrame,
     algo_version: str = FAMILY_KEY_ALGO,
     asked: DataFrame | None = None,
+    least_score: float | None = None,
+) -> DataFrame:
+    """The `likely_pairs` of families about which nothing is decided."""
+    return undecided(likely_pairs(families, asked, least_score), declined, aliases, algo_version)
+
+
+def undecided(
+    pairs: DataFrame, declined: DataFrame, aliases: DataFrame, algo_version: str = FAMILY_KEY_ALGO
+) -> DataFrame:
+    """`pairs` without the `settled_pairs`."""
+    both = _sorted_pair(F.col("a_key"), F.col("b_key"))
+    return pairs.select("*", *both).join(settled_pairs(declined, aliases, algo_version), _PAIR, "left_anti").drop(*_PAIR)
+
+
+# What of a family decides its pairs, beside its key.
+_DECISIVE = ["arch", "params_total", "first_root_id", "first_rel_path"]
+
+
+def changed_families(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Keys of families added, removed, or changed in what decides their pairs (`family_key`)."""
+    side = lambda df, name: df.select("family_key", F.struct(*_DECISIVE).alias(name))
+    both = side(before, "old").join(side(after, "new"), "family_key", "full")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("family_key")
+
+
+def follow_pairs(
+    pairs: DataFrame, before: DataFrame, after: DataFrame, least_score: float | None = None
+) -> DataFrame:
+    """The `likely_pairs` of the families `after`, from the stored `pairs` of those `before` (with the same
+    `least_score`): pairs of families that changed go, and only the changed ones are compared anew."""
+    changed = written(changed_families(before, after))
+    stay = pairs
+    for side in ("a_key", "b_key"):
+        stay = stay.join(changed.select(F.col("family_key").alias(side)), side, "left_anti")
+    return stay.select(*pairs.columns).unionByName(likely_pairs(after, changed, least_score))
+
+
+def _likeness(signatures: DataFrame) -> DataFrame:
+    """(arch_mark, signature_1, signature_2) with the likeness as seen from either."""
+    list_1, list_2 = F.split("signature_1", "-"), F.split("signature_2", "-")
+    seen = lambda a, b: F.struct(
+        shared_tokens(a, b).alias("shared_tokens"), similarity_score(a, b).alias("score")
+    )
+    return signatures.select(
+        "arch_mark", "signature_1", "signature_2", seen(list_1, list_2).alias("forward"), seen(list_2, list_1).alias("backward")
+    )
+
+
+def _close_signatures(by_token: DataFrame, least_score: float) -> DataFrame:
+    """Pairs of signatures that may have the score, before any is compared.
+
+    Of the tokens of a name, those that another name lacks are at most the share `1 - least_score` of its length.
+    So of its rarest tokens, as many as go beyond that share, the other has at least one: only these
+    look for partners, and a token that most names have is seldom among them. Names without repeated
+    tokens must also be of like length.
+    """
+    often = by_token.groupBy("arch_mark", "token").agg(F.count(F.lit(1)).alias("often"))
+    ranked = join_lookup(by_token, often, ["arch_mark", "token"]).groupBy("arch_mark", "signature", "asked").agg(
+        F.array_sort(F.collect_list(F.struct("often", "token"))).alias("rarest")  # the tokens of one name
+    )
+    tokens = F.split("signature", "-")
+    length = F.size(tokens)
+    times = F.transform("rarest", lambda t: F.size(F.filter(F.split(F.col("signature"), "-"), lambda x: x == t["token"])))
+    before = lambda i: F.aggregate(F.slice("times", 1, i), F.lit(0), lambda a, b: a + b)
+    rest = (1.0 - least_score) * F.col("length") + 1e-9
+    prefixed = ranked.withColumns({"times": times, "length": length}).select(
+        "arch_mark", "signature", "asked", F.posexplode("rarest").alias("at", "t"), "times", "length"
+    )
+    seekers = prefixed.where(before(F.col("at")) <= rest).select(
+        "arch_mark", F.col("t.token").alias("token"), F.col("signature").alias("s"), F.col("asked").alias("s_asked")
+    )
+    others = by_token.select("arch_mark", "token", F.col("signature").alias("o"), F.col("asked").alias("o_asked"))
+    met = seekers.join(others, ["arch_mark", "token"]).where(F.col("s_asked") | F.col("o_asked"))
+    pairs = met.select("arch_mark", F.least("s", "o").alias("signature_1"), F.greatest("s", "o").alias("signature_2")).distinct()
+    sizes = [F.size(F.split(c, "-")) for c in ("signature_1", "signature_2")]
+    repeats = reduce(
+        lambda a, b: a | b,
+        [F.size(F.array_distinct(F.split(c, "-"))) < F.size(F.split(c, "-")) for c in ("signature_1", "signature_2")],
+    )
+    return pairs.where(repeats | (F.least(*sizes) >= least_score * F.greatest(*sizes) - 1e-9))
+
+
+def likely_pairs(
+    families: DataFrame, asked: DataFrame | None = None, least_score: float | None = None
 ) -> DataFrame:
     """All pairs of families with a name token in common and the same architecture; with `asked`
-    (`family_key`) the pairs that have one of those families, as for the families new in a scan.
+    (`family_key`) the pairs that have one of those families, as for the families new in a scan; with
+    `least_score` (above 0) those of that score or more, most others never being made.
 
     Families with the same tokens and architecture form one signature; tokens are compared between
     signatures, not between families. Two signatures meet at each token they share, and the smallest
@@ -86,29 +173,25 @@ def merge_suggestions(
     by_token = signatures.select(
         "arch_mark", "signature", "asked", F.explode(F.array_distinct(tokens)).alias("token")
     )
-    one, two = by_token.alias("one"), by_token.alias("two")
-    list_1 = F.split(F.col("one.signature"), "-")
-    list_2 = F.split(F.col("two.signature"), "-")
-    same_place = (
-        (F.col("one.arch_mark") == F.col("two.arch_mark"))
-        & (F.col("one.token") == F.col("two.token"))
-        & (F.col("one.signature") <= F.col("two.signature"))
-        & (F.col("one.asked") | F.col("two.asked"))
-        & (F.col("one.token") == F.array_min(F.array_intersect(list_1, list_2)))
-    )
-    alike = one.join(two, same_place).select(
-        "one.arch_mark",
-        F.col("one.signature").alias("signature_1"),
-        F.col("two.signature").alias("signature_2"),
-        F.struct(
-            shared_tokens(list_1, list_2).alias("shared_tokens"),
-            similarity_score(list_1, list_2).alias("score"),
-        ).alias("forward"),
-        F.struct(
-            shared_tokens(list_2, list_1).alias("shared_tokens"),
-            similarity_score(list_2, list_1).alias("score"),
-        ).alias("backward"),
-    )
+    if least_score is None:
+        one, two = by_token.alias("one"), by_token.alias("two")
+        list_1 = F.split(F.col("one.signature"), "-")
+        list_2 = F.split(F.col("two.signature"), "-")
+        same_place = (
+            (F.col("one.arch_mark") == F.col("two.arch_mark"))
+            & (F.col("one.token") == F.col("two.token"))
+            & (F.col("one.signature") <= F.col("two.signature"))
+            & (F.col("one.asked") | F.col("two.asked"))
+            & (F.col("one.token") == F.array_min(F.array_intersect(list_1, list_2)))
+        )
+        met = one.join(two, same_place).select(
+            "one.arch_mark", F.col("one.signature").alias("signature_1"), F.col("two.signature").alias("signature_2")
+        )
+    else:
+        met = _close_signatures(by_token, least_score)
+    alike = _likeness(met)
+    if least_score is not None:
+        alike = alike.where(F.greatest("forward.score", "backward.score") >= least_score)
     first = members.select(
         "arch_mark", F.col("signature").alias("signature_1"), F.col("family").alias("f1")
     )
@@ -137,17 +220,14 @@ def merge_suggestions(
         F.when(near, "params").otherwise("name").alias("reason"),
         "likeness.shared_tokens",
         "likeness.score",
-        *_sorted_pair(F.col("a.family_key"), F.col("b.family_key")),
     )
-    settled = settled_pairs(declined, aliases, algo_version)
-    return suggested.join(settled, _PAIR, "left_anti").drop(*_PAIR)
+    return suggested if least_score is None else suggested.where(F.col("score") >= least_score)
 
 
-def resolve_aliases(aliases: DataFrame) -> DataFrame:
-    """Final family of every alias, chains followed to their end (`alias, family_key`).
+def _followed(aliases: DataFrame) -> DataFrame:
+    """Every alias with the key that following it leads to, by more steps than there are aliases.
 
-    Each round doubles the distance an alias looks ahead, so a chain of n links takes log2(n)
-    rounds. Aliases that lead in a circle have no end and are left out (`alias_circles`).
+    Each round doubles the distance an alias looks ahead, so a chain of n links takes log2(n) rounds.
     """
     links = cut(
         aliases.where(F.col("alias") != F.col("family_key"))
@@ -159,21 +239,97 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
     for _ in range(max(count, 1).bit_length() + 1):
         onward = ahead.select(F.col("alias").alias("family_key"), F.col("family_key").alias("next"))
         if ahead.join(onward, "family_key", "left_semi").isEmpty():
-            return ahead
+            break
         ahead = cut(
             ahead.join(onward, "family_key", "left").select(
                 "alias", F.coalesce("next", "family_key").alias("family_key")
             )
         )
+    return ahead
+
+
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """Final family of every alias, chains followed to their end (`alias, family_key`). Aliases that lead in
+    a circle have no end and are left out (`alias_circles`)."""
+    ahead = _followed(aliases)
     ends = ahead.select(F.col("alias").alias("family_key"))
     return ahead.join(ends, "family_key", "left_anti").select("alias", "family_key")
 
 
+def circle_members(aliases: DataFrame) -> DataFrame:
+    """Aliases that lead back to themselves (`alias`), without those that only lead into a circle: after that
+    many steps an alias without an end stands on its circle, and steps along a circle miss none of it."""
+    ahead = _followed(aliases)
+    ends = ahead.select(F.col("alias").alias("family_key"))
+    return ahead.join(ends, "family_key", "left_semi").select(F.col("family_key").alias("alias")).distinct()
+
+
 def alias_circles(aliases: DataFrame, resolved: DataFrame) -> DataFrame:
     """Aliases without an end to follow."""
     return aliases.join(resolved.select("alias"), "alias", "left_anti")
 
 
+def import_decisions(
+    aliases: DataFrame,
+    declined: DataFrame,
+    other_aliases: DataFrame,
+    other_declined: DataFrame,
+    algo_version: str = FAMILY_KEY_ALGO,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Aliases and declined pairs after those of another catalogue are taken over, and the conflicts.
+
+    Own decisions stay; links of a key to itself are none. A link of the other side is left out, and a row of `conflicts` (`problem, key, other`) says
+    so, if its alias has another family here (`alias.two_targets`, unless both lead to the same end), if its two
+    keys are declined here under this key rule (`alias.declined`), or if it would close a circle (`alias.circle`).
+    Declined pairs are united, the earliest date of each counting. Pairs that are declined and, by chains of links,
+    merged are kept and reported (`merge.declined`).
+    """
+    aliases = aliases.where(F.col("alias") != F.col("family_key"))
+    own = aliases.groupBy("alias").agg(F.min(F.struct("family_key", "source")).alias("own"))
+    theirs = (
+        other_aliases.where(F.col("alias") != F.col("family_key"))
+        .groupBy("alias").agg(F.min(F.struct("family_key", "source")).alias("link"))
+        .select("alias", "link.*")
+    )
+    refused = declined.where(F.col("algo_version") == algo_version).select(
+        *_sorted_pair(F.col("family_a_key"), F.col("family_b_key"))
+    ).distinct()
+    offered = written(
+        theirs.join(own, "alias", "left")
+        .withColumns(dict(zip(_PAIR, _sorted_pair(F.col("alias"), F.col("family_key")))))
+        .join(refused.withColumn("refused", F.lit(True)), _PAIR, "left")
+    )
+    fresh = offered.where("own is null and refused is null").select("family_key", "alias", "source")
+    united = written(aliases.select("family_key", "alias", "source").unionByName(fresh))
+    circles = circle_members(united).join(fresh.select("alias"), "alias", "left_semi")
+    circles = written(circles)
+    merged = written(united.join(circles, "alias", "left_anti").select("family_key", "alias", "source"))
+
+    resolved = written(resolve_aliases(merged))
+    end = lambda df, column, into: df.join(
+        resolved.select(F.col("alias").alias(column), F.col("family_key").alias("_end")), column, "left"
+    ).withColumn(into, F.coalesce("_end", column)).drop("_end")
+    taken = offered.where("own is not null").select("alias", "family_key", F.col("own.family_key").alias("own_key"))
+    twice = end(end(taken, "family_key", "theirs"), "own_key", "ours").where("theirs <> ours")
+    both = declined.unionByName(other_declined)
+    all_declined = both.groupBy(*_PAIR, "algo_version").agg(F.min("declined_at").alias("declined_at"))
+    decided = all_declined.where(F.col("algo_version") == algo_version).select(*_PAIR)
+    joined = end(end(decided, "family_a_key", "end_a"), "family_b_key", "end_b").where("end_a = end_b")
+    row = lambda df, problem, key, other: df.select(
+        F.lit(problem).alias("problem"), F.col(key).alias("key"), F.col(other).alias("other")
+    )
+    conflicts = reduce(
+        DataFrame.unionByName,
+        [
+            row(twice, "alias.two_targets", "alias", "family_key"),
+            row(offered.where("own is null and refused"), "alias.declined", "alias", "family_key"),
+            row(fresh.join(circles, "alias", "left_semi"), "alias.circle", "alias", "family_key"),
+            row(joined, "merge.declined", "family_a_key", "family_b_key"),
+        ],
+    )
+    return merged, all_declined.select(*schemas.DECLINED_MERGES.names), conflicts
+
+
 def apply_aliases(table: DataFrame, resolved: DataFrame) -> DataFrame:
     """`table` with merged families under the key they were merged into."""
     target = resolved.select(F.col("alias").alias("family_key"), F.col("family_key").alias("into"))

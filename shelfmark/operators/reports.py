@@ -299,10 +299,17 @@ def search(
     min_params: float | None = None,
     max_params: float | None = None,
     kind: str | None = None,
+    chips: DataFrame | None = None,
+    offline: bool | None = None,
+    dups: bool | None = None,
+    have_bytes: bool | None = None,
+    source: str | None = None,
 ) -> DataFrame:
     """Families that hold every word of `query` and pass the given filters.
 
-    The words of the query are cut by the same rule as the words of the families.
+    The words of the query are cut by the same rule as the words of the families. `offline`, `dups`,
+    `have_bytes` and `source` (a kind of root) ask the `family_chips`; a family without files has none of
+    them and passes where the wanted value is false.
     """
     found = families
     cut_words = F.array_distinct(F.filter(F.split(names.slug(F.lit(query)), "-"), lambda w: w != ""))
@@ -324,6 +331,13 @@ def search(
     if quant is not None:
         having = variants.where(F.col("quant") == quant).select("family_key").distinct()
         found = found.join(having, "family_key", "left_semi")
+    for chip, wanted in (("offline", offline), ("dups", dups), ("have_bytes", have_bytes)):
+        if wanted is not None:
+            marked = chips.where(F.col(chip)).select("family_key")
+            found = found.join(marked, "family_key", "left_semi" if wanted else "left_anti")
+    if source is not None:
+        there = chips.where(F.array_contains(F.split("sources", ","), source)).select("family_key")
+        found = found.join(there, "family_key", "left_semi")
     return found
 
 

@@ -308,6 +308,20 @@ CTES["tree_bytes"] = f"""SELECT *, concat('47475546', {_le32('3')}, {_le64('1')}
 FROM tree"""
 
 
+_CHIPS = """SELECT r.family_key, bool_or(NOT s.present) AS offline,
+      bool_or(coalesce(c.n > 1, false)) AS dups, bool_and(f.sha256 IS NOT NULL) AS have_bytes,
+      array_to_string(list_sort(list(DISTINCT s.kind)), ',') AS sources
+      FROM roles r JOIN v_files f ON f.rel_path = r.rel_path JOIN v_roots s ON s.root_id = f.root_id
+      LEFT JOIN (SELECT sha256, count(*) AS n FROM v_files WHERE hash_state = 'full' AND state = 'present'
+        GROUP BY ALL) c ON c.sha256 = f.sha256
+      WHERE r.family_key IS NOT NULL GROUP BY r.family_key"""
+
+
+CTES["all_of"] = f"""SELECT f.family_key, coalesce(offline, false) AS offline, coalesce(dups, false) AS dups,
+      coalesce(have_bytes, false) AS have_bytes, coalesce(sources, '') AS sources
+      FROM families f LEFT JOIN ({_CHIPS}) c ON c.family_key = f.family_key"""
+
+
 def _sql(statement: str) -> str:
     """`statement` with the sub-queries it names, each after the ones it needs."""
     order: list[str] = []
@@ -329,6 +343,19 @@ def _differing(a: str, b: str) -> str:
     return ", ".join(f"CASE WHEN {a}.{n} IS DISTINCT FROM {b}.{n} THEN '{n}' END" for n in names)
 
 
+_SUGGESTIONS = f"""SELECT a.family_key AS a_key, b.family_key AS b_key,
+      CASE WHEN abs(a.params_total - b.params_total)
+        <= 0.15 * greatest(a.params_total, b.params_total) THEN 'params' ELSE 'name' END AS reason,
+      len(list_filter(a.t, lambda x: list_contains(b.t, x))) AS shared_tokens,
+      CAST(len(list_filter(a.t, lambda x: list_contains(b.t, x))) AS DOUBLE)
+        / (len(a.t) + len(list_filter(b.t, lambda x: NOT list_contains(a.t, x)))) AS score
+      FROM (SELECT *, {_tokens('family_key')} AS t FROM families) a
+      JOIN (SELECT *, {_tokens('family_key')} AS t FROM families) b
+        ON (a.first_root_id, a.first_rel_path, a.family_key) < (b.first_root_id, b.first_rel_path, b.family_key)
+        AND a.arch IS NOT DISTINCT FROM b.arch AND list_has_any(a.t, b.t)
+      WHERE (least(a.family_key, b.family_key), greatest(a.family_key, b.family_key)) NOT IN
+        (SELECT (low, high) FROM pairs)"""
+
 _STATEMENTS = {
     "dup_plan": """SELECT *, allocations - 1 AS reclaimable_files,
       (allocations - 1) * size AS reclaimable_bytes FROM groups""",
@@ -500,13 +527,10 @@ _STATEMENTS = {
       WHERE list_contains(string_split({_slug("concat_ws(' ', f.name, f.arch)")}, '-'), 'red')
         AND kind IS NOT NULL AND arch IS NOT NULL AND params_total BETWEEN 5 AND 40
         AND EXISTS (SELECT 1 FROM variants v WHERE v.family_key = f.family_key AND v.quant = 'Q4_K_M')""",
-    "family_chips": """SELECT r.family_key, bool_or(NOT s.present) AS offline,
-      bool_or(coalesce(c.n > 1, false)) AS dups, bool_and(f.sha256 IS NOT NULL) AS have_bytes,
-      array_to_string(list_sort(list(DISTINCT s.kind)), ',') AS sources
-      FROM roles r JOIN v_files f ON f.rel_path = r.rel_path JOIN v_roots s ON s.root_id = f.root_id
-      LEFT JOIN (SELECT sha256, count(*) AS n FROM v_files WHERE hash_state = 'full' AND state = 'present'
-        GROUP BY ALL) c ON c.sha256 = f.sha256
-      WHERE r.family_key IS NOT NULL GROUP BY r.family_key""",
+    "family_chips": _CHIPS,
+    "filtered_search": """SELECT 'a' AS filter, family_key FROM all_of WHERE NOT offline AND list_contains(string_split(sources, ','), 'nas')
+      UNION ALL SELECT 'b', family_key FROM all_of WHERE dups AND have_bytes
+      UNION ALL SELECT 'c', family_key FROM all_of WHERE offline AND NOT dups""",
     "shard_sets": """SELECT CAST(o_orderkey % 5 AS BIGINT) AS root_id, concat('c', o_custkey) AS dir,
       concat('model-', o_orderstatus) AS base, CAST(3 AS BIGINT) AS parts_announced,
       count(DISTINCT o_orderkey % 3) AS parts_found, count(*) AS files,
@@ -571,18 +595,46 @@ _STATEMENTS = {
        SELECT least(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)),
          greatest(CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)), true, o_orderkey,
          CASE WHEN o_orderkey % 50 = 0 THEN '1' ELSE '0' END FROM orders) GROUP BY a, b, rule""",
-    "merge_suggestions": f"""SELECT a.family_key AS a_key, b.family_key AS b_key,
-      CASE WHEN abs(a.params_total - b.params_total)
-        <= 0.15 * greatest(a.params_total, b.params_total) THEN 'params' ELSE 'name' END AS reason,
-      len(list_filter(a.t, lambda x: list_contains(b.t, x))) AS shared_tokens,
-      CAST(len(list_filter(a.t, lambda x: list_contains(b.t, x))) AS DOUBLE)
-        / (len(a.t) + len(list_filter(b.t, lambda x: NOT list_contains(a.t, x)))) AS score
-      FROM (SELECT *, {_tokens('family_key')} AS t FROM families) a
-      JOIN (SELECT *, {_tokens('family_key')} AS t FROM families) b
-        ON (a.first_root_id, a.first_rel_path, a.family_key) < (b.first_root_id, b.first_rel_path, b.family_key)
-        AND a.arch IS NOT DISTINCT FROM b.arch AND list_has_any(a.t, b.t)
-      WHERE (least(a.family_key, b.family_key), greatest(a.family_key, b.family_key)) NOT IN
-        (SELECT (low, high) FROM pairs)""",
+    "merge_suggestions": _SUGGESTIONS,
+    "asked_suggestions": f"""SELECT * FROM ({_SUGGESTIONS}) WHERE length(a_key) % 4 = 0 OR length(b_key) % 4 = 0""",
+    "close_suggestions": f"""SELECT * FROM ({_SUGGESTIONS}) WHERE score >= 0.6""",
+    "followed_suggestions": _SUGGESTIONS,
+    "merged_families": """SELECT coalesce(i.family_key, f.family_key) AS family_key, name, arch, params_total FROM families f
+      LEFT JOIN (SELECT concat('into|', arch) AS family_key, family_key AS alias FROM families
+          WHERE length(family_key) % 5 = 0 AND arch IS NOT NULL
+        UNION ALL SELECT CASE WHEN length(a.family_key) % 5 = 0 THEN concat('into|', t.arch) ELSE a.family_key END, alias
+          FROM aliases a JOIN families t ON t.family_key = a.family_key WHERE length(alias) % 5 <> 0) i ON i.alias = f.family_key
+      QUALIFY row_number() OVER (PARTITION BY coalesce(i.family_key, f.family_key)
+        ORDER BY i.alias IS NOT NULL, f.family_key) = 1""",
+    "import_decisions": """WITH RECURSIVE own AS (SELECT concat('f', c_custkey) AS alias, concat('f', c_custkey // 2) AS family_key
+        FROM customer WHERE c_custkey % 3 = 0 AND c_custkey <> c_custkey // 2),
+      theirs AS (SELECT concat('f', k) AS alias, concat('f', up) AS family_key FROM
+        (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 20 THEN c_custkey + 1 WHEN c_custkey % 50 = 21 THEN c_custkey - 1
+           WHEN c_custkey % 15 = 0 THEN c_custkey + 3 WHEN c_custkey % 3 = 1 THEN c_custkey // 2 END AS up FROM customer) WHERE up IS NOT NULL),
+      said AS (SELECT true AS mine, c_custkey AS k, c_custkey + 1 AS n, 10 AS made FROM customer WHERE c_custkey % 11 = 0
+        UNION ALL SELECT true, c_custkey, c_custkey // 2, 20 FROM customer WHERE c_custkey % 17 = 0
+        UNION ALL SELECT false, c_custkey, c_custkey // 2, 5 FROM customer WHERE c_custkey % 13 = 0
+        UNION ALL SELECT false, c_custkey, c_custkey + 1, 3 FROM customer WHERE c_custkey % 11 = 0),
+      no AS (SELECT mine, least(concat('f', k), concat('f', n)) AS a, greatest(concat('f', k), concat('f', n)) AS b, made FROM said),
+      refused AS (SELECT DISTINCT a, b FROM no WHERE mine),
+      offered AS (SELECT t.*, o.family_key AS own_key, r.a IS NOT NULL AS refused FROM theirs t LEFT JOIN own o USING (alias)
+        LEFT JOIN refused r ON r.a = least(t.alias, t.family_key) AND r.b = greatest(t.alias, t.family_key)),
+      fresh AS (SELECT alias, family_key FROM offered WHERE own_key IS NULL AND NOT refused),
+      united AS (SELECT alias, family_key, 'user' AS source FROM own UNION ALL SELECT alias, family_key, 'import' FROM fresh),
+      reach(s, n) AS (SELECT alias, family_key FROM united UNION SELECT s, u.family_key FROM reach JOIN united u ON u.alias = n),
+      circles AS (SELECT s FROM reach WHERE s = n AND s IN (SELECT alias FROM fresh)),
+      merged AS (SELECT * FROM united WHERE alias NOT IN (SELECT s FROM circles)),
+      walk(s, n) AS (SELECT alias, family_key FROM merged UNION SELECT s, m.family_key FROM walk JOIN merged m ON m.alias = n),
+      tops AS (SELECT s, n FROM walk WHERE n NOT IN (SELECT alias FROM merged)),
+      dates AS (SELECT a, b, min(made) AS made FROM no GROUP BY a, b)
+      SELECT 'alias' AS section, alias AS a, family_key AS b, source AS c FROM merged
+      UNION ALL SELECT 'declined', a, b, CAST(made AS VARCHAR) FROM dates
+      UNION ALL SELECT 'conflict', o.alias, o.family_key, 'alias.two_targets' FROM offered o LEFT JOIN tops x ON x.s = o.family_key
+        LEFT JOIN tops y ON y.s = o.own_key WHERE own_key IS NOT NULL AND coalesce(x.n, o.family_key) <> coalesce(y.n, o.own_key)
+      UNION ALL SELECT 'conflict', alias, family_key, 'alias.declined' FROM offered WHERE own_key IS NULL AND refused
+      UNION ALL SELECT 'conflict', alias, family_key, 'alias.circle' FROM fresh WHERE alias IN (SELECT s FROM circles)
+      UNION ALL SELECT 'conflict', a, b, 'merge.declined' FROM dates LEFT JOIN tops x ON x.s = a LEFT JOIN tops y ON y.s = b
+        WHERE coalesce(x.n, a) = coalesce(y.n, b)""",
     "alias_applied": """SELECT was, family_key, count(*) AS variants FROM (
       SELECT v.family_key AS was, coalesce('f' || e.top, v.family_key) AS family_key
       FROM v_local_variants v LEFT JOIN

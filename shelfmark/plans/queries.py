@@ -404,6 +404,21 @@ def catalogue_search(spark, sf):
     ).select("family_key", "name", "params_total")
 
 
+@query
+def filtered_search(spark, sf):
+    """Families on a network root that have copies elsewhere, all digests, and no copy on a root that is away."""
+    c = _Catalogue(spark, sf)
+    chips = cut(reports.family_chips(c.files, c.roles, view(spark, sf, "v_roots")))
+    none = c.families.limit(0).select("family_key", F.lit("").alias("token"))
+    filters = {"a": {"offline": False, "source": "nas"}, "b": {"dups": True, "have_bytes": True}, "c": {"offline": True, "dups": False}}
+    known = cut(c.families)
+    found = [
+        reports.search(known, none, chips=chips, **chosen).select(F.lit(name).alias("filter"), "family_key")
+        for name, chosen in filters.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def family_chips(spark, sf):
     c = _Catalogue(spark, sf)
@@ -613,6 +628,77 @@ def merge_suggestions(spark, sf):
     return merge.merge_suggestions(known, *_decisions(known))
 
 
+@query
+def asked_suggestions(spark, sf):
+    """Pairs of the families whose keys have a length divisible by four."""
+    known = cut(build.build_families(cut(_identified(spark, sf))))
+    asked = known.where(F.length("family_key") % 4 == 0)
+    return merge.merge_suggestions(known, *_decisions(known), asked=asked)
+
+
+@query
+def close_suggestions(spark, sf):
+    known = cut(build.build_families(cut(_identified(spark, sf))))
+    return merge.merge_suggestions(known, *_decisions(known), least_score=0.6)
+
+
+@query
+def followed_suggestions(spark, sf):
+    """Stored pairs of an earlier state (families missing, others of another size, some since gone), followed to now."""
+    now = cut(build.build_families(cut(_identified(spark, sf))))
+    size = F.length("family_key")
+    gone = now.where(size % 9 == 1).withColumn("family_key", F.concat(F.lit("old-"), "family_key"))
+    before = cut(
+        now.where(size % 7 != 3)
+        .withColumn("params_total", F.when(size % 5 == 0, F.col("params_total") * 3).otherwise(F.col("params_total")))
+        .unionByName(gone)
+    )
+    pairs = cut(merge.likely_pairs(before))
+    return merge.undecided(merge.follow_pairs(pairs, before, now), *_decisions(now))
+
+
+@query
+def merged_families(spark, sf):
+    """Families of some key lengths are merged into one of their architecture, which has no row of its own."""
+    known = cut(build.build_families(cut(_identified(spark, sf))))
+    aliases = known.where((F.length("family_key") % 5 == 0) & F.col("arch").isNotNull()).select(
+        F.concat(F.lit("into|"), "arch").alias("family_key"), F.col("family_key").alias("alias"), F.lit("user").alias("source")
+    )
+    into_own = _decisions(known)[1].where(F.length("alias") % 5 != 0)
+    resolved = merge.resolve_aliases(cut(aliases.unionByName(into_own)))
+    return merge.merged_families(known, resolved).select("family_key", "name", "arch", "params_total")
+
+
+@query
+def import_decisions(spark, sf):
+    """Customers as families: links of two catalogues, with circles, second targets and declined pairs."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(k)
+    name = lambda n: F.concat(F.lit("f"), n.cast("string"))
+    half = F.floor(k / 2)
+    links = lambda df, into, source: df.select(
+        name(into).alias("family_key"), name(k).alias("alias"), F.lit(source).alias("source")
+    )
+    own = links(rows.where(k % 3 == 0), half, "user")
+    target = (
+        F.when(k % 50 == 20, k + 1).when(k % 50 == 21, k - 1).when((k % 3 == 0) & (k % 5 == 0), k + 3).when(k % 3 == 1, half)
+    )
+    other = links(rows.where(target.isNotNull()), target, "import")
+    pair = lambda df, n, at: df.select(
+        F.least(name(k), name(n)).alias("family_a_key"), F.greatest(name(k), name(n)).alias("family_b_key"),
+        F.lit("1").alias("algo_version"), F.lit(at).cast("long").alias("declined_at"),
+    )
+    mine = pair(rows.where(k % 11 == 0), k + 1, 10).unionByName(pair(rows.where(k % 17 == 0), half, 20))
+    theirs = pair(rows.where(k % 13 == 0), half, 5).unionByName(pair(rows.where(k % 11 == 0), k + 1, 3))
+    aliases, declined, conflicts = merge.import_decisions(own, mine, other, theirs, "1")
+    return (
+        aliases.select(F.lit("alias").alias("section"), F.col("alias").alias("a"), F.col("family_key").alias("b"), F.col("source").alias("c"))
+        .unionByName(declined.select(F.lit("declined").alias("section"), F.col("family_a_key").alias("a"), F.col("family_b_key").alias("b"),
+                                     F.col("declined_at").cast("string").alias("c")))
+        .unionByName(conflicts.select(F.lit("conflict").alias("section"), F.col("key").alias("a"), F.col("other").alias("b"), F.col("problem").alias("c")))
+    )
+
+
 def _alias_chain(spark, sf) -> DataFrame:
     """Customer n merged into n/2, rounded down, every seventh into itself: chains of many lengths."""
     key = F.col("c_custkey")
