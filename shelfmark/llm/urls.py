@@ -2,8 +2,12 @@
 
 Each url is a basket of tokens: parts of the host, of the path (numbers as one token), keys of the
 query. Urls that a given rule judges are the labels. FP-growth over (tokens, label) gives association
-rules; those that conclude a label, pruned by support and confidence, judge the other urls. A mined
-rule is filed under its rarest token (inverted index) and fits a basket that has all its tokens.
+rules; those that conclude a label, pruned by support and confidence, judge the other urls.
+
+Tokens that stand in exactly the same labelled urls are one class, and classes are what is mined: k such
+tokens would be 2^k frequent sets, all of the same support and confidence. A rule of classes stands for the
+rules of all choices of tokens from each; the longest that fits a basket has all its tokens of these classes.
+A mined rule is filed under its rarest class (inverted index) and fits a basket that has all its classes.
 """
 
 from __future__ import annotations
@@ -63,10 +67,35 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (id, items, rarest, verdict, confidence, support) from `baskets` (tokens, verdict)."""
-    labelled = baskets.select(
-        F.concat("tokens", F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items")
+def token_classes(baskets: DataFrame, support: float) -> DataFrame:
+    """(token, cls) of the tokens that are frequent in `baskets` (tokens, verdict): those in exactly the same
+    baskets have the same class, the first of its tokens. Sets of baskets are compared by 128 bits."""
+    whole = F.xxhash64("tokens", "verdict"), F.xxhash64(F.lit(1), "tokens", "verdict")
+    # equal baskets hold the same tokens, so each counts once in the sets
+    distinct = baskets.groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("n")).withColumns({"x": whole[0], "y": whole[1]})
+    seen = distinct.select(F.explode("tokens").alias("token"), "n", "x", "y").groupBy("token").agg(
+        F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    )
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    often = seen.where(F.col("n") >= rows * support - 1e-6)
+    firsts = often.groupBy("n", "x", "y").agg(F.min("token").alias("cls"))
+    return stored(often.join(firsts, ["n", "x", "y"]).select("token", "cls"))
+
+
+def _in_classes(baskets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct `tokens` of the baskets that have a class, with `pairs`, their tokens and classes."""
+    return (
+        baskets.select("tokens", F.explode("tokens").alias("token")).join(classes, "token")
+        .groupBy("tokens").agg(F.collect_set(F.struct("token", "cls")).alias("pairs"))
+    )
+
+
+def mine(baskets: DataFrame, classes: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules (id, items, rarest, verdict, confidence, support) over the classes, from `baskets` (tokens, verdict)."""
+    found = _in_classes(baskets.select("tokens").distinct(), classes)
+    own = F.coalesce(F.array_distinct(F.col("pairs.cls")), F.array().cast("array<string>"))
+    labelled = baskets.join(found, "tokens", "left").select(
+        F.concat(own, F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items")
     )
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
@@ -108,11 +137,16 @@ def judge(
     if labelled.isEmpty():
         best = parsed.limit(0).select("tokens", F.lit("").alias("found"), F.array(F.lit("")).alias("items"))
     else:
-        index = mine(labelled, support, confidence)
+        classes = token_classes(labelled, support)
+        index = mine(labelled, classes, support, confidence)
+        mine_of = F.array_distinct(F.col("pairs.cls"))
+        chosen = F.transform(F.filter("pairs", lambda p: F.array_contains("classes", p["cls"])), lambda p: p["token"])
         fitting = (
-            open_.select("tokens", F.explode("tokens").alias("rarest"))
-            .join(index, "rarest")
-            .where(F.size(F.array_except("items", "tokens")) == 0)
+            _in_classes(open_, classes)
+            .withColumn("rarest", F.explode(mine_of))
+            .join(index.withColumnRenamed("items", "classes"), "rarest")
+            .where(F.size(F.array_except("classes", mine_of)) == 0)
+            .withColumn("items", F.array_sort(chosen))
         )
         order = F.struct("confidence", F.size("items"), "support", F.concat_ws(" ", "items"))
         best = stored(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -79,3 +80,30 @@ def test_rows_equal_brute_force(spark):
 def test_without_labels_and_empty(spark):
     assert judged(spark, []) == []
     assert judged(spark, [(1, "http://a.net/x"), (2, None)]) == [(1, "a.net", "/x", None, "allow"), (2, "", "", None, "allow")]
+
+
+def test_tokens_that_go_together(spark):
+    """Forty words that always stand together, and open urls that have some of them."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    shared = "/".join(words)
+    rows = [(i, f"http://a{'bc'[i % 2]}.example.org/es/{shared if i % 2 else 'x/y'}/") for i in range(200)]
+    rows += [(500, "http://h.net/" + "/".join(words[3:9])), (501, "http://h.net/x"), (502, "http://h.net/x/y/" + words[7]), (503, "http://h.net/q")]
+    start = time.time()
+    df = table(spark, [(i, u, "x", "y", "z") for i, u in rows], SCHEMA)
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(df).where("page_id >= 500").collect()}
+    assert time.time() - start < 60
+    assert got == {
+        500: ("block", " ".join(f"p:{w}" for w in words[3:9])), 501: ("block", "p:x"),
+        502: ("block", " ".join(["p:x", "p:y"])), 503: ("allow", None),
+    }
+
+
+def test_some_tokens_that_go_together_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        top = rng.choice(["org", "com", "net"])
+        path = rng.choice(["/de/a/b/c", "/fr/a/b/c/d", "/es/e/f", "/en/1/e/f/g", "/de/a", "/fr/k/e"])
+        rows.append((i, f"http://h{rng.randrange(3)}x.{top}{path}{rng.choice(['', '/b/c', '?a=1&b=2'])}"))
+    got = judged(spark, rows, support=0.02, confidence=0.6)
+    assert sorted(got) == sorted(slow(rows, 0.02, 0.6))
