@@ -6,6 +6,7 @@ their distinct values before they are compared, so the size of one group does no
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators.wanted import ACTIVE_TASK_STATES
+from shelfmark.session import written
 
 # Columns that identify a row, by table.
 UNIQUE = {
@@ -77,6 +79,11 @@ def orphans(child: DataFrame, name: str, key: list[str], parent: DataFrame, pare
     return _violation(lost, f"{name}.{'_'.join(key[:2])}_orphan", key, F.col("n"))
 
 
+def bad_values(table: DataFrame, column: str, allowed: Sequence[str], rule: str) -> DataFrame:
+    bad = table.where(~F.col(column).isin(*allowed)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return _violation(bad, rule, [column], F.col("n"))
+
+
 def _clean_path() -> Column:
     bare = F.rtrim(F.col("path"), F.lit("/"))
     return F.when(bare == "", "/").otherwise(bare).alias("path")
@@ -133,10 +140,13 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
             found.append(orphans(tables[name], name, key, tables[parent], parent_key))
     for name, column, allowed, rule in ENUMS:
         if name in tables:
-            bad = tables[name].where(~F.col(column).isin(*allowed)).groupBy(column).agg(
-                F.count(F.lit(1)).alias("n")
-            )
-            found.append(_violation(bad, rule, [column], F.col("n")))
+            found.append(bad_values(tables[name], column, allowed, rule))
+    return reduce(DataFrame.unionByName, found + other_rules(tables))
+
+
+def other_rules(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """Violations of the rules that are neither keys, references nor allowed values; their tables are small."""
+    found: list[DataFrame] = []
     if "roots" in tables:
         found += root_rules(tables["roots"])
     if "declined_merges" in tables:
@@ -163,4 +173,63 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
             found.append(
                 _violation(blind, "wanted.no_sha256", ["remote_key"], F.col("dest_rel_path"))
             )
-    return reduce(DataFrame.unionByName, found)
+    return found
+
+
+# ---- after changes --------------------------------------------------------------------------
+
+
+def row_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct rows that one side has more often than the other."""
+    names = [f.name for f in after.schema.fields if f.dataType.typeName() != "void"]
+    both = before.select(*names, F.lit(-1).alias("_side")).unionByName(after.select(*names, F.lit(1).alias("_side")))
+    return both.groupBy(*names).agg(F.sum("_side").alias("_side")).where("_side <> 0").drop("_side")
+
+
+def audit_changes(
+    before: dict[str, DataFrame], after: dict[str, DataFrame], violations: DataFrame
+) -> DataFrame:
+    """The `audit` of the tables `after`, from the `violations` of those `before`.
+
+    A rule about keys, references or values is checked again only for the subjects that stand in rows which
+    differ (for references, on either side); all other violations are carried over. So a key with very
+    many rows is counted again only when one of them changed. `before` and `after` may leave out rows that are the
+    same in both if they leave out all rows of a subject: see `CatalogueStore.changes`.
+    """
+    changed = {n: written(row_changes(before[n], t) if n in before else t) for n, t in after.items()}
+    found: list[DataFrame] = []
+
+    def again(rule: str, touched: DataFrame, check: Callable[[Callable], DataFrame]) -> None:
+        """`touched` has the subjects to check; `check` gets a function that keeps a table's rows of these."""
+        subjects = written(touched.select("subject").distinct())
+
+        def only(table: DataFrame, key: list[str]) -> DataFrame:
+            marked = table.select("*", _subject(key).alias("_subject"))
+            return marked.join(subjects.withColumnRenamed("subject", "_subject"), "_subject", "left_semi").drop("_subject")
+
+        kept = violations.where(F.col("rule") == rule).join(subjects, "subject", "left_anti")
+        found.extend([check(only), kept.select("rule", "subject", "detail")])
+
+    for name, key in UNIQUE.items():
+        if name in after:
+            roots = name == "roots"
+            rule = "root.duplicate" if roots else f"{name}.not_unique"
+            shown = (lambda t: t.select(_clean_path())) if roots else (lambda t: t)
+            again(
+                rule, shown(changed[name]).select(_subject(key)),
+                lambda only, n=name, k=key, r=rule, f=shown: duplicate_keys(only(f(after[n]), k), n, k, r),
+            )
+    for name, key, parent, parent_key in REFERENCES:
+        if name in after and parent in after:
+            again(
+                f"{name}.{'_'.join(key[:2])}_orphan",
+                changed[name].select(_subject(key)).union(changed[parent].select(_subject(parent_key))),
+                lambda only, n=name, k=key, p=parent, pk=parent_key: orphans(only(after[n], k), n, k, only(after[p], pk), pk),
+            )
+    for name, column, allowed, rule in ENUMS:
+        if name in after:
+            again(
+                rule, changed[name].where(~F.col(column).isin(*allowed)).select(_subject([column])),
+                lambda only, n=name, c=column, a=allowed, r=rule: bad_values(only(after[n], [c]), c, a, r),
+            )
+    return reduce(DataFrame.unionByName, found + other_rules(after))

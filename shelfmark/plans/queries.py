@@ -823,8 +823,8 @@ def fetch_eligibility(spark, sf):
 # ---- audit ----------------------------------------------------------------------------------
 
 
-@query
-def integrity_audit(spark, sf):
+def _audited(spark, sf) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables with violations of many rules; file roles apart, since they have no variants here."""
     nations, parts = table(spark, sf, "nation"), table(spark, sf, "part")
     number = F.col("n_nationkey").cast("long")
     name = F.concat(F.lit("/mnt/n"), number.cast("string"))
@@ -878,6 +878,33 @@ def integrity_audit(spark, sf):
             (F.length("remote_key") % 20).cast("long").alias("dest_root_id"),
         ),
     }
+    return audited, roles
+
+
+@query
+def audit_followed(spark, sf):
+    """The audit now, from that of an earlier state: files of other roots and digests, fewer families and blobs, other levels."""
+    now, _ = _audited(spark, sf)
+    number = F.substring("rel_path", 2, 20).cast("long")
+    before = now | {
+        "files": now["files"].where(number % 10 != 3).withColumns(
+            {"root_id": F.when(number % 8 == 1, F.lit(77).cast("long")).otherwise(F.col("root_id")),
+             "sha256": F.when(number % 6 == 1, F.lit("gone")).otherwise(F.col("sha256"))}
+        ),
+        "roots": now["roots"].where(F.col("root_id") % 4 != 1),
+        "blobs": now["blobs"].where(F.col("sha256") > "8"),
+        "families": now["families"].where(F.col("kind") == "llm"),
+        "evidence": now["evidence"].withColumn("level", F.when(F.col("level") == "known", "hunch").otherwise(F.col("level"))),
+        "declined_merges": now["declined_merges"].unionByName(now["declined_merges"]),
+    }
+    violations = cut(audit.audit(before))
+    return audit.audit_changes(before, now, violations)
+
+
+@query
+def integrity_audit(spark, sf):
+    audited, roles = _audited(spark, sf)
+    files, families_ = audited["files"], audited["families"]
     lost_files = audit.orphans(
         roles, "file_roles", ["root_id", "rel_path"], files, ["root_id", "rel_path"]
     )
