@@ -350,46 +350,36 @@ def _copy_links(similarity: float):
     return run
 
 
-def _links_of_keys(texts: DataFrame, one: DataFrame, keyed: DataFrame, similarity: float, part: int) -> DataFrame:
-    """Edges between the sets that share a key of `keyed` (fp, n, component, key).
+def _links_of_keys(met: DataFrame, sets: DataFrame, similarity: float, part: int, every: bool) -> DataFrame:
+    """Edges between the sets (fp, shingles) that share a key of `met` (fp, n, component, key).
 
     A key all of whose sets are of one component already tells nothing; of keys with the same sets one is
-    enough. The sets of what is left are made again from `texts`, each once, and travel to their keys.
+    enough. A key with more sets than a part holds is cut into parts: with `every`, each pair of parts meets;
+    else each part by itself, with the key's first set in all of them, which connects most of a group of
+    copies at a cost that grows with its size only.
     """
-    spark = texts.sparkSession
-    groups = keyed.groupBy("key").agg(
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = met.groupBy("key").agg(
         F.count("*").alias("c"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
+        F.min("fp").alias("first"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
     )
     parts = F.greatest(F.ceil(F.col("c") / part), F.ceil(8 * F.col("size") / COPY_BYTES))
     shared = stored(
         groups.where("c > 1 and low <> high").withColumn("parts", parts)
-        .groupBy("c", "x", "y").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.*")
+        .groupBy("c", "x", "y").agg(F.min(F.struct("key", "parts", "first")).alias("k")).select("k.*")
     )
-    # a set has `COPY_BANDS` keys at most
-    asked = stored(
-        keyed.join(shared, "key").groupBy("fp").agg(F.collect_list(F.struct("key", "parts")).alias("keys"))
-        .join(one, "fp")
-    )
-    rows = texts.select("text", "doc_id", F.col("text_hash").alias("h")).join(
-        asked.select("fp", "keys", F.col("doc_id").alias("id"), "text_hash", "repeated"),
-        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash")),
-    )
-    once = rows.where("not repeated").select("fp", "keys", "text")
-    found = once.unionByName(rows.where("repeated").select("fp", "keys", "text").dropDuplicates(["fp"]))
-    sets = mapped(
-        found, found["text"].cast("binary"), ["fp", "keys"], [("shingles", "array<long>")],
-        lambda: lambda some: [pa.array([shingle_set(t).view(np.int64) for t in some], pa.list_(pa.int64()))],
-    )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        sets.select("fp", "shingles", F.inline("keys"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "shingles")
-    )
+    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    all_parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    dealt = met.select("fp", "key").join(shared, "key").withColumn("own", own)
+    if every:
+        dealt = dealt.withColumn("other", F.explode(all_parts))
+    else:
+        places = F.when(F.col("fp") == F.col("first"), all_parts).otherwise(F.array("own"))
+        dealt = dealt.withColumn("own", F.explode(places)).withColumn("other", F.col("own"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     return (
-        dealt.repartition(tasks, "key", "low", "high")
+        dealt.join(sets, "fp").select("key", "low", "high", "fp", "shingles")
+        .repartition(tasks, "key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
         .mapInArrow(tidy(_copy_links(similarity)), "a long, b long")
     )
@@ -399,7 +389,8 @@ def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARI
     """Edges (a, b) between the sets `fp` of `marked` (doc_id, text_hash, fp, n, bands), which connect exactly
     what chains of similar sets that share a key connect. `texts` has (doc_id, text_hash, text).
 
-    First by `COPY_FIRST` keys, which connect nearly all members of a group of copies, then by the others.
+    The sets that share a key with another are made again from their texts, once. First the parts of
+    `COPY_FIRST` keys meet by themselves; then all keys whose sets these have not connected, whole.
     """
     rows = stored(
         marked.groupBy("fp", "text_hash", "doc_id")
@@ -407,15 +398,27 @@ def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARI
         .groupBy("fp").agg(F.min_by(F.struct("n", "bands", "repeated", "text_hash", "doc_id"), F.struct("text_hash", "doc_id")).alias("r"))
         .select("fp", "r.*")
     )
-    one = rows.select("fp", "text_hash", "doc_id", "repeated")
-    keys = lambda begin, count: F.explode(F.slice("bands", begin, count)).alias("key")
-    first = rows.select("fp", "n", F.col("fp").alias("component"), keys(1, COPY_FIRST))
-    links = stored(_links_of_keys(texts, one, first, similarity, part))
-    found = stored(components(links))
-    rest = rows.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "n", F.coalesce("component", "fp").alias("component"), keys(COPY_FIRST + 1, COPY_BANDS)
-    )
-    return links.unionByName(_links_of_keys(texts, one, rest, similarity, part))
+    keyed = rows.select("fp", "n", F.posexplode("bands").alias("band", "key"))
+    shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"))
+    met = stored(keyed.join(shared, "key"))
+    asked = stored(
+        rows.join(met.select("fp").distinct(), "fp", "left_semi")
+        .select("fp", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "repeated")
+    )
+    found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["id"]) & (texts["text_hash"] == asked["h"])).select("fp", "repeated", "text")
+    if not asked.where("repeated").isEmpty():
+        found = found.where("not repeated").unionByName(found.where("repeated").dropDuplicates(["fp"]))
+    sets = stored(
+        mapped(
+            found, found["text"].cast("binary"), ["fp"], [("shingles", "array<long>")],
+            lambda: lambda some: [pa.array([shingle_set(t).view(np.int64) for t in some], pa.list_(pa.int64()))],
+        )
+    )
+    first = met.where(F.col("band") < COPY_FIRST).withColumn("component", F.col("fp"))
+    links = stored(_links_of_keys(first, sets, similarity, part, every=False))
+    joined = stored(components(links))
+    rest = met.join(joined, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
+    return links.unionByName(_links_of_keys(rest, sets, similarity, part, every=True))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -144,3 +144,39 @@ def test_components_of_paths_and_stars(spark):
     odd = table(spark, [(None, 1), (5000, 5000), (7, None)], "a long, b long")
     found = {r.node: r.component for r in components(path.union(star).union(odd)).collect()}
     assert found == {i: 0 for i in range(n + 1)} | {i: 200 for i in (*range(200, 700), 999)}
+
+
+def test_near_copies_in_small_parts_equal_brute_force(spark):
+    """Chains of near copies, far ones that share keys, repeated rows: parts of two sets, and whole keys."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows, texts = [], []
+    for group in range(6):
+        words = rng.choice(vocabulary, 120).tolist()
+        for _ in range(14):
+            words = list(words)
+            for at in rng.integers(0, 120, rng.integers(0, 4)):
+                words[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (None, texts[5]), (200, None), (201, "")]
+    df = documents(spark, rows)
+    named = df.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    made = [("fp", "long"), ("n", "long"), ("bands", "array<long>")]
+    marked = simhash.stored(simhash.mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, simhash._copy_keys))
+    sets = {r.fp: frozenset(simhash.shingle_set(r.text.encode()).tolist()) for r in marked.join(named, ["doc_id", "text_hash"]).collect() if r.text}
+    keys = {r.fp: set(r.bands) for r in marked.collect()}
+
+    def grouped(pairs):
+        root = {fp: fp for fp in sets}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {fp: find(fp) for fp in sets}
+
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = grouped([(a, b) for a in sets for b in sets if a < b and keys[a] & keys[b] and like(sets[a], sets[b])])
+    for part in (2, 512):
+        got = simhash.copy_links(named, marked, part=part).collect()
+        assert all(like(sets[r.a], sets[r.b]) for r in got)
+        assert grouped([(r.a, r.b) for r in got]) == want
+    assert 6 <= len(set(want.values())) < len(sets)
