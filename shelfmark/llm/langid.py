@@ -238,7 +238,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network:
 
 
 def with_language(docs: DataFrame, network: Network, kept: list[str], text: str = "text") -> DataFrame:
-    """`kept` columns with lang_pred and score of each whole text."""
+    """`kept` columns with lang_pred and score of each whole text; kept columns of these names are replaced. Of
+    languages with equal scores the first in the order of names counts."""
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def make():

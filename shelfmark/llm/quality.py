@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def with_score(docs: DataFrame, machine: Machine, kept: list[str], text: str = "text", into: str = "score") -> DataFrame:
-    """`kept` columns and the score of each whole text; null and empty texts get one as well."""
+    """`kept` columns and the score of each whole text; null and empty texts get one as well. A kept column named
+    as `into` is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
