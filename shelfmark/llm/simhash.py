@@ -435,11 +435,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     made = [("fp", "long"), ("n", "long"), ("bands", "array<long>")]
     marked = stored(mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, _copy_keys))
     groups = _groups(marked, copy_links(named, marked))
+    once = marked.groupBy("doc_id", "fp", "text_hash").agg((F.count("*") > 1).alias("many"))
     kept = stored(
-        marked.select("doc_id", "fp", "text_hash").distinct().join(groups, "fp").where("doc_id <=> component_id")
-        .groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("k"))
-        .select(F.col("k.doc_id").alias("_shelfmark_id"), F.col("k.text_hash").alias("_shelfmark_kept"))
+        once.join(groups, "fp").where("doc_id <=> component_id")
+        .groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "many"), "text_hash").alias("k"))
+        .select(F.col("k.doc_id").alias("_shelfmark_id"), F.col("k.text_hash").alias("_shelfmark_kept"), "k.many")
     )
     rows = docs.withColumn("_shelfmark_hash", F.xxhash64(docs[text]))
     same = rows[doc_id].eqNullSafe(kept["_shelfmark_id"]) & (rows["_shelfmark_hash"] == kept["_shelfmark_kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_shelfmark_hash"]).select(*map(quoted, docs.columns))
+    left = rows.join(kept, same, "left_semi")
+    if not kept.where("many").isEmpty():  # else no row that stays is repeated, and the texts need not move again
+        left = left.dropDuplicates([doc_id, "_shelfmark_hash"])
+    return left.select(*map(quoted, docs.columns))
