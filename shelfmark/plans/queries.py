@@ -266,6 +266,15 @@ def unknown_flag(spark, sf):
 # ---- building the catalogue -----------------------------------------------------------------
 
 
+def _logged(found: DataFrame) -> DataFrame:
+    """Evidence with a sequence number taken from the file that gave it."""
+    return found.select(
+        F.regexp_extract("last_at.rel_path", r"\Ap([0-9]+)/", 1).cast("long").alias("seq"),
+        "subject_type", "subject_key", "field", "value", "level", "source",
+        F.lit(NOW).cast("long").alias("recorded_at"),
+    )
+
+
 class _Catalogue:
     """Tables built from the identified parts. Several tables come from the same rows, so those are
     identified once and written to the checkpoint folder, not computed again for each table."""
@@ -278,12 +287,7 @@ class _Catalogue:
         self.roles = reconcile.drop_roles_of_missing(
             build.assign_roles(self.identified, self.families), self.files
         )
-        # Evidence with a sequence number taken from the file that gave it.
-        self.logged = evidence.evidence_rows(self.identified).select(
-            F.regexp_extract("last_at.rel_path", r"\Ap([0-9]+)/", 1).cast("long").alias("seq"),
-            "subject_type", "subject_key", "field", "value", "level", "source",
-            F.lit(NOW).cast("long").alias("recorded_at"),
-        )
+        self.logged = _logged(evidence.evidence_rows(self.identified))
 
 
 @query
@@ -317,9 +321,8 @@ def evidence_rows(spark, sf):
 @query
 def evidence_append(spark, sf):
     """A second scan whose log already holds two thirds of the facts."""
-    c = _Catalogue(spark, sf)
-    logged = c.logged.where(F.col("seq") % 3 != 0)
-    found = evidence.evidence_rows(c.identified)
+    found = cut(evidence.evidence_rows(cut(_identified(spark, sf))))
+    logged = _logged(found).where(F.col("seq") % 3 != 0)
     return evidence.append_evidence(found, logged, scan_seq=1, recorded_at=NOW).drop("seq")
 
 
