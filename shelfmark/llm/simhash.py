@@ -40,6 +40,8 @@ COPY_BANDS = 16
 COPY_ROWS = 4
 #: Of these keys, the first ones that are tried; the others meet only what these have not connected.
 COPY_FIRST = 4
+#: In place of a band's number: the key is a group of near fingerprints.
+GROUP = -1
 #: Sets, and bytes of sets, of a key that one task compares at once.
 COPY_PART = 512
 COPY_BYTES = 4 << 20
@@ -81,7 +83,11 @@ def fingerprints(texts: Iterable[bytes | None], width: int = WIDTH) -> np.ndarra
         own = shingle_hashes(text or b"", width)
         hashes += own
         counts.append(len(own))
-    n = np.array(counts, dtype=np.int64)
+    return majorities(np.array(hashes, dtype="<u8"), np.array(counts, dtype=np.int64))
+
+
+def majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of n[0], n[1], ... hashes; of none: 0."""
     out = np.zeros(len(n), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
@@ -93,7 +99,7 @@ def fingerprints(texts: Iterable[bytes | None], width: int = WIDTH) -> np.ndarra
     owner = np.repeat(np.arange(len(full)), pieces)
     first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
     at = begins[owner] + 255 * (np.arange(len(owner)) - first[owner])
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    octets = hashes.view(np.uint8).reshape(-1, 8)
     for k in range(8):
         summed = np.add.reduceat(_lanes()[octets[:, k]], at)
         ones = np.add.reduceat(summed.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
@@ -155,31 +161,35 @@ def golay_keys(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, valid
 
 
-def fingerprint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the fingerprints (int64), with the position of the fingerprint each belongs to."""
-    words = fps.view(np.uint64)
-    parts = [((words >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
+def _exact_parts(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+    """The 18 combinations of the proof: the bits that must be equal, and the segment that gives the Golay keys."""
     halves = [(p & 2047, p >> 11) for p in parts]
-    golay = [golay_keys(p, b) for p, (_, b) in zip(parts, SEGMENTS)]
-    rows, keys, kind = [], [], 0
-
-    def add(exact: np.ndarray, third: int) -> None:
-        nonlocal kind
-        values, valid = golay[third]
-        row, column = np.nonzero(valid)
-        rows.append(row)
-        keys.append((np.int64(kind) << 40) | (exact[row] << 12) | values[row, column])
-        kind += 1
-
     for same in range(3):
         for other in range(3):
             if same != other:
-                add(parts[same], other)
+                yield parts[same], other
     for third in range(3):
         i, j = (k for k in range(3) if k != third)
         for one in halves[i]:
             for two in halves[j]:
-                add(one << 11 | two, third)
+                yield one << 11 | two, third
+
+
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
+    words = fps.view(np.uint64)
+    return [((words >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
+
+
+def fingerprint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the fingerprints (int64), with the position of the fingerprint each belongs to."""
+    parts = _segments(fps)
+    golay = [golay_keys(p, b) for p, (_, b) in zip(parts, SEGMENTS)]
+    rows, keys = [], []
+    for kind, (exact, third) in enumerate(_exact_parts(parts)):
+        values, valid = golay[third]
+        row, column = np.nonzero(valid)
+        rows.append(row)
+        keys.append((np.int64(kind) << 40) | (exact[row] << 12) | values[row, column])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -191,24 +201,41 @@ def _keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at + rows])], names=["key", "fp"])
 
 
+def _exact_keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = batch.column(0).to_numpy()
+        keys = [(np.int64(kind) << 28) | exact for kind, (exact, _) in enumerate(_exact_parts(_segments(fps)))]
+        for own in keys:
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(fps)], names=["key", "fp"])
+
+
 # ---- links ----------------------------------------------------------------------------------
 
 
-def _links(bits: int):
+def _links(bits: int, exact: bool = False):
+    """Of the fingerprints of each key, edges that connect what chains of links connect. With `exact`, keys
+    are those of `_exact_keys_of`, and only fingerprints that share a Golay key too are compared."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, starts in sorted_chunks(batches, ["key", "low", "high"], 200_000):
+        for chunk, starts in sorted_chunks(batches, ["key", "low", "high"], 50_000 if exact else 200_000):
             fps = chunk.column("fp").to_numpy().view(np.uint64)  # bitwise_count takes magnitudes
             ends = np.append(starts[1:], len(fps))
+            at = np.arange(len(fps))
+            if exact:
+                group = np.repeat(np.arange(len(starts)), ends - starts)
+                at, code = _golay_codes(fps, group, chunk.column("key").to_numpy() >> 28)
+                ends = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+                starts = np.append(0, ends[:-1])
             end = np.repeat(ends, ends - starts)
-            rows = np.arange(len(fps))
+            rows = np.arange(len(at))
             left, right, step = [], [], 0
             while len(rows):
                 step += 1
                 rows = rows[rows + step < end[rows]]
-                differ = np.bitwise_count(fps[rows] ^ fps[rows + step])
+                differ = np.bitwise_count(fps[at[rows]] ^ fps[at[rows + step]])
                 linked = rows[differ <= bits]
-                left.append(linked)
-                right.append(linked + step)
+                left.append(at[linked])
+                right.append(at[linked + step])
             label = smallest_labels(len(fps), np.concatenate(left), np.concatenate(right))
             moved = np.flatnonzero(label != np.arange(len(fps)))
             if len(moved):
@@ -219,11 +246,29 @@ def _links(bits: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
+def _golay_codes(fps: np.ndarray, group: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint's place once for every Golay key, and the number of its group with that key, in that order."""
+    thirds = np.array([third for _, third in _exact_parts(_segments(fps[:0]))])[kind]
+    places, codes = [], []
+    for third, (segment, (_, bits)) in enumerate(zip(_segments(fps), SEGMENTS)):
+        own = np.flatnonzero(thirds == third)
+        values, valid = golay_keys(segment[own], bits)
+        row, column = np.nonzero(valid)
+        places.append(own[row])
+        codes.append(group[own[row]] << 12 | values[row, column])
+    place, code = np.concatenate(places), np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    return place[order], code[order]
+
+
+def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART, exact: bool = False) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints `fp` that chains of links of at most
-    `bits` <= 4 differing bits connect: each task gives a forest, not all pairs."""
+    `bits` <= 4 differing bits connect: each task gives a forest, not all pairs.
+
+    With `exact`, rows travel by the equal bits of a key alone, 18 times for up to 88, and meet by Golay keys
+    in the task: a fifth of the shuffle."""
     spark = distinct.sparkSession
-    keyed = distinct.select("fp").mapInArrow(tidy(_keys_of), "key long, fp long")
+    keyed = distinct.select("fp").mapInArrow(tidy(_exact_keys_of if exact else _keys_of), "key long, fp long")
     hot = stored(
         keyed.groupBy("key").count().where(F.col("count") > part)
         .select("key", F.ceil(F.col("count") / part).alias("parts"))
@@ -239,7 +284,7 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, part: int = PART) -
     return (
         dealt.repartition(tasks, "key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(tidy(_links(bits)), "a long, b long")
+        .mapInArrow(tidy(_links(bits, exact)), "a long, b long")
     )
 
 
@@ -293,13 +338,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
-def _copy_keys():
+def _copy_keys(prints: bool = False):
+    """Of each text: a hash of its shingle set, the set's size, its band keys, and if asked its fingerprint."""
+
     def run(texts):
         sets = [shingle_set(t) for t in texts]
         own = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
         keys = [band_keys(s).tolist() if len(s) else [] for s in sets]
-        sizes = [len(s) for s in sets]
-        return [pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        made = [pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))]
+        if prints:
+            made.append(pa.array(majorities(np.concatenate([np.zeros(0, "<u8"), *sets]), sizes).view(np.int64)))
+        return made
 
     return run
 
@@ -385,12 +435,27 @@ def _links_of_keys(met: DataFrame, sets: DataFrame, similarity: float, part: int
     )
 
 
-def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARITY, part: int = COPY_PART) -> DataFrame:
+def print_groups(marked: DataFrame) -> DataFrame:
+    """(fp, key) of the sets of `marked` (fp, n, print) whose SimHash fingerprints chains of `BITS` differing bits
+    connect with another set's: sets of one key have fingerprints of one component."""
+    prints = stored(marked.where("n > 0").select("fp", "print").distinct())
+    found = components(fingerprint_links(prints.select(F.col("print").alias("fp")).distinct(), exact=True))
+    keyed = stored(
+        prints.join(found, F.col("print") == F.col("node"), "left").select("fp", F.coalesce("component", "print").alias("key"))
+    )
+    return keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key").select("fp", "key")
+
+
+def copy_links(
+    texts: DataFrame, marked: DataFrame, similarity: float = SIMILARITY, part: int = COPY_PART, groups: DataFrame | None = None
+) -> DataFrame:
     """Edges (a, b) between the sets `fp` of `marked` (doc_id, text_hash, fp, n, bands), which connect exactly
-    what chains of similar sets that share a key connect. `texts` has (doc_id, text_hash, text).
+    what chains of similar sets that share a band key, or a key of `groups` (fp, key), connect. `texts` has
+    (doc_id, text_hash, text).
 
-    The sets that share a key with another are made again from their texts, once. First the parts of
-    `COPY_FIRST` keys meet by themselves; then all keys whose sets these have not connected, whole.
+    The sets that share a key with another are made again from their texts, once. First the sets of a group
+    meet, in parts; then, of those that are not connected yet, the parts of `COPY_FIRST` band keys; at last
+    all keys of either kind whose sets these have not connected, whole.
     """
     rows = stored(
         marked.groupBy("fp", "text_hash", "doc_id")
@@ -400,7 +465,10 @@ def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARI
     )
     keyed = rows.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"))
-    met = stored(keyed.join(shared, "key"))
+    met = keyed.join(shared, "key").select("fp", "n", "band", "key")
+    if groups is not None:
+        met = met.unionByName(rows.join(groups, "fp").select("fp", "n", F.lit(GROUP).alias("band"), "key"))
+    met = stored(met)
     asked = stored(
         rows.join(met.select("fp").distinct(), "fp", "left_semi")
         .select("fp", F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "repeated")
@@ -414,11 +482,19 @@ def copy_links(texts: DataFrame, marked: DataFrame, similarity: float = SIMILARI
             lambda: lambda some: [pa.array([shingle_set(t).view(np.int64) for t in some], pa.list_(pa.int64()))],
         )
     )
-    first = met.where(F.col("band") < COPY_FIRST).withColumn("component", F.col("fp"))
-    links = stored(_links_of_keys(first, sets, similarity, part, every=False))
+    links = None
+    for tried in ([F.col("band") == GROUP] if groups is not None else []) + [F.col("band").between(0, COPY_FIRST - 1)]:
+        new = stored(_links_of_keys(_open(met.where(tried), links), sets, similarity, part, every=False))
+        links = new if links is None else links.unionByName(new)
+    return links.unionByName(_links_of_keys(_open(met, links), sets, similarity, part, every=True))
+
+
+def _open(met: DataFrame, links: DataFrame | None) -> DataFrame:
+    """`met` with the component of each set by the `links` so far."""
+    if links is None:
+        return met.withColumn("component", F.col("fp"))
     joined = stored(components(links))
-    rest = met.join(joined, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    return links.unionByName(_links_of_keys(rest, sets, similarity, part, every=True))
+    return met.join(joined, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -427,14 +503,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Near copies share `SIMILARITY` of their distinct shingles of `COPY_WIDTH` words (of all words if there
     are fewer), and chains of them are one group. Texts with equal shingles are equal; so are null, empty
-    and wordless ones. Candidates share one of `COPY_BANDS` keys of `COPY_ROWS` least hashes, which a pair
-    at the similarity misses in (1 - 0.8 ** 4) ** 16 = 0.02% of cases; each is compared exactly. SimHash keys
-    can't do that: such pairs differ in about 10 of 64 bits, so few share a Golay key.
+    and wordless ones. Candidates are first the sets whose SimHash fingerprints lie within `BITS` bits, found by
+    their Golay keys without loss; each is compared exactly. But sets at the similarity differ in about 10 of 64
+    bits. So sets that share one of `COPY_BANDS` keys of `COPY_ROWS` least hashes are candidates too, as far as
+    the fingerprints have not connected them; a pair at the similarity has none in (1 - 0.8 ** 4) ** 16 = 0.02%
+    of cases.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    made = [("fp", "long"), ("n", "long"), ("bands", "array<long>")]
-    marked = stored(mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, _copy_keys))
-    groups = _groups(marked, copy_links(named, marked))
+    made = [("fp", "long"), ("n", "long"), ("bands", "array<long>"), ("print", "long")]
+    marked = stored(mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, lambda: _copy_keys(prints=True)))
+    groups = _groups(marked, copy_links(named, marked, groups=print_groups(marked)))
     once = marked.groupBy("doc_id", "fp", "text_hash").agg((F.count("*") > 1).alias("many"))
     kept = stored(
         once.join(groups, "fp").where("doc_id <=> component_id")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -180,3 +181,69 @@ def test_near_copies_in_small_parts_equal_brute_force(spark):
         assert all(like(sets[r.a], sets[r.b]) for r in got)
         assert grouped([(r.a, r.b) for r in got]) == want
     assert 6 <= len(set(want.values())) < len(sets)
+
+
+def test_near_fingerprints_bring_copies_together_without_band_keys(spark):
+    """Near copies with no band key at all meet by their SimHash fingerprints; sets whose fingerprints are
+    near but that are no copies are not linked."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words, "end"]), " ".join(rng.sample(words, len(words)))]
+    named = documents(spark, list(enumerate(texts))).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    made = [("fp", "long"), ("n", "long"), ("bands", "array<long>"), ("print", "long")]
+    make = lambda: simhash._copy_keys(prints=True)
+    marked = simhash.stored(simhash.mapped(named, named["text"].cast("binary"), ["doc_id", "text_hash"], made, make))
+    by = by_id(marked)
+    for i, text in enumerate(texts):
+        hashes = simhash.shingle_set(text.encode()).tolist()
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert by[i]["print"] % 2**64 == bits
+    bare = marked.withColumn("bands", F.array().cast("array<long>"))
+    near = {(i, i + 1) for i in range(0, 60, 3) if ((by[i]["print"] ^ by[i + 1]["print"]) % 2**64).bit_count() <= 4}
+    assert len(near) > 15
+    links = lambda groups, part=512: {
+        frozenset((r.a, r.b)) for r in simhash.copy_links(named, bare, part=part, groups=groups).collect()
+    }
+    want = {frozenset((by[a]["fp"], by[b]["fp"])) for a, b in near}
+    assert links(simhash.print_groups(marked)) == want
+    one = marked.select("fp", F.lit(7).cast("long").alias("key"))  # all in one group: compared exactly, in parts too
+    pairs = {frozenset((by[i]["fp"], by[i + 1]["fp"])) for i in range(0, 60, 3)}
+    assert links(one) == pairs and links(one, part=4) == pairs
+
+
+def test_one_of_each_asks_the_fingerprints(spark, monkeypatch):
+    """Without band keys, the stage still finds what lies within four bits."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(reversed(words))]
+    made = simhash._copy_keys
+
+    def without_bands(*args, **named):
+        run = made(*args, **named)
+
+        def changed(texts):
+            columns = run(texts)
+            columns[2] = pa.array([[] for _ in texts], pa.list_(pa.int64()))
+            return columns
+
+        return changed
+
+    monkeypatch.setattr(simhash, "_copy_keys", without_bands)
+    kept = simhash.one_of_each(documents(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_links_by_equal_bits_equal_those_by_whole_keys(spark):
+    rng = random.Random(6)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    fps = list(dict.fromkeys(fps + [flip(f, 4) for f in fps] + [flip(fps[0], rng.randint(1, 6)) for _ in range(120)]))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = table(spark, [(f,) for f in signed], "fp long")
+    want = slow_components(fps)
+    for part in (8, 512):
+        found = by_id(components(simhash.fingerprint_links(df, part=part, exact=True)), "node")
+        mine = [found[f]["component"] if f in found else f for f in signed]
+        group = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in labels}
+        assert group(mine) == group(want)
