@@ -112,3 +112,14 @@ def test_search_filters_ask_the_chips(spark):
     assert found() == "abcd" and found(offline=True) == "a" and found(offline=False) == "bcd"
     assert found(dups=True) == "b" and found(have_bytes=False) == "cd" and found(source="nas") == "ab"
     assert found(source="nas", offline=False, have_bytes=True) == "b" and found(source="na") == ""
+
+
+def test_pairs_meet_decisions_either_way_round_and_unsorted(spark):
+    pairs_ = spark.createDataFrame([(a, b, 1) for a in "abcd" for b in "abcd" if a != b], "a_key string, b_key string, x long")
+    declined = spark.createDataFrame([("b", "a", "1", 0), ("c", "d", "0", 0)], schemas.DECLINED_MERGES)
+    aliases = spark.createDataFrame([("d", "b", "u")], schemas.FAMILY_ALIASES)
+    left = merge.undecided(pairs_, declined, aliases, "1")
+    assert left.columns == pairs_.columns
+    gone = [{"a", "b"}, {"b", "d"}]
+    assert sorted((r.a_key, r.b_key) for r in left.collect()) == sorted((a, b) for a in "abcd" for b in "abcd" if a != b and {a, b} not in gone)
+    assert "ShuffledHashJoin" in left._jdf.queryExecution().sparkPlan().toString()
