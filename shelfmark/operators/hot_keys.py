@@ -28,7 +28,7 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     on = list(on)
     lookup = written(lookup)
     spark = rows.sparkSession
-    if size_in_bytes(lookup) <= _broadcast_limit(spark):
+    if size_in_bytes(lookup) <= broadcast_limit(spark):
         return rows.join(lookup, on, how)
     rows = written(rows)
     counts = cut(rows.dropna(subset=on).groupBy(*on).count())
@@ -45,6 +45,6 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     return mine.drop("is_hot", "turn_of_row").join(theirs.drop("is_hot"), [*on, part], how).drop(part)
 
 
-def _broadcast_limit(spark) -> int:
+def broadcast_limit(spark) -> int:
     """Bytes; -1 if broadcasts are off. Spark gives the setting as a number or with a unit."""
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

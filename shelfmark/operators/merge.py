@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfmark import FAMILY_KEY_ALGO, schemas
 from shelfmark.functions.names import name_tokens, shared_tokens, similarity_score
-from shelfmark.operators.hot_keys import join_lookup
-from shelfmark.session import cut, written
+from shelfmark.operators.hot_keys import broadcast_limit, join_lookup
+from shelfmark.session import cut, size_in_bytes, spread, written
 
 # Fixed value: two parameter counts closer than this share of the larger one count as alike.
 PARAMS_RATIO = 0.15
 
+# Families of a block. Pairs are made from two blocks in one row, so that each family moves once for every block it
+# meets and not once for every family.
+BLOCK = 1000
+
 _PAIR = ["family_a_key", "family_b_key"]
 
 
@@ -59,21 +63,31 @@ def merge_suggestions(
     least_score: float | None = None,
 ) -> DataFrame:
     """The `likely_pairs` of families about which nothing is decided."""
-    return undecided(likely_pairs(families, asked, least_score), declined, aliases, algo_version)
+    return undecided(likely_pairs(families, asked, least_score), declined, aliases, algo_version, stay=True)
 
 
 def undecided(
-    pairs: DataFrame, declined: DataFrame, aliases: DataFrame, algo_version: str = FAMILY_KEY_ALGO
+    pairs: DataFrame,
+    declined: DataFrame,
+    aliases: DataFrame,
+    algo_version: str = FAMILY_KEY_ALGO,
+    stay: bool = False,
 ) -> DataFrame:
     """`pairs` without the `settled_pairs`.
 
     There are far more pairs than decisions. So these are listed both ways round, that no pair has to carry its
-    sorted keys too, and are hashed, so that the pairs are not sorted.
+    sorted keys too, and are hashed, so that the pairs are not sorted. With `stay`, for pairs too many to move, the
+    decisions are written first: within Spark's own limit they are broadcast and no pair moves.
     """
     settled = settled_pairs(declined, aliases, algo_version)
     one = settled.select(F.col("family_a_key").alias("a_key"), F.col("family_b_key").alias("b_key"))
     other = settled.select(F.col("family_b_key").alias("a_key"), F.col("family_a_key").alias("b_key"))
-    return pairs.join(one.unionByName(other).hint("shuffle_hash"), ["a_key", "b_key"], "left_anti").select(*pairs.columns)
+    decided = one.unionByName(other)
+    if stay:
+        decided = written(decided)
+    if not stay or size_in_bytes(decided) > broadcast_limit(pairs.sparkSession):
+        decided = decided.hint("shuffle_hash")
+    return pairs.join(decided, ["a_key", "b_key"], "left_anti").select(*pairs.columns)
 
 
 # What of a family decides its pairs, beside its key.
@@ -99,14 +113,98 @@ def follow_pairs(
     return stay.select(*pairs.columns).unionByName(likely_pairs(after, changed, least_score))
 
 
-def _likeness(signatures: DataFrame) -> DataFrame:
-    """(arch_mark, signature_1, signature_2) with the likeness as seen from either."""
-    list_1, list_2 = F.split("signature_1", "-"), F.split("signature_2", "-")
+def _likeness(tokens_1: Column, tokens_2: Column) -> list[Column]:
+    """The likeness of two names as seen from either."""
     seen = lambda a, b: F.struct(
         shared_tokens(a, b).alias("shared_tokens"), similarity_score(a, b).alias("score")
     )
-    return signatures.select(
-        "arch_mark", "signature_1", "signature_2", seen(list_1, list_2).alias("forward"), seen(list_2, list_1).alias("backward")
+    return [seen(tokens_1, tokens_2).alias("forward"), seen(tokens_2, tokens_1).alias("backward")]
+
+
+def _met_in_blocks(members: DataFrame) -> DataFrame:
+    """(f1, f2, same, forward, backward): families of one architecture that share a token, each two once, or both
+    ways round if `same`.
+
+    The families of a token are dealt to blocks of about `BLOCK`, and every two blocks of which one has a family
+    asked for meet in one row, dealt to all tasks. There names meet names, at their smallest shared token
+    alone, and only then families. Nothing moves after that. A name with many families is split into parts.
+    """
+    name = ["arch_mark", "signature"]
+    blocks = lambda families: F.ceil(families / BLOCK).cast("long")
+    parts = members.groupBy(*name).agg(blocks(F.count(F.lit(1))).alias("parts"))
+    part = F.pmod(F.xxhash64("family.family_key"), F.col("parts")).alias("part")
+    groups = written(
+        join_lookup(members, parts, name)
+        .groupBy(*name, part, F.col("family.asked").alias("asked"))
+        .agg(F.collect_list("family").alias("families"))
+    )
+    tokens = F.split("signature", "-")
+    by_token = groups.select(
+        "arch_mark", "asked", F.size("families").alias("n"), F.xxhash64("signature", "part").alias("turn"),
+        F.struct(tokens.alias("tokens"), "asked", "families").alias("group"),
+        F.explode(F.array_distinct(tokens)).alias("token"),
+    )
+    place = ["arch_mark", "token"]
+    count = lambda which: blocks(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)))
+    counts = by_token.groupBy(*place).agg(
+        count(F.col("asked")).alias("asked_blocks"), count(~F.col("asked")).alias("other_blocks")
+    )
+    # Names asked for fill the first blocks and meet every block, the others meet only the first ones.
+    at_block = lambda n: F.pmod("turn", F.greatest(F.col(n), F.lit(1)))
+    block = F.when(F.col("asked"), at_block("asked_blocks")).otherwise(F.col("asked_blocks") + at_block("other_blocks"))
+    meets = F.col("asked_blocks") + F.when(F.col("asked"), F.col("other_blocks")).otherwise(0)
+    dealt = (
+        join_lookup(by_token, counts, place)
+        .where(F.col("asked_blocks") > 0)
+        .select(*place, "group", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)).alias("other"))
+        .select(*place, "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    unit = [*place, "low", "high"]
+    alone, first = F.col("low") == F.col("high"), F.col("block") == F.col("low")
+    side = lambda which: F.collect_list(F.when(which, F.col("group")))
+    units = (
+        spread(dealt, *unit)
+        .groupBy(*unit)
+        .agg(side(first).alias("one"), side(~first).alias("two"))
+        .select("token", alone.alias("alone"), "one", F.when(alone, F.col("one")).otherwise(F.col("two")).alias("two"))
+    )
+    tokens_1, tokens_2 = F.col("g1.tokens"), F.col("g2.tokens")
+    names = (
+        units.select("token", "alone", "two", F.posexplode("one").alias("p1", "g1"))
+        .select("token", "alone", "p1", "g1", F.posexplode("two").alias("p2", "g2"))
+        .where(~F.col("alone") | (F.col("p1") <= F.col("p2")))
+        .where(F.col("g1.asked") | F.col("g2.asked"))
+        .where(F.col("token") == F.array_min(F.array_intersect(tokens_1, tokens_2)))
+    )
+    alike = names.select(
+        (F.col("alone") & (F.col("p1") == F.col("p2"))).alias("same"), *_likeness(tokens_1, tokens_2),
+        F.col("g1.families").alias("families_1"), F.col("g2.families").alias("families_2"),
+    )
+    return alike.select("same", "forward", "backward", "families_2", F.explode("families_1").alias("f1")).select(
+        "same", "forward", "backward", "f1", F.explode("families_2").alias("f2")
+    )
+
+
+def _met_by_score(members: DataFrame, least_score: float) -> DataFrame:
+    """As `_met_in_blocks`, without the pairs of a lower score."""
+    signatures = members.groupBy("arch_mark", "signature").agg(F.bool_or("family.asked").alias("asked"))
+    by_token = signatures.select(
+        "arch_mark", "signature", "asked", F.explode(F.array_distinct(F.split("signature", "-"))).alias("token")
+    )
+    met = _close_signatures(by_token, least_score)
+    alike = met.select(
+        "arch_mark", "signature_1", "signature_2", *_likeness(F.split("signature_1", "-"), F.split("signature_2", "-"))
+    ).where(F.greatest("forward.score", "backward.score") >= least_score)
+    first = members.select(
+        "arch_mark", F.col("signature").alias("signature_1"), F.col("family").alias("f1")
+    )
+    second = members.select(
+        "arch_mark", F.col("signature").alias("signature_2"), F.col("family").alias("f2")
+    )
+    return (
+        alike.join(first, ["arch_mark", "signature_1"])
+        .join(second, ["arch_mark", "signature_2"])
+        .select("f1", "f2", (F.col("signature_1") == F.col("signature_2")).alias("same"), "forward", "backward")
     )
 
 
@@ -154,9 +252,9 @@ def likely_pairs(
     Families with the same tokens and architecture form one signature; tokens are compared between
     signatures, not between families. Two signatures meet at each token they share, and the smallest
     shared token alone reports them, which needs no distinct afterwards. Only then are signatures
-    opened into families, so every pair that is made is a row of the answer. The family stored first
-    is `a`. The whole answer grows with the square of a popular token; with `asked` it grows with the
-    families asked for.
+    opened into families, so every pair that is made is a row of the answer, and without `least_score` no pair
+    moves between tasks. The family stored first is `a`. The whole answer grows with the square of a popular token;
+    with `asked` it grows with the families asked for.
     """
     order = F.struct("first_root_id", "first_rel_path", "family_key")
     if asked is None:
@@ -174,41 +272,10 @@ def likely_pairs(
             F.struct(order.alias("at"), "family_key", "params_total", "asked").alias("family"),
         )
     )
-    signatures = members.groupBy("arch_mark", "signature").agg(F.bool_or("family.asked").alias("asked"))
-    tokens = F.split("signature", "-")
-    by_token = signatures.select(
-        "arch_mark", "signature", "asked", F.explode(F.array_distinct(tokens)).alias("token")
-    )
-    if least_score is None:
-        one, two = by_token.alias("one"), by_token.alias("two")
-        list_1 = F.split(F.col("one.signature"), "-")
-        list_2 = F.split(F.col("two.signature"), "-")
-        same_place = (
-            (F.col("one.arch_mark") == F.col("two.arch_mark"))
-            & (F.col("one.token") == F.col("two.token"))
-            & (F.col("one.signature") <= F.col("two.signature"))
-            & (F.col("one.asked") | F.col("two.asked"))
-            & (F.col("one.token") == F.array_min(F.array_intersect(list_1, list_2)))
-        )
-        met = one.join(two, same_place).select(
-            "one.arch_mark", F.col("one.signature").alias("signature_1"), F.col("two.signature").alias("signature_2")
-        )
-    else:
-        met = _close_signatures(by_token, least_score)
-    alike = _likeness(met)
-    if least_score is not None:
-        alike = alike.where(F.greatest("forward.score", "backward.score") >= least_score)
-    first = members.select(
-        "arch_mark", F.col("signature").alias("signature_1"), F.col("family").alias("f1")
-    )
-    second = members.select(
-        "arch_mark", F.col("signature").alias("signature_2"), F.col("family").alias("f2")
-    )
+    met = _met_in_blocks(members) if least_score is None else _met_by_score(members, least_score)
     in_order = F.col("f1.at") < F.col("f2.at")
     pairs = (
-        alike.join(first, ["arch_mark", "signature_1"])
-        .join(second, ["arch_mark", "signature_2"])
-        .where((F.col("signature_1") != F.col("signature_2")) | in_order)
+        met.where(~F.col("same") | in_order)
         .where(F.col("f1.asked") | F.col("f2.asked"))
         .select(
             F.when(in_order, F.col("f1")).otherwise(F.col("f2")).alias("a"),

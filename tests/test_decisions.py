@@ -1,12 +1,14 @@
 """Merge pairs that follow changes, a lower score bound, imported decisions, and search filters."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import merge, reports
+from tests.test_operators import brute_force
 
 FAMILY = "family_key string, name string, arch string, params_total double, first_root_id long, first_rel_path string"
 WORDS = ["red", "blue", "chat", "code", "mini", "vision", "tiny", "model", "model", "model"]
@@ -123,3 +125,44 @@ def test_pairs_meet_decisions_either_way_round_and_unsorted(spark):
     gone = [{"a", "b"}, {"b", "d"}]
     assert sorted((r.a_key, r.b_key) for r in left.collect()) == sorted((a, b) for a in "abcd" for b in "abcd" if a != b and {a, b} not in gone)
     assert "ShuffledHashJoin" in left._jdf.queryExecution().sparkPlan().toString()
+
+
+def shuffles_above_pairs(df):
+    """Shuffles in the plan above the step that makes pairs, which moved every pair."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    return re.findall(r"\bExchange\b.*", above)
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_pairs_made_in_blocks_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(merge, "BLOCK", block)
+    rows = families_of(7, 90) | {f"red-red-mini|qwen|t{i}|a": ("n", "qwen", 7.0 + i, i % 2, f"q{i}") for i in range(12)}
+    twice = table(spark, rows).unionByName(table(spark, rows).where("params_total is null")).repartition(5)
+    in_order = sorted(rows, key=lambda k: (rows[k][3], rows[k][4], k))
+    whole = brute_force([(k, rows[k][1], rows[k][2]) for k in in_order])
+    once = pairs(merge.likely_pairs(table(spark, rows)))
+    assert len(once) == len(whole) > 500 and set(once) == whole
+    copies = {k: 2 if rows[k][2] is None else 1 for k in rows}
+    assert pairs(merge.likely_pairs(twice)) == sorted(p for p in whole for _ in range(copies[p[0]] * copies[p[1]]))
+    asked = spark.createDataFrame([(k,) for k in sorted(rows)[::9]] + [("none",)], "family_key string")
+    of_asked = {p for p in whole if set(p[:2]) & set(sorted(rows)[::9])}
+    assert pairs(merge.likely_pairs(table(spark, rows), asked=asked)) == sorted(of_asked)
+
+
+def test_suggested_pairs_do_not_move(spark):
+    rows = families_of(11, 60)
+    keys = sorted(rows)
+    declined = spark.createDataFrame([(*sorted((a, b)), "1", 0) for a, b in zip(keys[::2], keys[1::2])], schemas.DECLINED_MERGES)
+    aliases = spark.createDataFrame([(keys[0], keys[2], "u")], schemas.FAMILY_ALIASES)
+    found = merge.merge_suggestions(table(spark, rows), declined, aliases, "1")
+    assert shuffles_above_pairs(found) == []
+    settled = {frozenset(p) for p in zip(keys[::2], keys[1::2])} | {frozenset((keys[0], keys[2]))}
+    every = pairs(merge.likely_pairs(table(spark, rows)))
+    assert pairs(found) == [p for p in every if frozenset(p[:2]) not in settled] and len(pairs(found)) < len(every)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert pairs(merge.merge_suggestions(table(spark, rows), declined, aliases, "1")) == pairs(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
