@@ -26,7 +26,7 @@ from shelfmark.operators import (
 from shelfmark.plans import stand_ins
 from shelfmark.plans.scan import identify_files
 from shelfmark.plans.views import table, view
-from shelfmark.session import cut, shared_dir, spread, tune
+from shelfmark.session import cut, shared_dir, spread, tune, written
 from shelfmark.sources import contents, listing, manifest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,8 +657,8 @@ def followed_suggestions(spark, sf):
         .withColumn("params_total", F.when(size % 5 == 0, F.col("params_total") * 3).otherwise(F.col("params_total")))
         .unionByName(gone)
     )
-    pairs = cut(merge.likely_pairs(before))
-    return merge.undecided(merge.follow_pairs(pairs, before, now), *_decisions(now))
+    pairs = written(merge.likely_pairs(before))
+    return merge.undecided(merge.follow_pairs(pairs, before, now), *_decisions(now), stay=True)
 
 
 @query

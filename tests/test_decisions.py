@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import merge, reports
+from shelfmark.plans import queries
 from tests.test_operators import brute_force
 
 FAMILY = "family_key string, name string, arch string, params_total double, first_root_id long, first_rel_path string"
@@ -166,3 +167,16 @@ def test_suggested_pairs_do_not_move(spark):
         assert pairs(merge.merge_suggestions(table(spark, rows), declined, aliases, "1")) == pairs(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_followed_pairs_are_stored_compactly_and_do_not_move(spark, tmp_path):
+    sizes = ["SMALL", "LARGE", "PROMO"]
+    parts = [(i, f"{WORDS[i % 6]} {WORDS[i % 5]}", "Brand#1", sizes[i % 3], 1 + i % 9, 1.0) for i in range(150)]
+    columns = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(parts, columns).write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.followed_suggestions(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stored = plan[: plan.index("Generate")]
+    assert re.search(r"FileScan parquet \[a_key", stored) and "ExistingRDD" not in stored
+    assert shuffles_above_pairs(found) == []
+    assert pairs(found) == pairs(queries.merge_suggestions(spark, str(tmp_path))) and len(pairs(found)) > 500
